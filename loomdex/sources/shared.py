@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CREATED: list[tuple[SparkSession, str]] = []
 
@@ -34,6 +35,11 @@ def shared_table(df: DataFrame, name: str, *, cluster_by: list[str] | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """`df` with a broadcast hint if it holds at most `rows` rows, else as it is; `df` should be cheap to count."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).head(rows + 1)) <= rows else df
+
+
 def drop_shared_tables() -> None:
     """Remove the tables this process wrote (also runs when it ends)."""
     while _CREATED:
