@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.llm.language import label_documents, label_segments
+from loomdex.llm.leaks import leaks
+from loomdex.llm.neardup import groups, near_duplicates, pairs_of_ids
 from loomdex.llm.vectors import similar_vectors
 
 
@@ -17,5 +20,31 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.col("cosine") >= 0.8).select("model_name", "text_hash", "neighbour_hash")
 
 
-QUERIES = {"p1_found": p1_found}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(read(spark, folder, "chunk_fts"), "chunk_id", "text", run=3, threshold=0.7, counted=False)
+    return pairs_of_ids(found).toDF("chunk_id_a", "chunk_id_b")
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return groups(near_duplicates(read(spark, folder, "chunk_fts"), "chunk_id", "text_for_embedding"))
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(read(spark, folder, "documents"), read(spark, folder, "eval_cases"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_leaks(spark, folder).where("kind = 'verbatim'").select("doc_id", "case_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = label_segments(read(spark, folder, "documents"))
+    return found.where("language is not null and (named is null or language != named)").select("doc_id", "segment_no", F.col("language").alias("true_lang"))
+
+
+def p10_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return label_documents(label_segments(read(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p6_groups, p9_found, p9_leaks, p10_found, p10_documents)}
 SQL: dict[str, str] = {}
