@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomdex.llm.language import label_documents, label_segments
 from loomdex.llm.leaks import leaks
 from loomdex.llm.neardup import groups, near_duplicates, pairs_of_ids
+from loomdex.llm.secrets import find_secrets, redact
 from loomdex.llm.vectors import similar_vectors
 
 
@@ -46,5 +47,13 @@ def p10_documents(spark: SparkSession, folder: str) -> DataFrame:
     return label_documents(label_segments(read(spark, folder, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_found, p6_groups, p9_found, p9_leaks, p10_found, p10_documents)}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_secrets(read(spark, folder, "chunk_fts"), "chunk_id", "text").select("chunk_id", "start_char")
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redact(read(spark, folder, "chunk_fts").select("chunk_id", "text"), "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p6_found, p6_groups, p9_found, p9_leaks, p10_found, p10_documents)}
 SQL: dict[str, str] = {}

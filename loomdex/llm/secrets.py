@@ -1,0 +1,308 @@
+"""Credentials embedded in source code and settings: found by entropy and context, blanked in place.
+
+Candidates are quoted strings and long tokens. Each has an alphabet (digits, hex, letters and digits, base64,
+printable) and is compared with a share, growing with its length, of the Shannon entropy that random text in
+that alphabet would have. A name or position that announces a credential lowers the threshold; hashes,
+identifiers, addresses, look-ups and placeholders are excluded. Key blocks and secret parts of addresses
+have forms of their own.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Parts of names that announce a credential, and those that announce something else.
+SECRET_PARTS = frozenset("password passwd pwd pass passphrase passwort kennwort пароль secret token apikey jwt auth authorization credential credentials creds bearer".split())
+NOT_KEYS = frozenset("cache sort primary foreign array row map group".split())
+OTHER_PARTS = frozenset(
+    "hash checksum etag sha sha1 sha256 sha384 sha512 md5 crc digest integrity commit revision fingerprint guid uuid public label labels title placeholder message hint url uri path file name field column id type icon image svg count length cache csrf".split()
+)
+PLACEHOLDERS = re.compile(
+    r"(?i)^(?:change[-_ ]?me.*|.*(?:your|my)[-_]?(?:pass\w*|secret|token|key|api\w*)\b.*|your[-_].*|example.*|sample[-_]?(?:key|token|secret|password)?|dummy.*|placeholder.*|todo.*|fixme.*|secret|password|passw(?:or)?d|token|none|null|nil|undefined|true|false|test|testing|demo|default|empty|unset|redacted|hidden|removed|masked|n/?a|tbd|insert.*|replace.*|enter.*|put[-_].*|<.*>|\[.*\]|\{.*\}|%.*%|\$\{?.*\}?|#\{.*|@.*@|_+.*_+|\*+.*|.*\*{3,}.*|\.{3,}|-+|(.)\1{4,}|.*x{6,}.*|.*(?:0123456|1234567|abcdef(?!\d)|qwerty\b).*)$"
+)
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN)[\s\S])*?(?:-----END [A-Z0-9 ]*-----|\Z)")
+_ADDRESS = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.-]{1,20}://([^\s:/@'\"`<>]{0,64}):([^\s@'\"`<>/]{3,200})@")
+_HOOK = re.compile(r"://[^\s'\"`<>?#]*?/(?:rest|hooks?|webhooks?|services|bot|api)/(?:[\w-]{1,40}/){0,3}?(?:\d{1,10}/)?([A-Za-z0-9_-]{12,80})(?=[/?\s'\"`<>]|$)")
+_QUERY = re.compile(r"[?&;]([\w-]{1,40})=([^&\s'\"`<>#]{6,200})")
+_SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token|apikey)[ \t]+([A-Za-z0-9+/=_.~-]{8,2000})")
+_NAMED = re.compile(
+    r"([\w$А-Яа-яЁё.-]*[\wА-Яа-яЁё])(?:['\"`]?\s*\]|['\"`]|\))?\s*(?::\s*[?\w\\|]+\s*=|=>|:=|=|:)\s*(?:new\s+\w+\()?\(?(?:(['\"`])([^\n]*?)(?<!\\)\2|([^\s'\"`,;()\[\]{}<>]{6,400}))"
+)
+_ATTRIBUTE = re.compile(r"""(?i)\b(?:name|id|key)\s*=\s*["']([\w.-]+)["'][^<>\n]{0,80}?\b(?:value|content)\s*=\s*(["'])([^"'\n]{6,400})\2""")
+_LIST = re.compile(r"([\w$]+)['\"]?\s*(?:=>|=|:)\s*(?:array\(|\[)\s*(['\"`])[^'\"`\n]*\2\s*,\s*(['\"`])([^'\"`\n]{6,200})\3")
+_CALL = re.compile(r"(?i)\b\w*(?:connect|connection|login|auth|authenticate|signin|mysqli|pdo|client|logon|bind|credential|credentials|password)\w*\s*\(((?:\s*(?:['\"`])[^'\"`\n]*['\"`]\s*,?){2,6})")
+_COMPARED = re.compile(r"([\w-]*)['\"]?\]?\)?\s*[!=]==?\s*(['\"`])([^\s'\"`]{16,120})\2")
+_ASSIGNED = re.compile(r"([\w$-]+)['\"]?\]?\s*(?:=>|=|:)\s*(['\"`])([^\s'\"`]{20,72})\2")
+_STRING = re.compile(r"(['\"`])((?:(?!\1)[^\n\\]|\\.)*)\1")
+# in a comment: a login and, after a sign, its password; or nothing but the two
+_LOGIN = re.compile(r"(?<![\w/.$-])([a-z][\w.-]{2,30}|[\w.-]+@[\w.-]+)(?:\s*:\s*|\s+[/|]\s+)[`'\"]?([^\s'\"`,;<>:]{6,80})")
+_COMMENT = re.compile(r"^\s*(?://+|#+|;+|--+|\*+|/\*+|<!--)\s*(.*?)(?:\*/|-->)?\s*$|\s(?://|#|/\*|<!--)\s*(.*?)(?:\*/|-->)?\s*$")
+_USER = re.compile(r"(?:\s-u|--user)[ =]['\"]?([^\s:'\"]{1,64}):([^\s'\"]{6,100})")
+# in prose: a word for a credential, not many others, then a token
+_REMARK = re.compile(r"(?i)\b(?:password|passwd|passphrase|pass|пароль|пароля|паролем|passwort|kennwort|contraseña|mot de passe|pwd|pw|secret|token|ключ|key|schlüssel|clave|clé)\b([^\n]{0,60}?)(?<![\w./$-])([^\s'\"`,;()<>\[\]{}]{6,200})")
+_JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}")
+_KNOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{18,}|xox[abprs]-[\w-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{30,}|npm_[A-Za-z0-9]{30,}|SG\.[\w-]{16,}\.[\w-]{16,})")
+# Every form above needs one of these in its line, in lower case.
+HINTS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "jwt", "cred", "парол", "://", "bearer", "basic ", "login", "account", "доступ", "логин", "connect", "client", "eyj", "учетк", "учётк", "обліков", "zugang", "acceso", "akia", "gh", "sk_", "sk-", "xox", "npm_", "glpat", "aiza", "mysqli", "pdo(", "kennwort", "contrase", "mot de", "konto", "compte", "cuenta", "pem", "ключ", "schlüssel", "clave", "clé", "curl")
+COMMENTS = ("// ", "<!-- ", "\n# ", "\n; ", "\n* ", " * ")
+_CANDIDATE = re.compile(r"[^\s'\"`,;()\[\]{}<>=]*(?:[\d!@#%^&*+~$][A-Za-z]|[A-Za-z][\d!@#%^&*+~])[^\s'\"`,;()\[\]{}<>=]*|[A-Za-z0-9+/=_.-]{16}")
+_QUOTED = re.compile(r"(['\"`])([A-Za-z0-9+/=_.~-]{20,60})\1")
+_PAIR = re.compile(r"[a-z][\w.-]{2,30}(?:\s+[/|]\s+|\s*:\s*|\s+)[`'\"]?[^\s'\"`,;<>]*[A-Za-z][^\s'\"`,;<>]*[\d!@#$%^&*+~][^\s'\"`,;<>]*\s*(?:\*/|-->)?\s*$")
+_OPEN_END = re.compile(r"(?:=>?|:|\()\s*$")
+_PARTS = re.compile(r"[A-ZА-ЯЁ]?[a-zа-яё]+|[A-ZА-ЯЁ]+(?![a-zа-яё])|\d+")
+
+
+@lru_cache(maxsize=100_000)
+def announces(name: str) -> int:
+    """2: the name is that of a credential, 1: perhaps (a key), 0: no."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    if not parts:
+        return 0
+    joined = "".join(parts)
+    if parts[-1] in OTHER_PARTS or (len(parts) > 1 and parts[-1].isdigit() and parts[-2] in OTHER_PARTS):
+        return 0
+    if "public" in parts or "csrf" in parts:
+        return 0
+    if any(p in SECRET_PARTS for p in parts) or re.search(r"(?:password|passwd|apikey|secret|token|passphrase|authkey|accesskey)$", joined):
+        return 2
+    if "pem" in parts or "key" in parts:
+        at = parts.index("key") if "key" in parts else parts.index("pem")
+        return 0 if at and parts[at - 1] in NOT_KEYS else 2
+    return 0
+
+
+def entropy(value: str) -> float:
+    """Shannon entropy in bits a character."""
+    n = len(value)
+    counts: dict[str, int] = {}
+    for c in value:
+        counts[c] = counts.get(c, 0) + 1
+    return -sum(v / n * math.log2(v / n) for v in counts.values())
+
+
+def alphabet(value: str) -> tuple[str, int]:
+    if value.isdigit():
+        return "digits", 10
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
+        return "hex", 16
+    if value.isalnum() and value.isascii():
+        return "alnum", 36 if value.lower() == value or value.upper() == value else 62
+    if re.fullmatch(r"[A-Za-z0-9+/_=-]+", value):
+        return "base64", 64
+    return "printable", 94
+
+
+def random_like(value: str, share: float) -> bool:
+    """Whether the entropy reaches `share` of what random text of this length and alphabet has on average."""
+    _, size = alphabet(value)
+    n = len(value)
+    expected = math.log2(size) - (size - 1) / (2 * n * math.log(2)) if n > 2 * size else math.log2(n) - 0.72 * n / size * (1 - n / (6 * size))
+    return entropy(value) >= share * max(expected, 0.1)
+
+
+def identifier_like(value: str) -> bool:
+    """Words in camel or snake case, dotted names, hosts, paths, versions, sizes, dates."""
+    if re.fullmatch(r"[\W_]*(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,})(?:[._:/\\-]?(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}))*(?:[._-]?\d{1,4})?[\W_]*", value):
+        caps = sum(1 for a, b in zip(value, value[1:], strict=False) if a.islower() and b.isupper())
+        odd = re.search(r"[a-z][^\w\s./:\\-][A-Za-z]|[^\w\s./:\\,;-]$", value)
+        return caps <= max(1, len(value) // 6) and not odd and not (re.search(r"\d", value) and re.search(r"[A-Z]", value) and re.search(r"[_-]", value))
+    return bool(re.fullmatch(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::\d+)?(?:/\S*)?|[\d.:/_+-]+|#[0-9a-fA-F]{3,8}|v?\d+(?:\.\d+)+\S*", value))
+
+
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+
+
+def excluded(value: str) -> bool:
+    return bool(
+        PLACEHOLDERS.match(value)
+        or re.search(r"\s|[<>]|\$\{|\{\{|%\(|%s|\$this|->|::|\w\(|^[./~]*/[\w.-]+/|^\\|\bgetenv\b|\benv\b|^data:|process\.|^(?:sha\d+|md5)[-:]|://|^arn:|^base64[:,]", value)
+        or re.search(r"[^\x21-\x7e]", value)
+    )
+
+
+def weak_password(value: str) -> bool:
+    """Words with digits or signs, as people choose: at least three classes of characters, or two with a sign in them."""
+    classes = [bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]|_")]
+    return sum(classes) >= 3 or (classes[3] and sum(classes) >= 2 and bool(re.search(r"[!@#$%^&*+=?~]", value)))
+
+
+def is_secret(value: str, context: int) -> bool:
+    if len(value) < 6 or excluded(value) or identifier_like(value):
+        return False
+    kind, _ = alphabet(value)
+    if kind == "digits":
+        return False
+    if context == 2:
+        if _UUID.fullmatch(value):
+            return True
+        return weak_password(value) or (len(value) >= 8 and random_like(value, 0.8) and bool(re.search(r"\d", value))) or (len(value) >= 16 and random_like(value, 0.85))
+    if _UUID.fullmatch(value) or kind == "hex":
+        return False
+    if not (random_like(value, 0.85) and re.search(r"\d", value) and re.search(r"[a-z]", value)) or value.startswith(("sha", "md5")):
+        return False
+    # without a name that announces it: long, of both cases, and no line of a block of data
+    return 20 <= len(value) <= 60 and bool(re.search(r"[A-Z]", value)) if context == 0 else len(value) >= 16
+
+
+def find(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the credentials in a text, from 0, in order and apart."""
+    found: list[tuple[int, int, str]] = []
+    if "PRIVATE KEY" in text:
+        for m in _PEM.finditer(text):
+            if re.search(r"[A-Za-z0-9+/=]{16,}", m[0][30:]):
+                found.append((m.start(), m.end(), "key block"))
+    lines = hinted_lines(text)
+    for m in _QUOTED.finditer(text):
+        if is_secret(m[2], 0):
+            start = text.rfind("\n", 0, m.start()) + 1
+            end = text.find("\n", m.end())
+            lines[start] = text[start : len(text) if end < 0 else end]
+    for start in sorted(lines):
+        line = lines[start]
+        if _CANDIDATE.search(line):
+            for s, e, kind in _in_line(line):
+                if all(start + e <= x or start + s >= y for x, y, _ in found):
+                    found.append((start + s, start + e, kind))
+    return sorted(found)
+
+
+def hinted_lines(text: str) -> dict[int, str]:
+    """The lines, by start, that hold a hint, each with the next one if its value must follow there, and comments that pair a login with a word that is none."""
+    lower = text.lower()
+    if len(lower) != len(text):
+        lower = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    lines: dict[int, str] = {}
+    for hint in (*HINTS, *COMMENTS):
+        at = 0 if hint[0] == "\n" and lower.startswith(hint[1:]) else lower.find(hint)
+        while at >= 0:
+            start = at + 1 if lower[at] == "\n" else lower.rfind("\n", 0, at) + 1
+            end = lower.find("\n", at + 1)
+            end = len(text) if end < 0 else end
+            if start not in lines and (hint not in COMMENTS or _PAIR.search(text, at + 1, end)):
+                if end < len(text) and _OPEN_END.search(text, max(start, end - 12), end):
+                    more = text.find("\n", end + 1)
+                    lines[start] = text[start : len(text) if more < 0 else more]
+                else:
+                    lines[start] = text[start:end]
+            at = lower.find(hint, end) if end < len(text) else -1
+    return lines
+
+
+def _in_line(text: str) -> Iterator[tuple[int, int, str]]:
+    if "://" in text:
+        for m in _ADDRESS.finditer(text):
+            if not PLACEHOLDERS.match(m[2]) and not re.search(r"[${}<>%]", m[2][:2]):
+                yield m.start(2), m.end(2), "address"
+        for m in _HOOK.finditer(text):
+            if random_like(m[1], 0.8) and re.search(r"\d", m[1]) and not excluded(m[1]) and not identifier_like(m[1]):
+                yield m.start(1), m.end(1), "hook"
+    if "=" in text:
+        for m in _QUERY.finditer(text):
+            if is_secret(m[2], 2 if m[1].lower() == "k" or announces(m[1]) else 1):
+                yield m.start(2), m.end(2), "query"
+    for form in (_JWT, _KNOWN):
+        for m in form.finditer(text):
+            yield m.start(), m.end(), "token"
+    for m in _SCHEME.finditer(text):
+        if len(m[1]) >= 12 and not excluded(m[1]) and not identifier_like(m[1]) and random_like(m[1], 0.75):
+            yield m.start(1), m.end(1), "token"
+    for m in _NAMED.finditer(text):
+        context = announces(m[1])
+        if context:
+            value, at = (m[3], m.start(3)) if m[2] else (m[4], m.start(4))
+            if value and is_secret(value, context):
+                yield at, at + len(value), "named"
+    for m in _ATTRIBUTE.finditer(text):
+        if announces(m[1]) and is_secret(m[3], 2):
+            yield m.start(3), m.end(3), "named"
+    for m in _LIST.finditer(text):
+        if announces(m[1]) == 2 and is_secret(m[4], 2):
+            yield m.start(4), m.end(4), "named"
+    if "(" in text:
+        for m in _CALL.finditer(text):
+            for s in list(_STRING.finditer(m[1]))[1:]:
+                if is_secret(s[2], 2):
+                    yield m.start(1) + s.start(2), m.start(1) + s.end(2), "argument"
+                    break
+    for m in _USER.finditer(text):
+        if is_secret(m[2], 2):
+            yield m.start(2), m.end(2), "argument"
+    remark = _COMMENT.search(text)
+    if remark:
+        body = remark.lastindex
+        pair = re.match(r"([a-z][\w.-]{2,30})\s+([^\s,;]{6,80})$", remark[body])
+        m = _LOGIN.search(text, remark.start(body), remark.end(body))
+        while m:
+            if is_secret(m[2], 2):
+                yield m.start(2), m.end(2), "remark"
+            m = _LOGIN.search(text, m.end(1), remark.end(body))
+        if pair and is_secret(pair[2], 2):
+            yield remark.start(body) + pair.start(2), remark.start(body) + pair.end(2), "remark"
+    if remark or not re.search(r"[;{}=]", text):
+        for m in _REMARK.finditer(text):
+            at = m.start(2)
+            for token in re.finditer(r"[^\s'\"`,;()<>\[\]{}]{6,200}", text[at : m.end() + 80]):
+                value = token[0].rstrip(".:")
+                if is_secret(value, 2):
+                    yield at + token.start(), at + token.start() + len(value), "remark"
+                    break
+    for m in _COMPARED.finditer(text):
+        if is_secret(m[3], announces(m[1])):
+            yield m.start(3), m.end(3), "compared"
+    for m in _ASSIGNED.finditer(text):
+        if is_secret(m[3], 0) and not OTHER_PARTS.intersection(p.lower() for p in _PARTS.findall(m[1])[-1:]):
+            yield m.start(3), m.end(3), "assigned"
+
+
+_NEXT_PIECE = re.compile(r"""['"`]\s*(?:\.|\+)\s*['"`]([^'"`\n]*)(?=['"`])""")
+
+
+def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The spans of a value that is written in pieces; the first is (start, end)."""
+    spans = [(start, end)]
+    while m := _NEXT_PIECE.match(text, spans[-1][1]):
+        spans.append((m.start(1), m.end(1)))
+    return spans
+
+
+def redacted(text: str, mark: str = "*") -> str:
+    """The text with every credential blanked, character for character; quotes, lines and code keep their places."""
+    out, at = [], 0
+    for start, end, _ in find(text):
+        for s, e in pieces(text, start, end):
+            if s >= at:
+                out += [text[at:s], re.sub(r"[^\s]", mark, text[s:e])]
+                at = e
+    return "".join([*out, text[at:]])
+
+
+def find_secrets(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id_column, start_char (from 1, in characters), length, kind: one row per credential and id.
+
+    NULL ids and texts give no rows, repeated rows count once, other columns are ignored.
+    """
+    texts = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(key, s + 1, e - s, kind) for key, text in zip(pdf["id"], pdf["text"], strict=True) for s, e, kind in find(text)]
+            yield pd.DataFrame(out, columns=[id_column, "start_char", "length", "kind"])
+
+    return texts.mapInPandas(run, f"{id_column} {texts.schema['id'].dataType.simpleString()}, start_char int, length int, kind string").distinct()
+
+
+def redact(rows: DataFrame, text_column: str) -> DataFrame:
+    """`rows` with the credentials in `text_column` blanked; NULL stays NULL."""
+
+    @F.pandas_udf("string")
+    def blank(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else redacted(t))
+
+    return rows.withColumn(text_column, blank(F.col(text_column)))

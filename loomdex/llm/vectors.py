@@ -19,14 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.sources.shared import shared_table
+from loomdex.sources.shared import shared_table, small_side
 
 SAMPLE_ROWS = 16_384  # bound of the training sample of one model
 MAX_CELLS = 4_096
 BLOCK_ROWS = 8_192  # rows of a base block, the unit a task holds
-PROBES = 12
+PROBES = 6
 CODE_SPAN = 1_024  # numbers whose int8 products a float32 sum holds exactly
 SALTS = 16
+SMALL_KEYS = 100_000  # keys with several rows that may be broadcast, about 10 MB
 
 
 def newest_vectors(rows: DataFrame) -> DataFrame:
@@ -36,15 +37,15 @@ def newest_vectors(rows: DataFrame) -> DataFrame:
     created_at is older than any other; rows equal in time are decided by their values, so that
     repeated runs agree. If the newest row is unusable, the key has no vector.
     """
+    rows = rows.select("model_name", "text_hash", "dim", "vector", "created_at").where("model_name is not null and text_hash is not null")
+    keys = ["model_name", "text_hash"]
+    repeated = shared_table(rows.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1").select(*keys), "p1-repeated")
+    repeated = small_side(repeated, SMALL_KEYS)
     order = F.struct(F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp")).alias("t"), "dim", "vector")
-    newest = (
-        rows.select("model_name", "text_hash", "dim", "vector", "created_at")
-        .where("model_name is not null and text_hash is not null")
-        .groupBy("model_name", "text_hash")
-        .agg(F.max(order).alias("row"))
-        .select("model_name", "text_hash", F.col("row.dim").alias("dim"), F.col("row.vector").alias("vector"))
-    )
-    return newest.where(usable("vector", "dim")).select("model_name", "text_hash", "vector")
+    newest = rows.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.max(order).alias("row"))
+    newest = newest.select(*keys, F.col("row.dim").alias("dim"), F.col("row.vector").alias("vector"))
+    single = rows.join(repeated, keys, "left_anti").select(*keys, "dim", "vector")
+    return newest.unionByName(single).where(usable("vector", "dim")).select(*keys, "vector")
 
 
 def usable(vector: str, dim: str) -> Column:
@@ -63,7 +64,8 @@ def unit(vectors: pd.Series) -> np.ndarray:
 def similar_vectors(rows: DataFrame, k: int = 5, probes: int = PROBES, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
     """model_name, text_hash, neighbour_hash, cosine, rank: the k best neighbours of every usable vector.
 
-    Only vectors of one model and length are compared. Equal cosines rank by neighbour_hash. Vectors that
+    Only vectors of one model and length are compared. Equal cosines rank by neighbour_hash; which of several
+    different directions with equal cosines is the k-th is left open. Vectors that
     agree in direction to five decimals are one class: one representative is searched, the class's members
     are each other's first neighbours, so a hot group of copies costs no more than its rows. An empty
     table gives no rows; other columns of `rows` are ignored.
@@ -74,11 +76,14 @@ def similar_vectors(rows: DataFrame, k: int = 5, probes: int = PROBES, block_row
     located = shared_table(
         newest_vectors(rows).mapInPandas(
             lambda batches: locate(batches, cells.value, probes), "model string, text_hash string, v array<float>, cells array<int>, direction binary"
-        ),
+        ).withColumn("uid", F.monotonically_increasing_id()),
         "p1-located",
     )
-    members, first = copy_classes(located.select("model", "text_hash", "direction"), k)
+    members, first = copy_classes(located.select("model", "text_hash", "uid", "direction"), k)
     found = search_representatives(located, members, centroids, k, block_rows)
+    named = located.select("model", "text_hash", "uid")
+    near = named.select(F.col("uid").alias("near"), F.col("text_hash").alias("neighbour_hash"))
+    found = found.join(near, "near").join(named, "uid").select("model", "text_hash", "neighbour_hash", "cosine")
     return expand_classes(found, members, first, k)
 
 
@@ -150,45 +155,46 @@ def locate(batches: Iterator[pd.DataFrame], cells: dict[str, np.ndarray], probes
 def copy_classes(ids: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """members: every member of a class of two or more, with representative and class size. first: its k + 1 smallest."""
     classes = ids.groupBy("model", "direction").agg(F.min("text_hash").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    members = shared_table(ids.join(classes, ["model", "direction"]).select("model", "rep", "size", "text_hash"), "p1-copies")
+    members = shared_table(ids.join(classes, ["model", "direction"]).select("model", "rep", "size", "text_hash", "uid"), "p1-copies")
     order = W.partitionBy("model", "rep").orderBy("text_hash")
-    first = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+    first = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n", "uid")
     return members, first
 
 
 def search_representatives(located: DataFrame, members: DataFrame, centroids: dict[str, np.ndarray], k: int, block_rows: int) -> DataFrame:
     spark = located.sparkSession
-    later = members.where("text_hash != rep").select("model", "text_hash")
-    reps = located.join(later, ["model", "text_hash"], "left_anti")
+    later = small_side(members.where("text_hash != rep").select("uid"), 10 * SMALL_KEYS)
+    reps = located.join(later, "uid", "left_anti")
     sizes = reps.groupBy("model", F.element_at("cells", 1).alias("cell")).agg(F.count("*").alias("n")).collect()
-    plan = spark.sparkContext.broadcast(plan_groups(sizes, centroids, block_rows))
+    groups = plan_groups(sizes, centroids, block_rows)
+    plan = spark.sparkContext.broadcast({m: (i, *groups[m]) for i, m in enumerate(sorted(groups))})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
-            for model, text_hash, v, cells, salt in zip(pdf["model"], pdf["text_hash"], pdf["v"], pdf["cells"], pdf["salt"], strict=True):
-                groups, blocks = plan.value[model]
+            for model, uid, v, cells in zip(pdf["model"], pdf["uid"], pdf["v"], pdf["cells"], strict=True):
+                number, groups, blocks = plan.value[model]
                 home = groups[cells[0]]
                 goes: dict[int, list[int]] = {}
                 for c in cells:
                     goes.setdefault(groups[c], []).append(int(c))
                 for g, probed in goes.items():
-                    own = salt % blocks[g] if g == home else -1
+                    own = (uid * 0x9E3779B97F4A7C15 >> 40) % blocks[g] if g == home else -1
                     for b in range(blocks[g]):
-                        out.append((model, g, b, text_hash, v, probed, int(cells[0]) if b == own else -1))
-            yield pd.DataFrame(out, columns=["model", "grp", "block", "text_hash", "v", "probed", "home"])
+                        out.append((number, g, b, uid, v, probed, int(cells[0]) if b == own else -1))
+            yield pd.DataFrame(out, columns=["model", "grp", "block", "uid", "v", "probed", "home"])
 
-    schema = "model string, grp int, block int, text_hash string, v array<float>, probed array<int>, home int"
-    spreaded = reps.select("model", "text_hash", "v", "cells", F.pmod(F.xxhash64("text_hash"), F.lit(1 << 20)).cast("int").alias("salt")).mapInPandas(spread, schema)
+    schema = "model int, grp int, block int, uid bigint, v array<float>, probed array<int>, home int"
+    spreaded = reps.select("model", "uid", "v", "cells").mapInPandas(spread, schema)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["text_hash"].to_numpy()
-        pairs = tile_join(np.stack(pdf["v"].to_numpy()).astype(np.float32), ids, pdf["home"].to_numpy(), pdf["probed"].to_numpy(), k)
-        q, b, s = pairs
-        return pd.DataFrame({"model": pdf["model"].iloc[0], "text_hash": ids[q], "neighbour_hash": ids[b], "cosine": s})
+        ids = pdf["uid"].to_numpy()
+        q, b, s = tile_join(np.stack(pdf["v"].to_numpy()).astype(np.float32), ids, pdf["home"].to_numpy(), pdf["probed"].to_numpy(), k)
+        return pd.DataFrame({"uid": ids[q], "near": ids[b], "cosine": s})
 
-    found = spreaded.groupBy("model", "grp", "block").applyInPandas(match, "model string, text_hash string, neighbour_hash string, cosine double")
-    return best(found, k)
+    found = spreaded.groupBy("model", "grp", "block").applyInPandas(match, "uid bigint, near bigint, cosine double")
+    order = W.partitionBy("uid").orderBy(F.desc("cosine"), "near")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
 def plan_groups(sizes: list, centroids: dict[str, np.ndarray], block_rows: int) -> dict[str, tuple[list[int], list[int]]]:
@@ -295,7 +301,7 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def expand_classes(found: DataFrame, members: DataFrame, first: DataFrame, k: int) -> DataFrame:
     """Put the members of classes in place of representatives, on both sides."""
     near = first.select("model", F.col("rep").alias("neighbour_hash"), F.col("text_hash").alias("copy"))
-    wide = found.drop("rank").join(near, ["model", "neighbour_hash"], "left").withColumn("neighbour_hash", F.coalesce("copy", "neighbour_hash")).drop("copy")
+    wide = found.join(near, ["model", "neighbour_hash"], "left").withColumn("neighbour_hash", F.coalesce("copy", "neighbour_hash")).drop("copy")
     # a class of more than k members finds all its neighbours in itself, so only small classes take over others
     small = members.where(F.col("size") <= k).select("model", F.col("rep").alias("text_hash"), F.col("text_hash").alias("copy"))
     large = members.where((F.col("size") > k) & (F.col("text_hash") == F.col("rep"))).select("model", "text_hash")
