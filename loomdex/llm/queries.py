@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.llm.docpairs import documented_functions
+from loomdex.llm.handwritten import classify_files
 from loomdex.llm.language import label_documents, label_segments
 from loomdex.llm.leaks import leaks
 from loomdex.llm.neardup import groups, near_duplicates, pairs_of_ids
@@ -55,5 +57,21 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redact(read(spark, folder, "chunk_fts").select("chunk_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p6_found, p6_groups, p9_found, p9_leaks, p10_found, p10_documents)}
+def p4_files(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_files(read(spark, folder, "chunk_fts"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_files(spark, folder).where("kind != 'handwritten'").select("source_name", "path")
+
+
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return documented_functions(*(read(spark, folder, t) for t in ("php_ast_symbol", "php_doc_info", "raw_files")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_pairs(spark, folder).select("source_name", "path", "name", "start_line")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p4_files, p5_found, p5_pairs, p6_found, p6_groups, p9_found, p9_leaks, p10_found, p10_documents)}
 SQL: dict[str, str] = {}
