@@ -62,7 +62,7 @@ def _same_word(word: str, part: str) -> bool:
     if word == part:
         return True
     stem = part[:-1] if len(part) > 3 and part[-1] in "ey" else part
-    return len(stem) >= 3 and word.startswith(stem) and word[len(stem) :] in ("s", "es", "ed", "d", "ing", "e", "er", "ers", "ies", "ied", "al", "tion", "ation", "y", stem[-1] + "ing", stem[-1] + "ed", stem[-1] + "er")
+    return len(stem) >= 3 and word.startswith(stem) and word[len(stem) :] in ("s", "es", "ys", "ying", "ed", "d", "ing", "e", "er", "ers", "ies", "ied", "al", "tion", "ation", "y", stem[-1] + "ing", stem[-1] + "ed", stem[-1] + "er")
 
 
 def says_nothing(description: str | None, name: str, kind: str) -> bool:

@@ -10,6 +10,7 @@ from loomdex.llm.handwritten import classify_files
 from loomdex.llm.language import label_documents, label_segments
 from loomdex.llm.leaks import leaks
 from loomdex.llm.neardup import groups, near_duplicates, pairs_of_ids
+from loomdex.llm.parsing import check_files, rates
 from loomdex.llm.secrets import find_secrets, redact
 from loomdex.llm.vectors import similar_vectors
 
@@ -73,5 +74,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pairs(spark, folder).select("source_name", "path", "name", "start_line")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p4_files, p5_found, p5_pairs, p6_found, p6_groups, p9_found, p9_leaks, p10_found, p10_documents)}
+def p7_files(spark: SparkSession, folder: str) -> DataFrame:
+    return check_files(read(spark, folder, "chunk_fts"), read(spark, folder, "raw_files"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_files(spark, folder).where("not valid").select("source_name", "path")
+
+
+def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return rates(p7_files(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p4_files, p5_found, p5_pairs, p6_found, p6_groups, p7_found, p7_rates, p9_found, p9_leaks, p10_found, p10_documents)}
 SQL: dict[str, str] = {}
