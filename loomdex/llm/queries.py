@@ -10,6 +10,7 @@ from loomdex.llm.handwritten import classify_files
 from loomdex.llm.language import label_documents, label_segments
 from loomdex.llm.leaks import leaks
 from loomdex.llm.neardup import groups, near_duplicates, pairs_of_ids
+from loomdex.llm.packing import pack, report
 from loomdex.llm.parsing import check_files, rates
 from loomdex.llm.secrets import find_secrets, redact
 from loomdex.llm.vectors import similar_vectors
@@ -86,5 +87,13 @@ def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rates(p7_files(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p4_files, p5_found, p5_pairs, p6_found, p6_groups, p7_found, p7_rates, p9_found, p9_leaks, p10_found, p10_documents)}
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(read(spark, folder, "documents"), read(spark, folder, "pack_capacity"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return report(p8_pack(spark, folder), read(spark, folder, "pack_capacity"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p4_files, p5_found, p5_pairs, p6_found, p6_groups, p7_found, p7_rates, p8_pack, p8_report, p9_found, p9_leaks, p10_found, p10_documents)}
 SQL: dict[str, str] = {}
