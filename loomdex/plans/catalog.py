@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomdex.plans import incremental
+from loomdex.plans import incremental, retrieval, scans, state
 
-MODULES = (incremental,)
+MODULES = (incremental, scans, retrieval, state)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
