@@ -81,10 +81,13 @@ def similar_vectors(rows: DataFrame, k: int = 5, probes: int = PROBES, block_row
     )
     members, first = copy_classes(located.select("model", "text_hash", "uid", "direction"), k)
     found = search_representatives(located, members, centroids, k, block_rows)
+    pairs = expand_classes(found, members, first, k)
     named = located.select("model", "text_hash", "uid")
-    near = named.select(F.col("uid").alias("near"), F.col("text_hash").alias("neighbour_hash"))
-    found = found.join(near, "near").join(named, "uid").select("model", "text_hash", "neighbour_hash", "cosine")
-    return expand_classes(found, members, first, k)
+    # names come last and one side at a time: ranking and the second join share one partitioning by uid
+    spelled = pairs.join(named.select(F.col("uid").alias("near"), F.col("text_hash").alias("neighbour_hash")), "near").drop("near")
+    order = W.partitionBy("uid").orderBy(F.desc("cosine"), "neighbour_hash")
+    ranked = spelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.join(named, "uid").select(F.regexp_replace("model", "/[0-9]+$", "").alias("model_name"), "text_hash", "neighbour_hash", "cosine", "rank")
 
 
 def train_cells(rows: DataFrame, seed: int) -> dict[str, np.ndarray]:
@@ -153,17 +156,18 @@ def locate(batches: Iterator[pd.DataFrame], cells: dict[str, np.ndarray], probes
 
 
 def copy_classes(ids: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """members: every member of a class of two or more, with representative and class size. first: its k + 1 smallest."""
-    classes = ids.groupBy("model", "direction").agg(F.min("text_hash").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    members = shared_table(ids.join(classes, ["model", "direction"]).select("model", "rep", "size", "text_hash", "uid"), "p1-copies")
-    order = W.partitionBy("model", "rep").orderBy("text_hash")
-    first = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n", "uid")
-    return members, first
+    """members: every member of a class of two or more, with its representative and the class's size. first: its k + 1 smallest."""
+    classes = ids.groupBy("model", "direction").agg(F.min(F.struct("text_hash", "uid")).alias("least"), F.count("*").alias("size")).where("size > 1")
+    classes = classes.select("model", "direction", F.col("least.uid").alias("rep"), "size")
+    members = shared_table(ids.join(classes, ["model", "direction"]).select("rep", "size", "text_hash", "uid"), "p1-copies")
+    order = W.partitionBy("rep").orderBy("text_hash")
+    first = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("rep", F.col("uid").alias("copy"))
+    return members.drop("text_hash"), first
 
 
 def search_representatives(located: DataFrame, members: DataFrame, centroids: dict[str, np.ndarray], k: int, block_rows: int) -> DataFrame:
     spark = located.sparkSession
-    later = small_side(members.where("text_hash != rep").select("uid"), 10 * SMALL_KEYS)
+    later = small_side(members.where("uid != rep").select("uid"), 10 * SMALL_KEYS)
     reps = located.join(later, "uid", "left_anti")
     sizes = reps.groupBy("model", F.element_at("cells", 1).alias("cell")).agg(F.count("*").alias("n")).collect()
     groups = plan_groups(sizes, centroids, block_rows)
@@ -293,23 +297,14 @@ def merge_best(best_s: np.ndarray, best_i: np.ndarray, rank: np.ndarray, q: np.n
     best_s[q], best_i[q] = s[take], i[take]
 
 
-def best(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("model", "text_hash").orderBy(F.desc("cosine"), "neighbour_hash")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def expand_classes(found: DataFrame, members: DataFrame, first: DataFrame, k: int) -> DataFrame:
-    """Put the members of classes in place of representatives, on both sides."""
-    near = first.select("model", F.col("rep").alias("neighbour_hash"), F.col("text_hash").alias("copy"))
-    wide = found.join(near, ["model", "neighbour_hash"], "left").withColumn("neighbour_hash", F.coalesce("copy", "neighbour_hash")).drop("copy")
+    """uid, near, cosine with the members of classes in place of representatives, on both sides."""
+    wide = found.join(first.withColumnRenamed("rep", "near"), "near", "left").select("uid", F.coalesce("copy", "near").alias("near"), "cosine")
     # a class of more than k members finds all its neighbours in itself, so only small classes take over others
-    small = members.where(F.col("size") <= k).select("model", F.col("rep").alias("text_hash"), F.col("text_hash").alias("copy"))
-    large = members.where((F.col("size") > k) & (F.col("text_hash") == F.col("rep"))).select("model", "text_hash")
-    taken = wide.join(large, ["model", "text_hash"], "left_anti").join(small, ["model", "text_hash"], "left")
-    taken = taken.select("model", F.coalesce("copy", "text_hash").alias("text_hash"), "neighbour_hash", "cosine")
-    salt = F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)).cast("int")
-    spread = first.select("model", "rep", F.col("text_hash").alias("neighbour_hash"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = members.withColumn("salt", salt).join(spread, ["model", "rep", "salt"]).where("text_hash != neighbour_hash")
-    both = taken.unionByName(own.select("model", "text_hash", "neighbour_hash", F.lit(1.0).alias("cosine")))
-    ranked = best(both, k)
-    return ranked.select(F.regexp_replace("model", "/[0-9]+$", "").alias("model_name"), "text_hash", "neighbour_hash", "cosine", "rank")
+    small = members.where(F.col("size") <= k).select(F.col("rep").alias("uid"), F.col("uid").alias("member"))
+    large = members.where((F.col("size") > k) & (F.col("uid") == F.col("rep"))).select("uid")
+    taken = wide.join(large, "uid", "left_anti").join(small, "uid", "left").select(F.coalesce("member", "uid").alias("uid"), "near", "cosine")
+    salt = F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")
+    spread = first.select("rep", F.col("copy").alias("near"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = members.withColumn("salt", salt).join(spread, ["rep", "salt"]).where("uid != near")
+    return taken.unionByName(own.select("uid", "near", F.lit(1.0).alias("cosine")))
