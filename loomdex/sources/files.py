@@ -22,7 +22,8 @@ def scan_folder(spark: SparkSession, name: str, root: str, include: list[str] |
     """source_name, path, rel_path, language, size_bytes[, text]: the regular files below `root`, sorted by path where `max_files` is set.
 
     Includes are globs from the root, excludes ignore-file patterns. Bytes that are no UTF-8 become U+FFFD.
-    Without text the contents are not read.
+    Without text the contents are not read. Spark's file source leaves out files of no bytes: they count as
+    gone, so pruning clears them; a file of blanks is an empty one.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
