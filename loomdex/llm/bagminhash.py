@@ -17,6 +17,10 @@ _B = np.uint64(0xBF58476D1CE4E5B9)
 _C = np.uint64(0x94D049BB133111EB)
 
 
+def _wrapped(n: int) -> np.uint64:
+    return np.uint64(int(_A) * n & 0xFFFFFFFFFFFFFFFF)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
     h = (h ^ (h >> np.uint64(30))) * _B
@@ -46,7 +50,7 @@ def _follow(registers: np.ndarray, elements: np.ndarray, weights: np.ndarray, ow
         if not inside.any():
             return
         e, w, o = elements[inside], weights[inside], owner[inside]
-        state = mix(e + _A * np.uint64(2 * level + 1))
+        state = mix(e + _wrapped(2 * level + 1))
         time = np.zeros(len(e))
         while len(e):
             state = mix(state + _A)
@@ -65,7 +69,7 @@ def bands(registers: np.ndarray, rows: int) -> np.ndarray:
     sets, m = registers.shape
     out = np.empty((sets, m // rows), dtype=np.uint64)
     for b in range(m // rows):
-        key = np.full(sets, _A * np.uint64(b + 1))
+        key = np.full(sets, _wrapped(b + 1))
         for r in range(b * rows, (b + 1) * rows):
             key = mix(key ^ registers[:, r])
         out[:, b] = key

@@ -130,13 +130,17 @@ def fit(sample: dict[str, list[str]], rounds: int = 4) -> Model:
     """sample: words of segments by label. Wrong labels are few in each language: segments move to the label whose
     word counts explain them best (naive Bayes, repeated), and the dictionaries are made of those that are clear."""
     held = [(label, words, sorted(set(words.split(" ")))) for label, texts in sorted(sample.items()) for words in sorted(set(texts))]
+    # words as typed in Latin letters speak for the language whose letters they stand for
+    typed = [sorted({w for t in latin(text, label) for w in t.split(" ")} - set(words)) if label not in LATIN or is_cyrillic(text) else [] for label, text, words in held]
     now = [label for label, _, _ in held]
     clear = [True] * len(held)
     for _ in range(rounds):
         counts: dict[str, Counter] = {language: Counter() for language in LANGUAGES}
-        for label, sure, (_, _, words) in zip(now, clear, held, strict=True):
+        for label, sure, (named, _, words), more in zip(now, clear, held, typed, strict=True):
             if sure:
                 counts[label].update(words)
+                if label == named:
+                    counts[label].update(more)
         size = {language: sum(c.values()) for language, c in counts.items()}
         known = {language for language in LANGUAGES if size[language]}
         for i, (_, _, words) in enumerate(held):
