@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Parts of names that announce a credential, and those that announce something else.
-SECRET_PARTS = frozenset("password passwd pwd pass passphrase passwort kennwort пароль secret token apikey jwt auth authorization credential credentials creds bearer".split())
+SECRET_PARTS = frozenset("password passwd pwd pass passphrase passwort kennwort пароль secret token apikey jwt auth authorization credential credentials creds bearer cookie sig signature".split())
 NOT_KEYS = frozenset("cache sort primary foreign array row map group".split())
 OTHER_PARTS = frozenset(
     "hash checksum etag sha sha1 sha256 sha384 sha512 md5 crc digest integrity commit revision fingerprint guid uuid public label labels title placeholder message hint url uri path file name field column id type icon image svg count length cache csrf".split()
@@ -38,6 +38,8 @@ _NAMED = re.compile(
 _ATTRIBUTE = re.compile(r"""(?i)\b(?:name|id|key)\s*=\s*["']([\w.-]+)["'][^<>\n]{0,80}?\b(?:value|content)\s*=\s*(["'])([^"'\n]{6,400})\2""")
 _LIST = re.compile(r"([\w$]+)['\"]?\s*(?:=>|=|:)\s*(?:array\(|\[)\s*(['\"`])[^'\"`\n]*\2\s*,\s*(['\"`])([^'\"`\n]{6,200})\3")
 _CALL = re.compile(r"(?i)\b\w*(?:connect|connection|login|auth|authenticate|signin|mysqli|pdo|client|logon|bind|credential|credentials|password)\w*\s*\(((?:\s*(?:['\"`])[^'\"`\n]*['\"`]\s*,?){2,6})")
+_ARGUMENTS = re.compile(r"\(\s*(['\"])([\w.-]{3,60})\1\s*,\s*(['\"`])([^'\"`\n]{6,400})\3")
+_REQUEST = re.compile(r"\$_(?:GET|POST|REQUEST|COOKIE|SERVER)\b|\b(?:req|request)\.(?:query|body|headers|params)\b")
 _COMPARED = re.compile(r"([\w-]*)['\"]?\]?\)?\s*[!=]==?\s*(['\"`])([^\s'\"`]{16,120})\2")
 _ASSIGNED = re.compile(r"([\w$-]+)['\"]?\]?\s*(?:=>|=|:)\s*(['\"`])([^\s'\"`]{20,72})\2")
 _STRING = re.compile(r"(['\"`])((?:(?!\1)[^\n\\]|\\.)*)\1")
@@ -50,7 +52,7 @@ _REMARK = re.compile(r"(?i)\b(?:password|passwd|passphrase|pass|пароль|п
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}")
 _KNOWN = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{18,}|xox[abprs]-[\w-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{30,}|npm_[A-Za-z0-9]{30,}|SG\.[\w-]{16,}\.[\w-]{16,})")
 # Every form above needs one of these in its line, in lower case.
-HINTS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "jwt", "cred", "парол", "://", "bearer", "basic ", "login", "account", "доступ", "логин", "connect", "client", "eyj", "учетк", "учётк", "обліков", "zugang", "acceso", "akia", "gh", "sk_", "sk-", "xox", "npm_", "glpat", "aiza", "mysqli", "pdo(", "kennwort", "contrase", "mot de", "konto", "compte", "cuenta", "pem", "ключ", "schlüssel", "clave", "clé", "curl")
+HINTS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "jwt", "cred", "парол", "://", "bearer", "basic ", "login", "account", "доступ", "логин", "connect", "client", "eyj", "учетк", "учётк", "обліков", "zugang", "acceso", "akia", "gh", "sk_", "sk-", "xox", "npm_", "glpat", "aiza", "mysqli", "pdo(", "kennwort", "contrase", "mot de", "konto", "compte", "cuenta", "pem", "ключ", "schlüssel", "clave", "clé", "curl", "cookie", "$_", "req", "sig=", "?k=")
 COMMENTS = ("// ", "<!-- ", "\n# ", "\n; ", "\n* ", " * ")
 _CANDIDATE = re.compile(r"[^\s'\"`,;()\[\]{}<>=]*(?:[\d!@#%^&*+~$][A-Za-z]|[A-Za-z][\d!@#%^&*+~])[^\s'\"`,;()\[\]{}<>=]*|[A-Za-z0-9+/=_.-]{16}")
 _QUOTED = re.compile(r"(['\"`])([A-Za-z0-9+/=_.~-]{20,60})\1")
@@ -112,7 +114,7 @@ def identifier_like(value: str) -> bool:
     if re.fullmatch(r"[\W_]*(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,})(?:[._:/\\-]?(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,}))*(?:[._-]?\d{1,4})?[\W_]*", value):
         caps = sum(1 for a, b in zip(value, value[1:], strict=False) if a.islower() and b.isupper())
         odd = re.search(r"[a-z][^\w\s./:\\-][A-Za-z]|[^\w\s./:\\,;-]$", value)
-        return caps <= max(1, len(value) // 6) and not odd and not (re.search(r"\d", value) and re.search(r"[A-Z]", value) and re.search(r"[_-]", value))
+        return caps <= max(1, len(value) // 6) and not odd and not (re.search(r"\d", value) and re.search(r"[A-Z]", value) and re.search(r"[._-]", value))
     return bool(re.fullmatch(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::\d+)?(?:/\S*)?|[\d.:/_+-]+|#[0-9a-fA-F]{3,8}|v?\d+(?:\.\d+)+\S*", value))
 
 
@@ -133,6 +135,12 @@ def weak_password(value: str) -> bool:
     return sum(classes) >= 3 or (classes[3] and sum(classes) >= 2 and bool(re.search(r"[!@#$%^&*+=?~]", value)))
 
 
+def mixed_case(value: str) -> bool:
+    """Letters whose case changes too often for words."""
+    changes = sum(1 for a, b in zip(value, value[1:], strict=False) if a.isalpha() and b.isalpha() and a.islower() != b.islower())
+    return len(value) >= 8 and changes >= 0.33 * (len(value) - 1)
+
+
 def is_secret(value: str, context: int) -> bool:
     if len(value) < 6 or excluded(value) or identifier_like(value):
         return False
@@ -142,7 +150,7 @@ def is_secret(value: str, context: int) -> bool:
     if context == 2:
         if _UUID.fullmatch(value):
             return True
-        return weak_password(value) or (len(value) >= 8 and random_like(value, 0.8) and bool(re.search(r"\d", value))) or (len(value) >= 16 and random_like(value, 0.85))
+        return weak_password(value) or mixed_case(value) or (len(value) >= 8 and random_like(value, 0.8) and bool(re.search(r"\d", value))) or (len(value) >= 16 and random_like(value, 0.85))
     if _UUID.fullmatch(value) or kind == "hex":
         return False
     if not (random_like(value, 0.85) and re.search(r"\d", value) and re.search(r"[a-z]", value)) or value.startswith(("sha", "md5")):
@@ -219,6 +227,10 @@ def _in_line(text: str) -> Iterator[tuple[int, int, str]]:
             value, at = (m[3], m.start(3)) if m[2] else (m[4], m.start(4))
             if value and is_secret(value, context):
                 yield at, at + len(value), "named"
+    if "(" in text:
+        for m in _ARGUMENTS.finditer(text):
+            if announces(m[2]) == 2 and is_secret(m[4], 2):
+                yield m.start(4), m.end(4), "argument"
     for m in _ATTRIBUTE.finditer(text):
         if announces(m[1]) and is_secret(m[3], 2):
             yield m.start(3), m.end(3), "named"
@@ -245,7 +257,7 @@ def _in_line(text: str) -> Iterator[tuple[int, int, str]]:
             m = _LOGIN.search(text, m.end(1), remark.end(body))
         if pair and is_secret(pair[2], 2):
             yield remark.start(body) + pair.start(2), remark.start(body) + pair.end(2), "remark"
-    if remark or not re.search(r"[;{}=]", text):
+    if remark or not re.search(r"[;{}]|\s=\s|==|=>|=['\"]", text):
         for m in _REMARK.finditer(text):
             at = m.start(2)
             for token in re.finditer(r"[^\s'\"`,;()<>\[\]{}]{6,200}", text[at : m.end() + 80]):
@@ -254,7 +266,7 @@ def _in_line(text: str) -> Iterator[tuple[int, int, str]]:
                     yield at + token.start(), at + token.start() + len(value), "remark"
                     break
     for m in _COMPARED.finditer(text):
-        if is_secret(m[3], announces(m[1])):
+        if is_secret(m[3], 2 if _REQUEST.search(text, 0, m.start(3)) else announces(m[1])):
             yield m.start(3), m.end(3), "compared"
     for m in _ASSIGNED.finditer(text):
         if is_secret(m[3], 0) and not OTHER_PARTS.intersection(p.lower() for p in _PARTS.findall(m[1])[-1:]):
