@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomdex.sources.shared import shared_table
 
-QUERY_BYTES = 256 << 20  # queries of one search that may go to every task
+QUERY_BYTES = 256 << 20  # queries of one pass, which go to every task
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -32,6 +32,11 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+def vector_size(embed: Callable[[list[str]], np.ndarray]) -> int:
+    """The length of an embedder's vectors, found by embedding one word."""
+    return int(np.asarray(embed(["test"])).shape[1])
+
+
 def text_hash(prefix: str, text: str = "text"):
     return F.sha2(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))), 256)
 
@@ -71,18 +76,27 @@ def nearest(points: DataFrame, queries: DataFrame, limit: int = 10, metric: str
     """query_id, id, score, rank: exact nearest points of every query; points have `id`, `vector`, queries `query_id`, `vector`.
 
     cosine and dot: greater is better; l2: less. `threshold` keeps scores at least (l2: at most) so good. The
-    queries, a stated set, go to all tasks (their size is checked) and meet the points block by block in
-    matrix products; a task keeps `limit` rows of each query, so the points are never shuffled. Larger query
-    sets are searched in several passes by the caller. NULL and empty vectors take no part.
+    queries, a stated set, go to all tasks and meet the points block by block in matrix products; a task keeps
+    `limit` rows of each query, so the points are never shuffled. Queries above QUERY_BYTES are searched in
+    several passes, each written before the next. NULL and empty vectors take no part.
     """
+    usable = queries.where("query_id is not null and vector is not null and size(vector) > 0").select("query_id", "vector")
+    numbers = usable.agg(F.sum(F.size("vector"))).head()[0] or 0
+    passes = max(1, -(-8 * numbers // QUERY_BYTES))
+    if passes == 1:
+        return _nearest(points, usable, limit, metric, threshold)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    parts = [shared_table(_nearest(points, usable.where(number == n), limit, metric, threshold), "nearest") for n in range(passes)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _nearest(points: DataFrame, queries: DataFrame, limit: int, metric: str, threshold: float | None) -> DataFrame:
     spark = points.sparkSession
-    rows = queries.where("query_id is not null and vector is not null and size(vector) > 0").select("query_id", "vector").collect()
-    if not rows:
-        q, ids = np.zeros((0, 1)), []
-    else:
-        q, ids = np.array([r["vector"] for r in rows], dtype=np.float64), [r["query_id"] for r in rows]
-    if q.nbytes > QUERY_BYTES:
-        raise ValueError(f"{len(rows)} queries are above {QUERY_BYTES} bytes: search them in several passes")
+    rows = queries.collect()
+    q, ids = (np.array([r["vector"] for r in rows], dtype=np.float64), [r["query_id"] for r in rows]) if rows else (np.zeros((0, 1)), [])
     shipped = spark.sparkContext.broadcast((q, ids))
     sign = -1.0 if metric == "l2" else 1.0
 
@@ -125,4 +139,4 @@ def embed_queries(queries: DataFrame, embed: Callable[[list[str]], np.ndarray],
     return queries.select("query_id", "query").mapInPandas(run, f"query_id {kind}, vector array<float>")
 
 
-__all__ = ["cache_misses", "cache_statistics", "embed_cached", "embed_queries", "hashing_embedder", "nearest", "text_hash"]
+__all__ = ["cache_misses", "cache_statistics", "embed_cached", "embed_queries", "hashing_embedder", "nearest", "text_hash", "vector_size"]

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomdex.operators.indexing import IndexStore, index_source
+
 
 def stream_files(spark: SparkSession, folder: str, schema: str, checkpoint: str, handle: Callable[[DataFrame, int], None], files_per_trigger: int = 64) -> StreamingQuery:
     """Hand new Parquet files of a folder to `handle(batch, batch_id)`, each exactly once if it is idempotent by batch id.
@@ -18,6 +20,12 @@ def stream_files(spark: SparkSession, folder: str, schema: str, checkpoint: str,
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_index(spark: SparkSession, folder: str, store: IndexStore, model: str, embed: Callable, checkpoint: str, files_per_trigger: int = 64) -> StreamingQuery:
+    """Index Parquet files of the shape of `sources.files` as they arrive. A batch that is repeated after a failure finds its files unchanged."""
+    schema = "source_name string, path string, rel_path string, language string, size_bytes bigint, text string"
+    return stream_files(spark, folder, schema, checkpoint, lambda batch, number: index_source(store, batch, model, embed), files_per_trigger)
+
+
 def with_event_time(events: DataFrame) -> DataFrame:
     """`ts` as a timestamp with zone, which watermarks need."""
     return events.withColumn("ts", F.col("ts").cast("timestamp"))

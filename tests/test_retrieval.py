@@ -73,6 +73,15 @@ def test_nearest_equals_brute_force(spark, metric):
     assert dense.nearest(points, queries.limit(0), 5).count() == 0
 
 
+def test_many_queries_go_in_passes(spark, monkeypatch):
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id int, vector array<float>")
+    queries = points.withColumnRenamed("id", "query_id")
+    once = sorted(map(tuple, dense.nearest(points, queries, 3).collect()))
+    monkeypatch.setattr(dense, "QUERY_BYTES", 200)
+    assert sorted(map(tuple, dense.nearest(points, queries, 3).collect())) == once
+    assert dense.vector_size(dense.hashing_embedder(7)) == 7
+
+
 def test_embedding_is_remembered(spark):
     calls = spark.sparkContext.accumulator(0)
     base = dense.hashing_embedder(4)

@@ -11,6 +11,7 @@ from loomdex.operators.search import MODES, one_query, respond, search
 from loomdex.operators.filters import SearchFilters
 from loomdex.sources.files import scan_folder
 from loomdex.sources.versions import VersionedTable
+from loomdex.streaming.events import stream_index
 
 FILE = "source_name string, path string, rel_path string, language string, size_bytes long, text string"
 
@@ -121,3 +122,12 @@ def test_index_search_prune(spark, tmp_path):
     prune(store, scan())
     index_source(store, scan(), "m", embed)
     assert rows(open_index(store, "m", embed).chunks, "rel_path") == [("bad.txt",)]
+
+
+def test_files_that_stream_in_are_indexed_once(spark, tmp_path):
+    store, embed = IndexStore(spark, f"file://{tmp_path}/index"), hashing_embedder()
+    spark.createDataFrame([("s", "/a.md", "a.md", "markdown", 9, "# T\nwords")], FILE).write.parquet(f"{tmp_path}/in")
+    for text in ("more", "more"):
+        stream_index(spark, f"{tmp_path}/in", store, "m", embed, f"{tmp_path}/checkpoint").awaitTermination()
+        spark.createDataFrame([("s", "/b.txt", "b.txt", "text", 4, text)], FILE).write.mode("append").parquet(f"{tmp_path}/in")
+    assert rows(store.tables()["chunks"], "path") == [("/a.md",), ("/b.txt",)]
