@@ -96,4 +96,20 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p4_files, p5_found, p5_pairs, p6_found, p6_groups, p7_found, p7_rates, p8_pack, p8_report, p9_found, p9_leaks, p10_found, p10_documents)}
-SQL: dict[str, str] = {}
+# Where an answer is exact and SQL can give it over whole tables in reasonable time. p1's operator is an index: on the small
+# tables it finds all of these; on larger ones tests measure its recall.
+SQL: dict[str, str] = {
+    "p1_found": """
+        with newest as (select model_name, text_hash, arg_max(dim, created_at) as dim, arg_max(vector, created_at) as v from dense_embedding_cache where text_hash is not null and model_name is not null and created_at is not null group by 1, 2),
+        usable as (select model_name, text_hash, v::double[] as v from newest where len(v) = dim and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x != 0)) > 0),
+        pairs as (select a.model_name, a.text_hash, b.text_hash as neighbour_hash, list_cosine_similarity(a.v, b.v) as s
+            from usable a join usable b on a.model_name = b.model_name and len(a.v) = len(b.v) and a.text_hash != b.text_hash),
+        ranked as (select *, row_number() over (partition by model_name, text_hash order by s desc, neighbour_hash) as n from pairs)
+        select model_name, text_hash, neighbour_hash from ranked where n <= 5 and s >= 0.8""",
+    "p6_found": r"""
+        with words as (select chunk_id, regexp_extract_all(lower(any_value(text)), '[\p{L}\p{N}_]+') as w from chunk_fts where chunk_id is not null and text is not null group by chunk_id),
+        runs as (select distinct chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as r from (select chunk_id, w, unnest(range(1, len(w) - 1)) as i from words where len(w) >= 20)),
+        sizes as (select chunk_id, count(*) as n from runs group by 1),
+        shared as (select a.chunk_id as a, b.chunk_id as b, count(*) as n from runs a join runs b on a.r = b.r and a.chunk_id < b.chunk_id group by 1, 2)
+        select a as chunk_id_a, b as chunk_id_b from shared s join sizes x on x.chunk_id = a join sizes y on y.chunk_id = b where s.n >= 0.7 * (x.n + y.n - s.n) - 1e-9""",
+}
