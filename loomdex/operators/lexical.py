@@ -71,13 +71,14 @@ def bm25(index: LexicalIndex, queries: DataFrame, limit: int | None = 10, allowe
 
     idf = ln((N - n + 0.5) / (n + 0.5)), IDF_FLOOR where that is not positive; N, n and lengths are those of
     the whole index, also where `allowed` (a table of ids) filters the result. Queries without words give no
-    rows. The statistics are one row and the only table that is broadcast unasked.
+    rows. N and the average length are scalar subqueries.
     """
     hits = occurrences(index, phrases(queries, key, text), key)
     df = hits.groupBy(key, "phrase_id").agg(F.countDistinct("id").alias("df"))
     if allowed is not None:
         hits = hits.join(allowed.select("id").distinct(), "id", "left_semi")
-    scored = hits.join(df, [key, "phrase_id"]).join(index.lengths, "id").join(F.broadcast(index.statistics))
+    n, average = (index.statistics.select(c).scalar() for c in ("n", "average"))
+    scored = hits.join(df, [key, "phrase_id"]).join(index.lengths, "id").withColumn("n", n).withColumn("average", average)
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
