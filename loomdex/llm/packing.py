@@ -38,7 +38,9 @@ def items_of(documents: DataFrame, capacities: DataFrame) -> DataFrame:
     size = F.coalesce(F.col("n_tokens").cast("long"), token_count(F.coalesce("text", F.lit(""))).cast("long"))
     docs = documents.where("doc_id is not null").select("doc_id", F.greatest(size, F.lit(0)).alias("tokens"))
     kinds = capacities.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
-    both = docs.join(F.broadcast(kinds))  # every text is packed for every kind; the kinds are a fixed few
+    known = [F.struct(F.lit(r["container_kind"]).alias("container_kind"), F.lit(r["capacity"]).alias("capacity")) for r in kinds.collect()]  # a fixed few
+    each = F.explode(F.array(*known)) if known else F.explode(F.array().cast("array<struct<container_kind:string,capacity:bigint>>"))
+    both = docs.withColumn("kind", each).select("doc_id", "tokens", "kind.*")
     last = F.greatest(F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1, F.lit(0))
     pieces = both.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     start = F.col("piece") * F.col("capacity")
