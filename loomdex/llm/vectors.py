@@ -24,7 +24,7 @@ from loomdex.sources.shared import shared_table, small_side
 SAMPLE_ROWS = 16_384  # bound of the training sample of one model
 MAX_CELLS = 4_096
 BLOCK_ROWS = 16_384  # rows of a base block, the unit a task holds
-PROBES = 6
+PROBES = 8
 CODE_SPAN = 1_024  # numbers whose int8 products a float32 sum holds exactly
 SALTS = 16
 SMALL_KEYS = 100_000  # keys with several rows that may be broadcast, about 10 MB
