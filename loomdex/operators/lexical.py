@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import query_terms
+from loomdex.sources.shared import shared_table
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6  # of terms in half of the texts or more
@@ -73,7 +74,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, limit: int | None = 10, allowe
     the whole index, also where `allowed` (a table of ids) filters the result. Queries without words give no
     rows. N and the average length are scalar subqueries.
     """
-    hits = occurrences(index, phrases(queries, key, text), key)
+    hits = shared_table(occurrences(index, phrases(queries, key, text), key), "hits")  # read twice; the index is scanned once
     df = hits.groupBy(key, "phrase_id").agg(F.countDistinct("id").alias("df"))
     if allowed is not None:
         hits = hits.join(allowed.select("id").distinct(), "id", "left_semi")
