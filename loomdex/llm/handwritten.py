@@ -9,6 +9,7 @@ Marks that tools and third parties leave (comments, file names, folders) count a
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,14 @@ from pyspark.sql import functions as F
 
 MANGLED_BITS = 5.5  # a name costing more bits a character than this is no word
 MANGLED_SHARE = 0.45
+CHUNK_NAMES = 40  # a chunk weighs no more names in the model than this, lest one bundle teaches it its own
 DATA_SHARE = 0.75
-LEAST_DIVERSITY = 0.02
+# A file stands out from its language where it is off the median by SPREADS times the distance of median and
+# lower quartile (the upper half holds the outliers), and by these at least:
+SPREADS = 9
+OUTLYING_BITS = 1.0
+OUTLYING_DIVERSITY = 0.12
+OUTLYING_STYLE = 0.25
 
 # What tools and third parties leave in comments, file names and folders.
 _GENERATED = re.compile(
@@ -31,7 +38,14 @@ _THIRD = re.compile(
 _FOLDERS = r"(?i)(?:^|/)(?:vendors?|node_modules|bower_components|jspm_packages|third[_-]?party|3rd[_-]?party|external|externals|libs?-3rd|lib-external)/"
 _FILES = r"(?i)(?:[.-]min\.(?:js|css|mjs)|\.bundle\.(?:js|mjs|css)|\.chunk\.js|\.(?:js|css|ts)\.map|\.map|[.-][0-9a-f]{8,20}\.(?:js|css|mjs))$|(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|[^/]*\.lock|[^/]*[.-]lock\.(?:json|ya?ml)|go\.sum)$"
 _NAMESPACE = re.compile(r"(?m)^[ \t]*namespace[ \t]+\\?([A-Za-z_]\w*)")
-_IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*", re.A)
+_IDENTIFIER = re.compile(r"(?<![\w$])[A-Za-z_$][\w$]*", re.A)
+_MARKUP = re.compile(r"\?>.*?(?=<\?|\Z)", re.S)
+_TAG = re.compile(r"<\?|\?>")
+_BLOB = re.compile(r"[A-Za-z0-9+/=]{40,}")
+# Words of the languages themselves, which nobody chose.
+_KEYWORDS = frozenset(
+    "php abstract and array as async await bool boolean break callable case catch class clone const continue debugger declare default delete die do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile enum exit export extends false final finally float fn for foreach from function get global goto if implements import in include include_once instanceof insteadof int interface isset let list match mixed namespace never new null number object of or parent print private protected public readonly require require_once return self set static string super switch this throw trait true try type typeof undefined unset use var void while with xor yield any".split()
+)
 _NOISE = re.compile(r"/\*.*?\*/|(?m:(?://|#(?!\[)).*$)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"", re.S)
 _DATA = re.compile(r"0x[0-9A-Fa-f]+|\b\d+(?:\.\d+)?\b|[A-Za-z0-9+/=]{40,}|\\x[0-9A-Fa-f]{2}")
 
@@ -44,6 +58,7 @@ for _c in b"0123456789":
     _CLASS[_c] = 53
 _CLASS[ord("_")], _CLASS[ord("$")] = 54, 55
 SIZE = 56
+PROSE = ("markdown", "html", "text")
 
 
 def trigrams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +69,15 @@ def trigrams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code, starts
 
 
+def names_in(text: str, language: str) -> list[str]:
+    """The identifiers in turn, without comments, strings, keywords, long encoded runs and, in PHP, the markup between its tags."""
+    if language == "php":
+        tag = _TAG.search(text)
+        if tag:  # a chunk may begin inside PHP or inside markup
+            text = _MARKUP.sub(" ", text[tag.start() :] if tag[0] == "<?" else text)
+    return [n for n in _IDENTIFIER.findall(_BLOB.sub(" ", _NOISE.sub(" ", text))) if n.lower() not in _KEYWORDS]
+
+
 class NameModel:
     """Bits of every trigram's last character, from the counts of one language."""
 
@@ -74,17 +98,22 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for language, part in pdf.groupby("lang"):
-            names = {n for text in part["text"] for n in _IDENTIFIER.findall(text)}
-            if names:
-                code, _ = trigrams(sorted(names))
-                code, n = np.unique(code, return_counts=True)
+            n = np.zeros(SIZE**3)
+            for text in part["text"]:
+                names = sorted(set(names_in(text, language)))
+                if names:
+                    code, _ = trigrams(names)
+                    np.add.at(n, code, min(1.0, CHUNK_NAMES / len(names)))
+            code = np.flatnonzero(n)
+            if len(code):
+                n = n[code]
                 out.append(pd.DataFrame({"lang": language, "code": code, "n": n}))
         yield pd.concat(out) if out else pd.DataFrame({"lang": [], "code": [], "n": []})
 
 
 def name_models(chunks: DataFrame) -> dict[str, NameModel]:
     """A model per language over all chunks; at most SIZE**3 counts of each reach the driver."""
-    counted = chunks.mapInPandas(_counts, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    counted = chunks.mapInPandas(_counts, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     return {language: NameModel(part["code"].to_numpy(), part["n"].to_numpy()) for language, part in counted.groupby("lang")}
 
 
@@ -92,24 +121,25 @@ def _features(batches: Iterator[pd.DataFrame], models: dict[str, NameModel]) ->
     for pdf in batches:
         out = []
         for chunk, source, path, rel_path, language, text in zip(pdf["chunk"], pdf["source_name"], pdf["path"], pdf["rel_path"], pdf["lang"], pdf["text"], strict=True):
-            code = language in models and language not in ("markdown", "html", "text")
-            names = _IDENTIFIER.findall(_NOISE.sub(" ", text)) if code else []
+            code = language in models and language not in PROSE
+            names = names_in(text, language) if code else []
             lines = text.count("\n") + 1
             mangled = snake = 0
-            if len(names) >= 8:
-                cost = models[language].cost(names)
-                short = np.array([len(n) for n in names])
-                mangled = int(((short <= 3) & ((cost > MANGLED_BITS) | (short == 1))).sum())
+            bits = 0.0
+            if names:
+                # text of another language under the extension is no mangled text
+                cost = min((models[k].cost(names) for k in models if k not in PROSE), key=lambda c: c.sum())
+                bits, mangled = float(cost.sum()), sum(1 for n, c in zip(names, cost, strict=True) if c > MANGLED_BITS or len(n) == 1)
                 snake = sum(1 for n in names if "_" in n[1:-1] and n.islower())
             data = sum(len(m) for m in _DATA.findall(text)) if code else 0
             namespace = _NAMESPACE.search(text) if language == "php" else None
             marks = (1 if _GENERATED.search(text) else 0) | (2 if _THIRD.search(text) else 0)
             solid = sum(1 for c in text if not c.isspace() and c not in ",;[](){}'\"=>\\") if data * 3 > len(text) else 0
-            out.append((chunk, source, path, rel_path, language, marks, namespace[1] if namespace else None, len(text), lines, len(names), len(set(names)), mangled, snake, data, solid, bool("$MESS" in text)))
+            out.append((chunk, source, path, rel_path, language, marks, namespace[1] if namespace else None, len(text), lines, len(names), sorted(zlib.crc32(n.encode()) for n in set(names)), bits, mangled, snake, data, solid, bool("$MESS" in text)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
-_SCHEMA = "chunk bigint, source_name string, path string, rel_path string, lang string, marks int, namespace string, chars bigint, lines bigint, names bigint, kinds bigint, mangled bigint, snake bigint, data bigint, solid bigint, messages boolean"
+_SCHEMA = "chunk bigint, source_name string, path string, rel_path string, lang string, marks int, namespace string, chars bigint, lines bigint, names bigint, kinds array<bigint>, bits double, mangled bigint, snake bigint, data bigint, solid bigint, messages boolean"
 
 
 def classify_files(chunks: DataFrame) -> DataFrame:
@@ -129,27 +159,36 @@ def classify_files(chunks: DataFrame) -> DataFrame:
     )
     models = spark.sparkContext.broadcast(name_models(rows.select("lang", "text")))
     features = rows.mapInPandas(lambda it: _features(it, models.value), _SCHEMA).distinct()
-    sums = [F.sum(c).alias(c) for c in ("chars", "lines", "names", "kinds", "mangled", "snake", "data", "solid")]
+    sums = [F.sum(c).alias(c) for c in ("chars", "lines", "names", "bits", "mangled", "snake", "data", "solid")]
     files = features.groupBy("source_name", "path").agg(
-        F.min("rel_path").alias("rel_path"), F.min("lang").alias("lang"), F.bit_or("marks").alias("marks"), F.min(F.lower("namespace")).alias("namespace"), F.bool_or("messages").alias("messages"), *sums
-    )
+        F.min("rel_path").alias("rel_path"), F.min("lang").alias("lang"), F.bit_or("marks").alias("marks"), F.min(F.lower("namespace")).alias("namespace"), F.bool_or("messages").alias("messages"), *sums,
+        F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).cast("long").alias("kinds"),
+    )
     # the teams that module paths name are the project's own
     team = F.lower(F.coalesce(F.nullif(F.regexp_extract("rel_path", r"(?:^|/)modules/([A-Za-z0-9]+)\.", 1), F.lit("")), F.nullif(F.regexp_extract("rel_path", r"^components/([A-Za-z0-9]+)/", 1), F.lit(""))))
     own = rows.select(team.alias("namespace")).where("namespace is not null").distinct().withColumn("own", F.lit(True))
     files = files.join(own, "namespace", "left")
-    style = files.groupBy("lang").agg((F.sum("snake") / F.greatest(F.sum("names"), F.lit(1))).alias("usual"))
-    files = files.join(F.broadcast(style), "lang")  # as many rows as there are languages
     part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    # names repeat the more the longer a file is, so diversity is the exponent that the distinct ones grow with
+    diversity = F.log("kinds") / F.log("names")
+    quarter = lambda c, least: F.percentile_approx(F.when(F.col("names") >= least, c), [0.25, 0.5], 10_000)
+    usual = files.groupBy("lang").agg(quarter(part("bits", "names"), 30).alias("bits_q"), quarter(diversity, 100).alias("diversity_q"), quarter(part("snake", "names"), 30).alias("style_q"))
+    off = lambda c, least: F.greatest(F.lit(least), SPREADS * (F.get(c, F.lit(1)) - F.get(c, F.lit(0))))
+    limits = usual.select(
+        "lang", (F.get("bits_q", F.lit(1)) + off("bits_q", OUTLYING_BITS)).alias("most_bits"), (F.get("diversity_q", F.lit(1)) - off("diversity_q", OUTLYING_DIVERSITY)).alias("least_diversity"),
+        (F.get("style_q", F.lit(1)) + off("style_q", OUTLYING_STYLE)).alias("most_snake"),
+    )
+    files = files.join(F.broadcast(limits), "lang")  # as many rows as there are languages
     path = F.col("rel_path")
     kind = (
         F.when(path.rlike(_FILES) & ~path.rlike(r"(?i)\.(?:js|mjs|css)$"), "lock_or_map")
         .when(F.col("marks").bitwiseAND(1) > 0, "generated")
         .when(path.rlike(_FOLDERS) | (F.col("marks").bitwiseAND(2) > 0) | (F.col("namespace").isNotNull() & F.col("own").isNull()), "vendored")
         .when(path.rlike(_FILES), "minified")
-        .when((F.col("names") >= 30) & (part("mangled", "names") >= MANGLED_SHARE) & (part("chars", "lines") > 60), "minified")
+        .when((F.col("names") >= 30) & ((part("bits", "names") > F.col("most_bits")) | ((part("mangled", "names") >= MANGLED_SHARE) & (part("chars", "lines") > 60))), "minified")
         .when((F.col("solid") > 0) & ~F.col("messages") & (F.col("chars") >= 300) & (part("data", "solid") >= DATA_SHARE) & (part("data", "chars") >= DATA_SHARE / 2), "data")
-        .when((F.col("names") >= 30) & (part("snake", "names") >= 0.6) & (F.col("usual") <= 0.15), "vendored")
-        .when((F.col("names") >= 400) & (part("kinds", "names") < LEAST_DIVERSITY), "generated")
+        .when((F.col("names") >= 30) & (part("snake", "names") > F.col("most_snake")), "vendored")
+        .when((F.col("names") >= 100) & (diversity < F.col("least_diversity")), "generated")
         .otherwise("handwritten")
     )
     return files.select("source_name", "path", kind.alias("kind"), "lang", "chars", "names", part("mangled", "names").alias("mangled"), part("kinds", "names").alias("diversity"), part("data", "chars").alias("data"))

@@ -202,3 +202,21 @@ def test_packing_of_tables(spark):
     assert sorted(r["start_token"] for r in out if r["doc_id"] == 3) == [0, 256, 512]
     assert packing.report(spark.createDataFrame(out), kinds).head()["containers"] == len(fill)
     assert packing.pack(docs.limit(0), kinds).count() == 0
+
+
+def test_names_decide_without_marks_or_paths(spark):
+    rng = random.Random(4)
+    parts = "order basket client total price load save check render update parse value index report mirror signal".split()
+    camel = lambda: rng.choice(parts) + "".join(rng.choice(parts).title() for _ in range(rng.randint(1, 2)))
+    code = lambda name, n=60: "\n".join(f"let {name()} = {name()}({name()});" for _ in range(n))
+    rows = [(f"c{i}", "s", f"/s/js/f{i}.js", f"js/f{i}.js", "javascript", code(camel)) for i in range(40)]
+    hexed = lambda: f"_0x{rng.randrange(16**6):06x}"
+    mixed = lambda: "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(4, 6)))
+    snake = lambda: "_".join(rng.choice(parts) for _ in range(3)) if rng.random() < 0.45 else camel()
+    few = [camel() for _ in range(12)]
+    odd = {"hex": code(hexed), "mixed": code(mixed), "snake": code(snake)}
+    rows += [(k, "s", f"/s/js/{k}.js", f"js/{k}.js", "javascript", text) for k, text in odd.items()]
+    # in pieces, each of which repeats the same few names
+    rows += [(f"few{i}", "s", "/s/js/few.js", "js/few.js", "javascript", f"let part{i};\n" + code(lambda: rng.choice(few), 50)) for i in range(4)]
+    kinds = {r["path"]: r["kind"] for r in handwritten.classify_files(spark.createDataFrame(rows, "chunk_id string, source_name string, path string, rel_path string, language string, text string")).collect()}
+    assert {p[6:-3]: k for p, k in kinds.items() if k != "handwritten"} == {"hex": "minified", "mixed": "minified", "snake": "vendored", "few": "generated"}
