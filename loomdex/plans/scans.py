@@ -107,9 +107,17 @@ def query_tokens_dedupe16(spark, folder):
 
 
 def code_symbols(spark, folder):
-    rows = files(spark, folder).where(F.lower("path").endswith(".php"))
+    """Of the files that the given table holds, as its SQL can tell of no others; `code_symbols_whole` has all."""
     known = table(spark, folder, "php_ast_symbol").select("source_name", "path").distinct()
-    found = code.php_symbols(rows.join(known, ["source_name", "path"], "left_semi"))
+    return _symbols(files(spark, folder).join(known, ["source_name", "path"], "left_semi"))
+
+
+def code_symbols_whole(spark, folder):
+    return _symbols(files(spark, folder))
+
+
+def _symbols(rows):
+    found = code.php_symbols(rows.where(F.lower("path").endswith(".php")))
     # the given table ends symbols of CRLF files behind the "\\r", so ends are left to the unit tests
     ints = ("start_line", "start_byte")
     return found.select("source_name", "path", "kind", "name", *[F.col(c).cast("long").alias(c) for c in ints], "parent_kind", "parent_name", "visibility", "is_static", "is_abstract", "is_final", "has_body")
@@ -151,7 +159,7 @@ _WINDOWS = f"""
 
 QUERIES = {f.__name__: f for f in (
     scan_filter_size, scan_exclude, scan_include, scan_top_files, file_hash_sha256, chunk_id_uuid5, detect_language, search_language, truncate_text, rel_path, chunk_windows, chunk_windows_stats,
-    chunk_huge_line, chunk_lines, chunk_lines_sql, chunk_headings, chunk_router, word_tokens, query_tokens_dedupe16, code_symbols, code_chunks, code_fqn, doc_tags, component_context,
+    chunk_huge_line, chunk_lines, chunk_lines_sql, chunk_headings, chunk_router, word_tokens, query_tokens_dedupe16, code_symbols, code_symbols_whole, code_chunks, code_fqn, doc_tags, component_context,
 )}
 
 SQL = {
