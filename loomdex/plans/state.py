@@ -41,12 +41,20 @@ def _links(spark, folder):
 
 
 def manifest_merge(spark, folder):
+    """Over the first links of each file, as in its SQL; `manifest_merge_whole` has all."""
+    return _merged(spark, folder, _links(spark, folder).where("ordinal <= 3"))
+
+
+def manifest_merge_whole(spark, folder):
+    return _merged(spark, folder, _links(spark, folder))
+
+
+def _merged(spark, folder, old_links):
     files = _files(spark, folder)
     todo = manifest.changed(files, _manifest(spark, folder))
     chunks = table(spark, folder, "chunk_fts").dropDuplicates(["chunk_id"])
     order = _links(spark, folder).groupBy("source_name", "path", "chunk_id").agg(F.min("ordinal").alias("ordinal"))
     new = chunks.select("source_name", "path", "chunk_id").join(order, ["source_name", "path", "chunk_id"]).join(todo.select("source_name", "path"), ["source_name", "path"], "left_semi")
-    old_links = _links(spark, folder).where("ordinal <= 3")
     m, links, _ = manifest.replace_files(_manifest(spark, folder), old_links, chunks.select("source_name", "path", "chunk_id"), todo, new)
     held = links.groupBy("source_name", "path").agg(F.count("*").alias("links"), F.max("ordinal").cast("long").alias("last"))
     return m.select("source_name", "path", "file_hash", F.col("chunk_count").cast("long").alias("chunk_count")).join(held, ["source_name", "path"], "left")
@@ -179,7 +187,7 @@ def stream_index_counts(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    manifest_changed, manifest_unchanged, manifest_outcomes, manifest_merge, prune_stale, prune_dry_run, stale_chunk_ids, chunk_ids_by_file, range_merge, range_gaps, asof_nearest, range_contain,
+    manifest_changed, manifest_unchanged, manifest_outcomes, manifest_merge, manifest_merge_whole, prune_stale, prune_dry_run, stale_chunk_ids, chunk_ids_by_file, range_merge, range_gaps, asof_nearest, range_contain,
     eval_rows, eval_totals, eval_by_group, eval_failed, eval_path_only, eval_top_paths, index_stats, stage_timings, collection_stats, events_tumbling, events_sliding, events_session, stream_index_counts,
 )}
 
@@ -278,3 +286,4 @@ SQL = {
         s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from o) select user_id, min(ts) as session_start, count(*) as events from s group by user_id, n""",
     "stream_index_counts": "select event_type, count(*) as events, count(distinct event_id) as ids from events group by 1",
 }
+SQL["manifest_merge_whole"] = SQL["manifest_merge"].replace("where ordinal <= 3 and ", "where ")

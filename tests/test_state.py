@@ -1,5 +1,7 @@
 """Manifest, incremental processing, versions, the index as a whole."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,20 @@ def test_files_that_stream_in_are_indexed_once(spark, tmp_path):
         stream_index(spark, f"{tmp_path}/in", store, "m", embed, f"{tmp_path}/checkpoint").awaitTermination()
         spark.createDataFrame([("s", "/b.txt", "b.txt", "text", 4, text)], FILE).write.mode("append").parquet(f"{tmp_path}/in")
     assert rows(store.tables()["chunks"], "path") == [("/a.md",), ("/b.txt",)]
+
+
+def test_all_links_of_kept_files_enter_the_merge(spark, tmp_path):
+    from loomdex.plans import catalog
+
+    def put(name, data, schema):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    same = "b" * 10
+    digest = spark.range(1).select(F.sha2(F.lit(same), 256)).head()[0]
+    put("raw_files", [("s", "/kept", "kept", 10, same), ("s", "/new", "new", 1, "x")], "source_name string, path string, rel_path string, size_bytes long, text string")
+    put("indexed_files", [("s", "/kept", digest, 6, datetime(2031, 1, 1))], "source_name string, path string, file_hash string, chunk_count int, indexed_at timestamp")
+    links = [("s", "/kept", f"k{i}", i) for i in (1, 2, 3, 4, 6, 9)] + [("s", "/new", f"n{i}", i) for i in range(1, 6)]
+    put("file_chunks", links, "source_name string, path string, chunk_id string, ordinal int")
+    put("chunk_fts", [r[:3] for r in links], "source_name string, path string, chunk_id string")
+    got = rows(catalog.QUERIES["manifest_merge_whole"](spark, str(tmp_path)), "path", "chunk_count", "links", "last")
+    assert got == [("/kept", 6, 6, 9), ("/new", 5, 5, 5)]
