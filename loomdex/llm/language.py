@@ -29,6 +29,7 @@ LEVEL = 3
 MARGIN = 0.03
 RATIO = 0.95  # natural text in a known language gets smaller than this; code and names do not
 LEAST_WORDS = 6
+PIECE = 4_000  # characters compressed at a time: a dictionary saves about as many bytes in a longer text, so the margin would shrink
 
 # Spellings of the languages' names.
 SPELLINGS = {
@@ -91,6 +92,17 @@ def latin(text: str, language: str) -> list[str]:
     return ["".join(c for c in unicodedata.normalize("NFD", text.replace("ß", "ss")) if not unicodedata.combining(c))]
 
 
+def in_pieces(words: str) -> Iterator[str]:
+    """The words in parts of at most about PIECE characters, equally long, none of them cut."""
+    length = -(-len(words) // max(1, -(-len(words) // PIECE)))
+    at = 0
+    while at < len(words):
+        end = words.find(" ", at + length)
+        end = len(words) if end < 0 or len(words) - end < length // 2 else end
+        yield words[at:end]
+        at = end
+
+
 def is_cyrillic(text: str) -> bool:
     """Whether most letters take two bytes in UTF-8, which for the six languages means Cyrillic ones."""
     return len(text.encode()) > 1.4 * len(text)
@@ -117,13 +129,14 @@ class Model:
                 for language, content in self.contents[cyrillic].items()
                 if content
             }
-        data = words.encode()
-        sizes = sorted((len(c.compress(data)) - 8, language) for language, c in self._made[cyrillic].items())
+        pieces = [piece.encode() for piece in in_pieces(words)]
+        sizes = sorted((sum(len(c.compress(data)) - 8 for data in pieces), language) for language, c in self._made[cyrillic].items())
+        length = sum(map(len, pieces))
         if not sizes:
             return None, 0.0, 1.0
         first = max(1, sizes[0][0])
-        second = sizes[1][0] if len(sizes) > 1 else len(data)
-        return sizes[0][1], (second - first) / max(first, second, 1), first / max(1, len(data))
+        second = sizes[1][0] if len(sizes) > 1 else length
+        return sizes[0][1], (second - first) / max(first, second, 1), first / max(1, length)
 
 
 def fit(sample: dict[str, list[str]], rounds: int = 4) -> Model:

@@ -220,3 +220,17 @@ def test_names_decide_without_marks_or_paths(spark):
     rows += [(f"few{i}", "s", "/s/js/few.js", "js/few.js", "javascript", f"let part{i};\n" + code(lambda: rng.choice(few), 50)) for i in range(4)]
     kinds = {r["path"]: r["kind"] for r in handwritten.classify_files(spark.createDataFrame(rows, "chunk_id string, source_name string, path string, rel_path string, language string, text string")).collect()}
     assert {p[6:-3]: k for p, k in kinds.items() if k != "handwritten"} == {"hex": "minified", "mixed": "minified", "snake": "vendored", "few": "generated"}
+
+
+@pytest.mark.parametrize("characters", [100, 5_000, 50_000, 300_000])
+def test_long_segments_keep_their_language(characters):
+    rng = random.Random(6)
+    model = language.fit({k: [v.lower()] for k, v in SENTENCES.items()})
+    words = [w for w in SENTENCES["de"].lower().split() if w.isalpha()]
+    text = ""
+    while len(text) < characters:
+        text += " ".join(rng.sample(words, min(len(words), 6))) + " " + "".join(rng.choice("bdgklmnprstaeiou") for _ in range(7)) + " "
+    pieces = list(language.in_pieces(text))
+    assert "".join(pieces) == text and max(map(len, pieces)) < 2 * language.PIECE
+    found, margin, ratio = model.classify(text)
+    assert found == "de" and margin >= language.MARGIN and ratio <= language.RATIO
