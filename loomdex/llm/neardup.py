@@ -24,7 +24,8 @@ from loomdex.sources.shared import shared_table
 ROWS = 4  # registers of a band
 BANDS = 28  # a pair of similarity 0.7 shares none with probability (1 - 0.7**4)**28 = 0.0005
 HOT_BUCKET = 64
-EXPAND = 64  # classes up to this size come out as all their pairs, larger ones as pairs with their first member
+EXPAND = 64  # up to so many equal texts come out as all their pairs, more of them as pairs with their first member
+SALTED = 256  # members of a class that one task pairs with the others
 WORDS_KEPT = 500_000
 
 _WORD = re.compile(r"\w+")
@@ -65,25 +66,26 @@ def _sign(batches: Iterator[pd.DataFrame], run: int, min_words: int, counted: bo
         for doc, text in zip(pdf["id"], pdf["text"], strict=True):
             e, w, n = bags.of(text)
             if n >= min_words and len(e):
-                rows.append((doc, e, w))
+                rows.append((doc, e, w, xxhash.xxh64_intdigest(text) - 2**63))
         for at in range(0, len(rows), 256):
             part = rows[at : at + 256]
-            sizes = np.array([len(e) for _, e, _ in part])
+            sizes = np.array([len(r[1]) for r in part])
             e, w = np.concatenate([r[1] for r in part]), np.concatenate([r[2] for r in part])
             keys = bands(signatures(e, w, np.repeat(np.arange(len(part)), sizes), len(part), ROWS * BANDS), ROWS)
             out = []
-            for i, (doc, own, weights) in enumerate(part):
+            for i, (doc, own, weights, body) in enumerate(part):
                 if counted:  # the j-th occurrence of a run is an element of its own, so that bags compare as sets
                     n = weights.astype(np.int64)
                     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     own = np.unique(mix(np.repeat(own, n) + nth.astype(np.uint64)))
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                out.append((doc, digest, len(own), (own >> np.uint64(32)).astype(np.uint32).view(np.int32), keys[i]))
-            yield pd.DataFrame(out, columns=["id", "digest", "n", "bag", "keys"])
+                out.append((doc, body, digest, len(own), (own >> np.uint64(32)).astype(np.uint32).view(np.int32), keys[i]))
+            yield pd.DataFrame(out, columns=["id", "body", "digest", "n", "bag", "keys"])
 
 
 class NearDuplicates:
-    """classes: id, digest, rep (first id of the digest), size. links: a, b, similarity of representatives, a < b."""
+    """classes: id, digest, body (hash of the text itself), rep (first id of the digest), size and head (number and first
+    id of the equal texts), alone (the only row of its digest). links: a, b, similarity of representatives, a < b."""
 
     def __init__(self, classes: DataFrame, links: DataFrame):
         self.classes, self.links = classes, links
@@ -98,21 +100,21 @@ def near_duplicates(rows: DataFrame, id_column: str, text_column: str, run: int
     columns are ignored; an empty table gives empty results. Bags are compared by 32 bits of each run's hash.
     """
     texts = rows.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
-    schema = "id string, digest binary, n int, bag array<int>, keys array<bigint>"
+    schema = "id string, body bigint, digest binary, n int, bag array<int>, keys array<bigint>"
     signed = texts.mapInPandas(lambda it: _sign(it, run, min_words, counted), schema)
     signed = shared_table(signed.withColumn("uid", F.monotonically_increasing_id()), "p6-signed")
     # the row that stands for a digest; the others are few, or many copies of few
     first = signed.groupBy("digest").agg(F.min(F.struct("id", "uid")).alias("first"), F.count("*").alias("rows"))
     repeated = shared_table(first.where("rows > 1").select("digest", F.col("first.id").alias("rep"), F.col("first.uid").alias("rep_uid")), "p6-repeated")
-    members = shared_table(signed.select("id", "digest", "uid").join(repeated, "digest"), "p6-members")
+    members = shared_table(signed.select("id", "body", "digest", "uid").join(repeated, "digest"), "p6-members")
     docs = signed.join(members.where("uid != rep_uid").select("uid"), "uid", "left_anti")
 
     pairs = _candidates(docs, threshold)
     links = _verify(pairs, docs, threshold)
-    copies = members.select("id", "digest", "rep").distinct()
-    sized = copies.groupBy("digest").agg(F.count("*").alias("size"))
-    alone = docs.join(repeated, "digest", "left_anti").select("id", "digest", F.col("id").alias("rep"), F.lit(1).cast("long").alias("size"))
-    classes = copies.join(sized, "digest").select("id", "digest", "rep", "size").unionByName(alone)
+    copies = members.select("id", "digest", "body", "rep").distinct()
+    sized = copies.groupBy("digest", "body").agg(F.count("*").alias("size"), F.min("id").alias("head"))
+    alone = docs.join(repeated, "digest", "left_anti").select("id", "digest", "body", F.col("id").alias("rep"), F.lit(1).cast("long").alias("size"), F.col("id").alias("head"), F.lit(True).alias("alone"))
+    classes = copies.join(sized, ["digest", "body"]).select("id", "digest", "body", "rep", "size", "head", F.lit(False).alias("alone")).unionByName(alone)
     return NearDuplicates(classes, links)
 
 
@@ -153,13 +155,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 
 def pairs_of_ids(found: NearDuplicates) -> DataFrame:
-    """id_a, id_b (a < b), once each. Classes above EXPAND members: their first member stands for them, and each
-    other member comes out with the first one, so that all links follow from the pairs."""
-    classes = found.classes
-    usual = classes.where((F.col("size") > 1) & (F.col("size") <= EXPAND)).select("digest", "id", "rep")
-    within = usual.select("digest", F.col("id").alias("a")).join(usual.select("digest", F.col("id").alias("b")), "digest").where("a < b").select("a", "b")
-    star = classes.where((F.col("size") > EXPAND) & (F.col("id") != F.col("rep"))).select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b"))
-    copies = usual.where("id != rep").select("rep", "id")
+    """id_a, id_b (a < b), once each. Of more than EXPAND equal texts the first id stands for the others, each of which
+    comes out with it alone; texts that differ, if only in case or punctuation, come out in all their pairs."""
+    classes = found.classes.where("not alone")
+    shown = classes.where((F.col("size") <= EXPAND) | (F.col("id") == F.col("head"))).select("digest", "id", "rep").distinct()
+    counts = shown.groupBy("digest").agg(F.ceil(F.count("*") / F.lit(SALTED)).cast("int").alias("salts"))
+    salted = shown.join(counts, "digest")
+    left = salted.select("digest", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"))
+    right = salted.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"))
+    within = left.join(right, ["digest", "salt"]).where("a < b").select("a", "b")
+    star = classes.where((F.col("size") > EXPAND) & (F.col("id") != F.col("head"))).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    copies = shown.where("id != rep").select("rep", "id").distinct()
     out = found.links.select("a", "b")
     for side in ("a", "b"):
         more = out.join(copies.withColumnRenamed("rep", side), side).drop(side).withColumnRenamed("id", side)

@@ -58,6 +58,18 @@ def test_large_classes_come_out_as_stars(spark, monkeypatch):
     assert got == {("0", str(i)) for i in range(1, 6)}
 
 
+def test_large_classes_of_different_texts_come_out_whole(spark, monkeypatch):
+    monkeypatch.setattr(N, "EXPAND", 3)
+    monkeypatch.setattr(N, "SALTED", 4, raising=False)
+    words = [f"a{i}" for i in range(40)]
+    rows = [(f"v{i}", " ".join(words[:i]) + "," * (i + 1) + " " + " ".join(words[i:])) for i in range(9)]
+    rows += [(f"w{i}", " ".join(words).upper()) for i in range(5)]  # equal texts above the limit
+    near = [("near", " ".join([*words[:-1], "other"])), ("near2", " ".join([*words[:-1], "Other"]) + ".")]
+    got = found(spark, rows + near, run=3, threshold=0.7, counted=False)
+    shown = sorted([f"v{i}" for i in range(9)] + ["w0", "near", "near2"])
+    assert got == {(a, b) for i, a in enumerate(shown) for b in shown[i + 1 :]} | {("w0", f"w{i}") for i in range(1, 5)}
+
+
 def test_groups(spark):
     rows = texts(seed=1, base=6, edits=4) + [("lonely", " ".join(f"q{i}" for i in range(40)))]
     r = N.near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text", run=3, threshold=0.7)
