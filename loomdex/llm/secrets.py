@@ -159,6 +159,46 @@ def is_secret(value: str, context: int) -> bool:
     return 20 <= len(value) <= 60 and bool(re.search(r"[A-Z]", value)) if context == 0 else len(value) >= 16
 
 
+_BARE = re.compile(r"(?<![\w+/~.@%&#$-])(?=[A-Za-z_+/~-]*\d)[A-Za-z0-9_+/~-]{20,}={0,2}(?![\w.@%(\\=])")
+_PRINTABLE = re.compile(r"(['\"`])([!-&*-.0-~/]{20,})\1")
+_BEFORE = re.compile(r"([\w$-]+)['\"`]?\]?\s*(?:=>|:=|=|:|\()\s*['\"`]?$")
+# Names of what is no credential but looks like one, and of calls that unpack data.
+_BLOBS = re.compile(r"(?i)(?:base64,|base64:|sha\d+[-:]|md5[-:]|-----BEGIN [A-Z0-9 ]+-----\s*(?:\\n)?['\"`]?|\b(?:atob|base64_decode|gzinflate|gzuncompress|unpack|unserialize|fromBase64|b64decode|md5|sha1|hash|crc32)\s*\(\s*['\"`]?)$")
+_DATA_LINE = re.compile(r"[\s*#/'\"`.+,]*[A-Za-z0-9+/=_-]{40,}[\s'\"`.+,;\\]*$")
+
+
+def bare_secret(value: str) -> bool:
+    """A value that no name announces: long, with digits, as random as its length and alphabet allow, and changing between upper case, lower case and digits as often as words do not."""
+    kind, size = alphabet(value)
+    if len(value) < 20 or kind in ("digits", "hex") or _UUID.fullmatch(value) or value.startswith(("sha", "md5")) or excluded(value) or identifier_like(value):
+        return False
+    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
+    changes = sum(1 for a, b in zip(classes, classes[1:], strict=False) if a != b) / (len(value) - 1)
+    mixed = "u" in classes and "l" in classes
+    return classes.count("d") >= (2 if mixed else 4) and changes >= (0.4 if mixed else 0.25) and classes.count("s") <= 0.35 * len(value) and (mixed or "s" not in classes) and random_like(value, 0.85)
+
+
+def _bare(text: str) -> Iterator[tuple[int, int, str]]:
+    """Quoted strings and tokens that stand out by themselves; blobs, checksums and lines of a block of data are left out."""
+    spans = [m.span() for m in _BARE.finditer(text)]
+    spans += [m.span(2) for m in _PRINTABLE.finditer(text) if not re.search(r"[\\()\[\]{}<>|^;,]", m[2])]
+    for start, end in spans:
+        value = text[start:end]
+        if not bare_secret(value) or (start == 0 and (end == len(text) or text[end] in "'\"`")):  # or the rest of a string that began before the text
+            continue
+        line, after = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+        before = text[max(line, start - 80) : start]
+        named = _BEFORE.search(before)
+        if _BLOBS.search(before) or (named and not announces(named[1]) and OTHER_PARTS.intersection(p.lower() for p in _PARTS.findall(named[1])[-1:])):
+            continue
+        if _DATA_LINE.match(text, line, len(text) if after < 0 else after):
+            above = text[text.rfind("\n", 0, max(0, line - 1)) + 1 : max(0, line - 1)]
+            below = text[after + 1 : text.find("\n", after + 1) if text.find("\n", after + 1) >= 0 else len(text)] if after >= 0 else ""
+            if "-----BEGIN" in above or _DATA_LINE.match(above) or _DATA_LINE.match(below):
+                continue
+        yield start, end, "bare"
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the credentials in a text, from 0, in order and apart."""
     found: list[tuple[int, int, str]] = []
@@ -178,6 +218,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for s, e, kind in _in_line(line):
                 if all(start + e <= x or start + s >= y for x, y, _ in found):
                     found.append((start + s, start + e, kind))
+    for s, e, kind in _bare(text):
+        if all(e <= x or s >= y for x, y, _ in found) and not any(p[0] <= s < p[1] for x, y, _ in found if x < s for p in pieces(text, x, y)):
+            found.append((s, e, kind))
     return sorted(found)
 
 

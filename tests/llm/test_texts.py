@@ -234,3 +234,28 @@ def test_long_segments_keep_their_language(characters):
     assert "".join(pieces) == text and max(map(len, pieces)) < 2 * language.PIECE
     found, margin, ratio = model.classify(text)
     assert found == "de" and margin >= language.MARGIN and ratio <= language.RATIO
+
+
+LONG = "aB3xK9mQ2vL7nR4tY8wZpD5sG6hJ1cV0bN"
+
+
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        (f'init("{LONG[:20]}");', LONG[:20]), (f"$all = ['{LONG[:24]}', 'x'];", LONG[:24]), ("MAILGUN=3kd9fj2mq8x7zv5bn1pw4rtc6hy0", "3kd9fj2mq8x7zv5bn1pw4rtc6hy0"), (f"load('{LONG[:30]}{LONG[::-1]}{LONG[5:]}');", LONG[:30] + LONG[::-1] + LONG[5:]),
+        ("send('q8!Zt3*Lw9~Rb5%Xn2?Vk7')", "q8!Zt3*Lw9~Rb5%Xn2?Vk7"), (f"first line\n{LONG}\nlast line", LONG),
+    ],
+)
+def test_credentials_without_announcement(text, value):
+    assert [text[s:e] for s, e, _ in X.find(text)] == [value]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"const font = 'data:font/woff2;base64,{LONG * 4}';", f"{LONG * 4}';\nnext();", f"$etag = '{LONG}';", f"x = atob('{LONG}')", f"-----BEGIN CERTIFICATE-----\n{LONG}{LONG}\n-----END CERTIFICATE-----", f"'{LONG}{LONG}'\n'{LONG[::-1]}{LONG}'\n",
+        "getLatestRegion2Report3ByName()", "modules/app.shop/lib/Order2Basket3Handler4.php", "id = '05d9b943-f756-43f1-afa7-a972384cff94'", "run('45bcdcf0bdbf4b720f94abe06f8cea8bebbfddac')", "t('change_me_please_1234567890abc')", "review_sorted_index_419_latest_2031",
+    ],
+)
+def test_blobs_and_names_are_no_bare_credentials(text):
+    assert X.find(text) == []
