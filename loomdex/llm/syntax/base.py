@@ -11,6 +11,9 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
 CONFLICT = re.compile(r"^<{7}(?: .*)?\r?$[\s\S]*?^={7}\r?$[\s\S]*?^>{7}(?: .*)?\r?$", re.M)
 
 
+TOO_DEEP = "too deep"  # cause where nesting goes deeper than the parser can follow, which is no fault of the text
+
+
 class Fault(NamedTuple):
     line: int
     cause: str

@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 
-from loomdex.llm.syntax.base import CONFLICT, Cursor, Fault, Trouble
+from loomdex.llm.syntax.base import CONFLICT, TOO_DEEP, Cursor, Fault, Trouble
 
 # The language's reserved words, operators and their precedence.
 RESERVED = frozenset(
@@ -1203,5 +1203,5 @@ def check_ecma(text: str, typed: bool = False, start: int = 0, stop: int | None
     except Trouble as t:
         parser.note(t)
     except RecursionError:
-        pass  # deeper than can be followed: no statement about it
+        parser.faults.append((parser.o[parser.i], TOO_DEEP))  # nothing is known of what follows
     return parser.result()

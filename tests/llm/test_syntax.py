@@ -109,3 +109,14 @@ def test_files_and_rates(spark):
     assert out["/a.php"]["first_line"] == 2 and len(out["/a.php"]["faults"]) == 1
     assert {(r["language"], r["invalid"]) for r in rates(check_files(chunks, files)).collect()} == {("php", 1), ("javascript", 0), ("typescript", 0)}
     assert check_files(chunks.limit(0), files).count() == 0
+
+
+def test_files_too_deep_are_neither_valid_nor_invalid(spark):
+    deep = "let a = " + "[" * 20_000 + "]" * 20_000 + ";\n"
+    texts = {"/deep.js": deep, "/bad.js": "let b = ;\n" + deep, "/good.js": "let c = 1;\n", "/deep.php": "<?php\n$a = " + "[" * 20_000 + "]" * 20_000 + ";\n", "/deep.vue": f"<script>\n{deep}</script>\n"}
+    files = spark.createDataFrame([("s", p, t) for p, t in texts.items()], "source_name string, path string, text string")
+    checked = check_files(files, files)
+    out = {r["path"]: (r["valid"], r["first_cause"]) for r in checked.collect()}
+    assert {p: out[p] for p in ("/deep.js", "/deep.php", "/deep.vue")} == dict.fromkeys(("/deep.js", "/deep.php", "/deep.vue"), (None, "too deep"))
+    assert out["/bad.js"][0] is False and out["/bad.js"][1] != "too deep" and out["/good.js"] == (True, None)
+    assert {r["language"]: (r["files"], r["invalid"], r["too_deep"], round(r["accepted"], 3)) for r in rates(checked).collect()} == {"javascript": (3, 1, 1, 0.333), "php": (1, 0, 1, 0.0), "vue": (1, 0, 1, 0.0)}
