@@ -254,12 +254,20 @@ def label_segments(documents: DataFrame, id_column: str = "doc_id", text_column:
     return rows.mapInPandas(run, f"{id_column} {kind}, segment_no int, words int, language string, confidence double, named string")
 
 
-def label_documents(labelled: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """id_column, language, confidence, mixed: the language with most words, its share weighted by confidence, and whether another has segments."""
+def label_documents(labelled: DataFrame, id_column: str = "doc_id", documents: DataFrame | None = None) -> DataFrame:
+    """id_column, language, confidence, mixed: the language with most words, its share weighted by confidence, and whether another has segments.
+
+    With `documents`, each of their ids that is not NULL has a row: language NULL and confidence 0 where no segment
+    has a language. Else only documents with such segments have one.
+    """
     by = labelled.where("language is not null").groupBy(id_column, "language").agg(F.sum("words").alias("words"), F.sum(F.col("words") * F.col("confidence")).alias("weight"))
     all_words = F.sum("words")
-    return by.groupBy(id_column).agg(
+    found = by.groupBy(id_column).agg(
         F.max_by("language", F.struct("words", "language")).alias("language"),
         (F.max_by("weight", F.struct("words", "language")) / all_words).alias("confidence"),
         (F.count("*") > 1).alias("mixed"),
     )
+    if documents is None:
+        return found
+    every = documents.select(id_column).where(F.col(id_column).isNotNull()).distinct()
+    return every.join(found, id_column, "left").select(id_column, "language", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("mixed", F.lit(False)).alias("mixed"))

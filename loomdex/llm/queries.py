@@ -48,7 +48,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return label_documents(label_segments(read(spark, folder, "documents")))
+    documents = read(spark, folder, "documents")
+    return label_documents(label_segments(documents), documents=documents)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -259,3 +259,15 @@ def test_credentials_without_announcement(text, value):
 )
 def test_blobs_and_names_are_no_bare_credentials(text):
     assert X.find(text) == []
+
+
+def test_every_document_has_a_row(spark, tmp_path):
+    from loomdex.llm import queries
+
+    rows, _ = labelled()
+    rows += [(1000, "```\n$a = 1;\n```", "en"), (1001, "too short", None), (1002, None, "de"), (1003, "", "x"), (None, "x", "en"), (1001, "too short", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = [tuple(r) for r in queries.p10_documents(spark, str(tmp_path)).select("doc_id", "language", "confidence", "mixed").collect()]
+    assert sorted(r[0] for r in out) == sorted({r[0] for r in rows if r[0] is not None})
+    assert {r for r in out if r[0] >= 1000} == {(i, None, 0.0, False) for i in range(1000, 1004)}
+    assert sum(r[1] is not None and r[2] > 0 for r in out) > 0.9 * len(rows)
