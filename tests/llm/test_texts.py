@@ -1,6 +1,8 @@
 """Leaks, languages, credentials, hand-written files, documented functions, packing."""
 
 import random
+import string
+import time
 
 import pandas as pd
 import pytest
@@ -271,3 +273,32 @@ def test_every_document_has_a_row(spark, tmp_path):
     assert sorted(r[0] for r in out) == sorted({r[0] for r in rows if r[0] is not None})
     assert {r for r in out if r[0] >= 1000} == {(i, None, 0.0, False) for i in range(1000, 1004)}
     assert sum(r[1] is not None and r[2] > 0 for r in out) > 0.9 * len(rows)
+
+
+@pytest.mark.parametrize(("text", "length"), [("API_KEY={}", 500), ("u = 'https://x.invalid/a?sig={}&b=1'", 300), ("h = 'Authorization: Bearer {}'", 2500), ("init('{}')", 70), ("MAILGUN={}", 900)])
+def test_credentials_have_no_greatest_length(text, length):
+    rng = random.Random(length)
+    value = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(length))
+    whole = text.format(value)
+    assert X.redacted(whole) == text.format("*" * length)
+
+
+def test_entropy_tells_credentials_from_other_values(monkeypatch):
+    texts = ["$packetToken = bin2hex(random_bytes(3));", "temp login: robot1c / Report1315#", "init('kkkkzzzz1111kkkkzzzz1111kkkk')", "$pass = 'aaaaaa1aaaaa';"]
+    assert [[t[s:e] for s, e, _ in X.find(t)] for t in texts] == [[], [], [], []]
+    monkeypatch.setattr(X, "entropy_share", lambda value: 1.0)
+    monkeypatch.setattr(X, "entropy", lambda value: 100.0)
+    X.is_secret.cache_clear()
+    X.promising.cache_clear()
+    try:
+        assert [[t[s:e] for s, e, _ in X.find(t)] for t in texts[::2]] == [["bin2hex"], ["kkkkzzzz1111kkkkzzzz1111kkkk"]]
+    finally:
+        X.is_secret.cache_clear()
+        X.promising.cache_clear()
+
+
+@pytest.mark.parametrize("piece", ["name=\"a\" ", "https://a/rest/", "a(b,c=1);", "key ", "a.b-c+d", "x='", "//"])
+def test_credentials_in_one_long_line_take_time_in_proportion(piece):
+    began = time.time()
+    X.find(piece * 20_000 + "x='Zq8vT2mK9xLp4RwN7bYc'")
+    assert time.time() - began < 5
