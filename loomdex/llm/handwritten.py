@@ -3,7 +3,8 @@
 Character trigram models of identifiers, one per language, are counted over the whole collection. A file's
 identifiers are scored with its language's model: mangled names stand out by their cross-entropy, template
 output by names without diversity, and copies of others' code by names in a foreign style or namespace.
-Marks that tools and third parties leave (comments, file names, folders) count as well.
+What the names tell comes first. Marks that tools and third parties leave (comments, folders, namespaces) come
+after, for files whose names look like the project's own, and file names where there are too few names to judge.
 """
 
 from __future__ import annotations
@@ -17,14 +18,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MANGLED_BITS = 5.5  # a name costing more bits a character than this is no word
-MANGLED_SHARE = 0.45
+from loomdex.sources.shared import shared_table
+
+LEAST_NAMES = 30  # a file with fewer is not judged by its names
+LEAST_FILES = 20  # of a language with fewer such files no usual cost is known: there the share of one-letter names decides
+SHORT_SHARE = 0.45
 CHUNK_NAMES = 40  # a chunk weighs no more names in the model than this, lest one bundle teaches it its own
 DATA_SHARE = 0.75
 # A file stands out from its language where it is off the median by SPREADS times the distance of median and
-# lower quartile (the upper half holds the outliers), and by these at least:
-SPREADS = 9
-OUTLYING_BITS = 1.0
+# lower quartile (the upper half holds the outliers), and by these at least; the mean cost of few names varies
+# by chance, so it has to be off by FEW_NAMES / sqrt(names) more:
+SPREADS = 6
+FEW_NAMES = 3.0
+OUTLYING_BITS = 0.6
 OUTLYING_DIVERSITY = 0.12
 OUTLYING_STYLE = 0.25
 
@@ -58,7 +64,9 @@ for _c in b"0123456789":
     _CLASS[_c] = 53
 _CLASS[ord("_")], _CLASS[ord("$")] = 54, 55
 SIZE = 56
-PROSE = ("markdown", "html", "text")
+# The languages of the names models, by extension, and those of prose. Any other is "text".
+CODE = {"php": "php", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "vue": "vue"}
+PROSE = {"html": "html", "htm": "html", "md": "markdown", "txt": "text"}
 
 
 def trigrams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +120,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def name_models(chunks: DataFrame) -> dict[str, NameModel]:
-    """A model per language over all chunks; at most SIZE**3 counts of each reach the driver."""
-    counted = chunks.mapInPandas(_counts, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    """A model per language of CODE over all chunks; at most SIZE**3 counts of each reach the driver."""
+    counted = chunks.where(F.col("lang").isin(*set(CODE.values()))).mapInPandas(_counts, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     return {language: NameModel(part["code"].to_numpy(), part["n"].to_numpy()) for language, part in counted.groupby("lang")}
 
 
@@ -121,25 +129,25 @@ def _features(batches: Iterator[pd.DataFrame], models: dict[str, NameModel]) ->
     for pdf in batches:
         out = []
         for chunk, source, path, rel_path, language, text in zip(pdf["chunk"], pdf["source_name"], pdf["path"], pdf["rel_path"], pdf["lang"], pdf["text"], strict=True):
-            code = language in models and language not in PROSE
+            code = language in models
             names = names_in(text, language) if code else []
             lines = text.count("\n") + 1
-            mangled = snake = 0
+            short = snake = 0
             bits = 0.0
             if names:
                 # text of another language under the extension is no mangled text
-                cost = min((models[k].cost(names) for k in models if k not in PROSE), key=lambda c: c.sum())
-                bits, mangled = float(cost.sum()), sum(1 for n, c in zip(names, cost, strict=True) if c > MANGLED_BITS or len(n) == 1)
+                bits = min(float(m.cost(names).sum()) for m in models.values())
+                short = sum(1 for n in names if len(n) == 1)
                 snake = sum(1 for n in names if "_" in n[1:-1] and n.islower())
             data = sum(len(m) for m in _DATA.findall(text)) if code else 0
             namespace = _NAMESPACE.search(text) if language == "php" else None
             marks = (1 if _GENERATED.search(text) else 0) | (2 if _THIRD.search(text) else 0)
             solid = sum(1 for c in text if not c.isspace() and c not in ",;[](){}'\"=>\\") if data * 3 > len(text) else 0
-            out.append((chunk, source, path, rel_path, language, marks, namespace[1] if namespace else None, len(text), lines, len(names), sorted(zlib.crc32(n.encode()) for n in set(names)), bits, mangled, snake, data, solid, bool("$MESS" in text)))
+            out.append((chunk, source, path, rel_path, language, marks, namespace[1] if namespace else None, len(text), lines, len(names), sorted(zlib.crc32(n.encode()) for n in set(names)), bits, short, snake, data, solid, bool("$MESS" in text)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
-_SCHEMA = "chunk bigint, source_name string, path string, rel_path string, lang string, marks int, namespace string, chars bigint, lines bigint, names bigint, kinds array<bigint>, bits double, mangled bigint, snake bigint, data bigint, solid bigint, messages boolean"
+_SCHEMA = "chunk bigint, source_name string, path string, rel_path string, lang string, marks int, namespace string, chars bigint, lines bigint, names bigint, kinds array<bigint>, bits double, short bigint, snake bigint, data bigint, solid bigint, messages boolean"
 
 
 def classify_files(chunks: DataFrame) -> DataFrame:
@@ -151,44 +159,48 @@ def classify_files(chunks: DataFrame) -> DataFrame:
     """
     spark = chunks.sparkSession
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    by_name = F.create_map(*[F.lit(x) for x in ("php", "php", "js", "javascript", "mjs", "javascript", "jsx", "javascript", "ts", "typescript", "tsx", "typescript", "vue", "vue", "html", "html", "htm", "html", "md", "markdown")])
+    by_name = F.create_map(*[F.lit(x) for pair in (CODE | PROSE).items() for x in pair])
     named = F.lower(F.trim("language"))
+    language = F.coalesce(by_name[extension], F.when(named.isin(*{*CODE.values(), *PROSE.values()}), named), F.lit("text"))
     rows = (
         chunks.where("source_name is not null and path is not null")
-        .select("source_name", "path", F.coalesce("rel_path", "path").alias("rel_path"), F.coalesce(by_name[extension], F.when(named != "", named), F.lit("text")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("chunk_id", "text").alias("chunk"))
+        .select("source_name", "path", F.coalesce("rel_path", "path").alias("rel_path"), language.alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("chunk_id", "text").alias("chunk"))
     )
     models = spark.sparkContext.broadcast(name_models(rows.select("lang", "text")))
     features = rows.mapInPandas(lambda it: _features(it, models.value), _SCHEMA).distinct()
-    sums = [F.sum(c).alias(c) for c in ("chars", "lines", "names", "bits", "mangled", "snake", "data", "solid")]
+    sums = [F.sum(c).alias(c) for c in ("chars", "lines", "names", "bits", "short", "snake", "data", "solid")]
     files = features.groupBy("source_name", "path").agg(
         F.min("rel_path").alias("rel_path"), F.min("lang").alias("lang"), F.bit_or("marks").alias("marks"), F.min(F.lower("namespace")).alias("namespace"), F.bool_or("messages").alias("messages"), *sums,
         F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).cast("long").alias("kinds"),
     )
+    files = shared_table(files, "p4-files")  # one row a file: read for the limits, for the teams and for the answer
     # the teams that module paths name are the project's own
     team = F.lower(F.coalesce(F.nullif(F.regexp_extract("rel_path", r"(?:^|/)modules/([A-Za-z0-9]+)\.", 1), F.lit("")), F.nullif(F.regexp_extract("rel_path", r"^components/([A-Za-z0-9]+)/", 1), F.lit(""))))
-    own = rows.select(team.alias("namespace")).where("namespace is not null").distinct().withColumn("own", F.lit(True))
+    own = files.select(team.alias("namespace")).where("namespace is not null").distinct().withColumn("own", F.lit(True))
     files = files.join(own, "namespace", "left")
     part = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     # names repeat the more the longer a file is, so diversity is the exponent that the distinct ones grow with
     diversity = F.log("kinds") / F.log("names")
     quarter = lambda c, least: F.percentile_approx(F.when(F.col("names") >= least, c), [0.25, 0.5], 10_000)
-    usual = files.groupBy("lang").agg(quarter(part("bits", "names"), 30).alias("bits_q"), quarter(diversity, 100).alias("diversity_q"), quarter(part("snake", "names"), 30).alias("style_q"))
+    usual = files.groupBy("lang").agg(quarter(part("bits", "names"), LEAST_NAMES).alias("bits_q"), quarter(diversity, 100).alias("diversity_q"), quarter(part("snake", "names"), LEAST_NAMES).alias("style_q"), F.count_if(F.col("names") >= LEAST_NAMES).alias("judged"))
     off = lambda c, least: F.greatest(F.lit(least), SPREADS * (F.get(c, F.lit(1)) - F.get(c, F.lit(0))))
     limits = usual.select(
-        "lang", (F.get("bits_q", F.lit(1)) + off("bits_q", OUTLYING_BITS)).alias("most_bits"), (F.get("diversity_q", F.lit(1)) - off("diversity_q", OUTLYING_DIVERSITY)).alias("least_diversity"),
+        "lang", "judged", (F.get("bits_q", F.lit(1)) + off("bits_q", OUTLYING_BITS)).alias("most_bits"), (F.get("diversity_q", F.lit(1)) - off("diversity_q", OUTLYING_DIVERSITY)).alias("least_diversity"),
         (F.get("style_q", F.lit(1)) + off("style_q", OUTLYING_STYLE)).alias("most_snake"),
     )
-    files = files.join(F.broadcast(limits), "lang")  # as many rows as there are languages
+    files = files.join(F.broadcast(limits), "lang")  # a row for each language of CODE and PROSE at most
     path = F.col("rel_path")
+    many = F.col("names") >= LEAST_NAMES
     kind = (
         F.when(path.rlike(_FILES) & ~path.rlike(r"(?i)\.(?:js|mjs|css)$"), "lock_or_map")
+        .when(many & (F.col("judged") >= LEAST_FILES) & (part("bits", "names") > F.col("most_bits") + FEW_NAMES / F.sqrt("names")), "minified")
+        .when(many & (F.col("judged") < LEAST_FILES) & (part("short", "names") >= SHORT_SHARE) & (part("chars", "lines") > 60), "minified")
+        .when(many & (part("snake", "names") > F.col("most_snake")), "vendored")
+        .when((F.col("names") >= 100) & (diversity < F.col("least_diversity")), "generated")
+        .when((F.col("solid") > 0) & ~F.col("messages") & (F.col("chars") >= 300) & (part("data", "solid") >= DATA_SHARE) & (part("data", "chars") >= DATA_SHARE / 2), "data")
         .when(F.col("marks").bitwiseAND(1) > 0, "generated")
         .when(path.rlike(_FOLDERS) | (F.col("marks").bitwiseAND(2) > 0) | (F.col("namespace").isNotNull() & F.col("own").isNull()), "vendored")
-        .when(path.rlike(_FILES), "minified")
-        .when((F.col("names") >= 30) & ((part("bits", "names") > F.col("most_bits")) | ((part("mangled", "names") >= MANGLED_SHARE) & (part("chars", "lines") > 60))), "minified")
-        .when((F.col("solid") > 0) & ~F.col("messages") & (F.col("chars") >= 300) & (part("data", "solid") >= DATA_SHARE) & (part("data", "chars") >= DATA_SHARE / 2), "data")
-        .when((F.col("names") >= 30) & (part("snake", "names") > F.col("most_snake")), "vendored")
-        .when((F.col("names") >= 100) & (diversity < F.col("least_diversity")), "generated")
+        .when(~many & path.rlike(_FILES), "minified")
         .otherwise("handwritten")
     )
-    return files.select("source_name", "path", kind.alias("kind"), "lang", "chars", "names", part("mangled", "names").alias("mangled"), part("kinds", "names").alias("diversity"), part("data", "chars").alias("data"))
+    return files.select("source_name", "path", kind.alias("kind"), "lang", "chars", "names", part("bits", "names").alias("bits"), part("kinds", "names").alias("diversity"), part("data", "chars").alias("data"))
