@@ -4,14 +4,16 @@ A text longer than the capacity gives full pieces and a rest; every other item s
 into shards of bounded size. Several islands evolve packings of one shard in separate tasks: crossover
 injects whole well-filled bins of one parent into the other, removes the bins that hold their items, and
 puts displaced items back by best fit. Between rounds the best packing of each island moves to the next.
-The worst bins of all shards are pooled and packed again, so that the rests of shards are not lost.
+The worst bins of all shards are pooled and packed again, so that the rests of shards are not lost; what a
+shard evolves for is therefore no space left in the bins it keeps, and only the last pool for few bins.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,8 +24,10 @@ from loomdex.sources.shared import shared_table
 SHARD_ITEMS = 2_000
 ISLANDS = 3
 ROUNDS = 2
-GENERATIONS = 6
-POPULATION = 5
+GENERATIONS = 30  # of a round on a shard; an island ends where nothing is left to gain
+LAST_GENERATIONS = 120  # of a round on the last pool
+POPULATION = 6
+TASKS_PER_CORE = 4
 POOLED = 0.06  # share of a shard's bins, the worst filled, that are packed again with those of other shards
 LEVELS = 3
 
@@ -57,14 +61,24 @@ class Packing:
 
     def fitness(self, capacity: int) -> float:
         """Mean squared fill: more for a few full bins and one nearly empty than for the same content spread."""
-        return sum((1 - x / capacity) ** 2 for x in self.left) / max(1, len(self.left)) - len(self.left) / 1e9
+        return sum((1 - x / capacity) ** 2 for x in self.left) / max(1, len(self.left))
 
+    def wasted(self) -> int:
+        """The space left in the bins that are not pooled."""
+        left = sorted(self.left)
+        return sum(left[: max(0, len(left) - pooled_bins(len(left)))])
 
-def best_fit(packing: Packing, items: list[int], sizes: list[int], capacity: int) -> Packing:
-    """Put items, largest first, each where least space stays; into a new bin where it fits nowhere."""
+
+def pooled_bins(bins: int) -> int:
+    """How many of a shard's bins go to the pool: POOLED of them, two at least."""
+    return max(2, math.ceil(bins * POOLED))
+
+
+def place(packing: Packing, order: Iterable[int], sizes: list[int], capacity: int) -> Packing:
+    """Put items, in the order given, each where least space stays; into a new bin where it fits nowhere."""
     bins, left = packing.bins, packing.left
     space = sorted((x, b) for b, x in enumerate(left) if x > 0)
-    for item in sorted(items, key=lambda i: (-sizes[i], i)):
+    for item in order:
         size = sizes[item]
         at = bisect_left(space, (size, -1))
         if at < len(space):
@@ -80,62 +94,78 @@ def best_fit(packing: Packing, items: list[int], sizes: list[int], capacity: int
     return packing
 
 
+def best_fit(packing: Packing, items: Iterable[int], sizes: list[int], capacity: int) -> Packing:
+    """`place`, largest first."""
+    return place(packing, sorted(items, key=lambda i: (-sizes[i], i)), sizes, capacity)
+
+
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Well-filled bins of b go whole into a; bins of a with any of their items go, the other items of these are put back by best fit."""
-    order = sorted(range(len(b.bins)), key=lambda i: (b.left[i], i))
-    cut = rng.randint(1, max(1, len(order) // 2))
-    chosen = [i for i in order[:cut] if rng.random() < 0.7] or order[:1]
-    taken = {item for i in chosen for item in b.bins[i]}
-    bins, left = [list(b.bins[i]) for i in chosen], [b.left[i] for i in chosen]
+    """Well-filled bins of b go whole into a, unless they would break a full bin of it; bins of a with any of their items go, the other items of these are put back by best fit."""
+    home = {item: n for n, items in enumerate(a.bins) for item in items}
+    order = sorted(range(len(b.bins)), key=lambda i: (b.left[i], rng.random()))
+    full = [i for i in order if b.left[i] == 0]
+    chosen = [i for i in (full if len(full) > 3 else order[: max(3, len(order) // 3)]) if rng.random() < 0.6] or order[:1]
+    bins: list[list[int]] = []
+    left: list[int] = []
+    taken: set[int] = set()
+    broken: set[int] = set()
+    for i in chosen:
+        met = {home[item] for item in b.bins[i]}
+        if all(a.left[n] > 0 for n in met):
+            bins.append(list(b.bins[i]))
+            left.append(b.left[i])
+            taken.update(b.bins[i])
+            broken |= met
     displaced: list[int] = []
-    for items, free in zip(a.bins, a.left, strict=True):
-        if taken.isdisjoint(items):
+    for n, (items, free) in enumerate(zip(a.bins, a.left, strict=True)):
+        if n in broken:
+            displaced += [x for x in items if x not in taken]
+        else:
             bins.append(list(items))
             left.append(free)
-        else:
-            displaced += [x for x in items if x not in taken]
     return best_fit(Packing(bins, left), displaced, sizes, capacity)
 
 
-def mutate(p: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Empty a few bins, mostly badly filled ones, and put their items back."""
-    n = min(len(p.bins), rng.randint(2, 6))
-    order = sorted(range(len(p.bins)), key=lambda i: (-p.left[i] * rng.random(), i))
-    gone = set(order[:n])
-    bins = [list(x) for i, x in enumerate(p.bins) if i not in gone]
-    left = [x for i, x in enumerate(p.left) if i not in gone]
-    return best_fit(Packing(bins, left), [x for i in gone for x in p.bins[i]], sizes, capacity)
+def mutate(p: Packing, sizes: list[int], capacity: int, rng: random.Random, share: float = 0.3) -> Packing:
+    """Empty a share of the bins that are not full, and put their items back in an order that is only roughly that of size."""
+    gone = {i for i, free in enumerate(p.left) if free > 0 and rng.random() < share}
+    rest = Packing([list(x) for i, x in enumerate(p.bins) if i not in gone], [x for i, x in enumerate(p.left) if i not in gone])
+    noise = {item: sizes[item] * rng.uniform(0.7, 1.0) for i in sorted(gone) for item in p.bins[i]}
+    return place(rest, sorted(noise, key=lambda i: -noise[i]), sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, elites: list[list[int]], seed: int) -> tuple[list[int], bool]:
-    """(bin of every item, whether the count of bins is the least possible); `elites` are such lists from before."""
+def evolve(sizes: list[int], capacity: int, elites: list[list[int]], seed: int, last: bool = True) -> tuple[list[int], bool]:
+    """(bin of every item, whether nothing is left to gain); `elites` are such lists from before.
+
+    `last`: few bins count; else the space wasted in the bins that are not pooled.
+    """
     rng = random.Random(seed)
     everything = list(range(len(sizes)))
     least = -(-sum(sizes) // capacity) if sizes else 0
+    score = (lambda p: (len(p.bins), -p.fitness(capacity))) if last else (lambda p: (p.wasted(), len(p.bins)))
+    perfect = (lambda p: len(p.bins) <= least) if last else (lambda p: p.wasted() == 0)
     population = [_from_list(e, sizes, capacity) for e in elites]
     if not population:
         population.append(best_fit(Packing([], []), everything, sizes, capacity))
-    if len(population[0].bins) > least:
+    if not perfect(min(population, key=score)):
         while len(population) < POPULATION:
-            population.append(mutate(_noisy(sizes, capacity, rng), sizes, capacity, rng))
-        for _ in range(GENERATIONS):
-            population.sort(key=lambda p: (len(p.bins), -p.fitness(capacity)))
-            if len(population[0].bins) <= least:
+            population.append(place(Packing([], []), rng.sample(everything, len(everything)), sizes, capacity))
+        for _ in range(LAST_GENERATIONS if last else GENERATIONS):
+            population.sort(key=score)
+            if perfect(population[0]):
                 break
-            half = max(2, POPULATION // 2)
+            parents = population[: POPULATION // 2 + 1]
             children = []
-            for _ in range(POPULATION - half + 1):
-                a, b = rng.sample(population[:half], 2)
-                child = crossover(a, b, sizes, capacity, rng)
-                children.append(mutate(child, sizes, capacity, rng) if rng.random() < 0.6 else child)
-            population = [*population[:half], *children]
-        population.sort(key=lambda p: (len(p.bins), -p.fitness(capacity)))
-    top = population[0]
+            for _ in range(POPULATION - 2):
+                child = crossover(*rng.sample(parents, 2), sizes, capacity, rng)
+                children.append(mutate(child, sizes, capacity, rng) if rng.random() < 0.7 else child)
+            population = [*population[: POPULATION // 2], *children]
+    top = min(population, key=score)
     out = [0] * len(sizes)
     for b, items in enumerate(top.bins):
         for item in items:
             out[item] = b
-    return out, len(top.bins) <= least
+    return out, perfect(top)
 
 
 def _from_list(bin_of: list[int], sizes: list[int], capacity: int) -> Packing:
@@ -146,17 +176,7 @@ def _from_list(bin_of: list[int], sizes: list[int], capacity: int) -> Packing:
     return Packing(lists, [capacity - sum(sizes[i] for i in items) for items in lists])
 
 
-def _noisy(sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """First fit in an order that is only roughly that of size."""
-    noise = {i: sizes[i] * rng.uniform(0.6, 1.0) for i in range(len(sizes))}
-    packing = Packing([], [])
-    order = sorted(noise, key=lambda i: -noise[i])
-    for at in range(0, len(order), 256):
-        best_fit(packing, order[at : at + 256], sizes, capacity)
-    return packing
-
-
-_STATE = "container_kind string, level int, shard int, island int, elite array<int>, done boolean"
+_STATE = "container_kind string, level int, shard int, island int, elite array<int>, done boolean, score bigint"
 
 
 def pack(documents: DataFrame, capacities: DataFrame) -> DataFrame:
@@ -208,12 +228,11 @@ def _pack_level(rest: DataFrame, level: int, shards: dict[str, int], last: bool)
             goes = state.withColumn("to", F.explode(F.array_distinct(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS))))))
             elites = goes.groupBy("container_kind", "shard", F.col("to").alias("island")).agg(F.collect_list("elite").alias("elites"), F.bool_or("done").alias("done"))
             todo = islands.join(elites.where("not done").drop("done"), ["container_kind", "shard", "island"])
-        state_now = _turn(todo, turn)
+        state_now = _turn(todo, turn, last, sum(shards.values()) * ISLANDS)
         if state is not None:
             state_now = state_now.unionByName(state.where("done"))
         state = shared_table(state_now, "p8-state")
-    bins = F.aggregate("elite", F.lit(-1), lambda a, x: F.greatest(a, x)) + 1
-    best = state.groupBy("container_kind", "shard").agg(F.min_by("elite", F.struct(bins, "island")).alias("elite"))
+    best = state.groupBy("container_kind", "shard").agg(F.min_by("elite", F.struct("score", "island")).alias("elite"))
     wide = groups.join(best, ["container_kind", "shard"]).select("container_kind", "shard", "capacity", F.explode(F.arrays_zip("items", F.col("elite").alias("bin"))).alias("z"))
     rows = wide.select("container_kind", "capacity", "shard", "z.items.*", F.col("z.bin").alias("bin"))
     name = F.concat_ws("-", F.lit(f"l{level}"), "shard", "bin")
@@ -221,23 +240,25 @@ def _pack_level(rest: DataFrame, level: int, shards: dict[str, int], last: bool)
         return rows.withColumn("container_id", name).withColumn("pooled", F.lit(False)).drop("shard", "bin")
     fill = rows.groupBy("container_kind", "shard", "bin").agg(F.sum("size").alias("filled"))
     ranked = fill.groupBy("container_kind", "shard").agg(F.array_sort(F.collect_list(F.struct("filled", "bin"))).alias("all"))
-    worst = F.slice("all", F.lit(1), F.greatest(F.ceil(F.size("all") * POOLED).cast("int"), F.lit(2)))
+    worst = F.slice("all", F.lit(1), F.greatest(F.ceil(F.size("all") * POOLED).cast("int"), F.lit(2)))  # as in pooled_bins
     pooled = ranked.select("container_kind", "shard", F.explode(worst).alias("w")).select("container_kind", "shard", "w.bin").withColumn("pooled", F.lit(True))
     out = rows.join(pooled, ["container_kind", "shard", "bin"], "left").withColumn("container_id", name)
     return shared_table(out.withColumn("pooled", F.coalesce("pooled", F.lit(False))).drop("shard", "bin"), "p8-packed")
 
 
-def _turn(todo: DataFrame, turn: int) -> DataFrame:
+def _turn(todo: DataFrame, turn: int, last: bool, islands: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for kind, shard, island, capacity, sizes, elites in zip(pdf["container_kind"], pdf["shard"], pdf["island"], pdf["capacity"], pdf["sizes"], pdf["elites"], strict=True):
-                elite, done = evolve([int(s) for s in sizes], int(capacity), [list(map(int, e)) for e in elites], seed=1_000_003 * turn + 1_009 * int(shard) + int(island))
-                out.append((kind, 0, shard, island, elite, done))
+                sizes, capacity = [int(s) for s in sizes], int(capacity)
+                elite, done = evolve(sizes, capacity, [list(map(int, e)) for e in elites], seed=1_000_003 * turn + 1_009 * int(shard) + int(island), last=last)
+                made = _from_list(elite, sizes, capacity)
+                out.append((kind, 0, shard, island, elite, done, len(made.bins) if last else made.wasted()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _STATE.split(", ")])
 
-    # islands are few and long: spread them evenly
-    tasks = todo.repartition(F.xxhash64("container_kind", "shard", "island"))
+    # islands are few rows and long work: a number of partitions of their own, which adaptive execution does not merge
+    tasks = todo.repartition(min(islands, TASKS_PER_CORE * todo.sparkSession.sparkContext.defaultParallelism), F.xxhash64("container_kind", "shard", "island"))
     return tasks.mapInPandas(run, _STATE)
 
 
@@ -245,5 +266,5 @@ def report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """container_kind, containers, least (the tokens' sum over the capacity), fill."""
     kinds = capacities.groupBy("container_kind").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
     used = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("filled")).groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("filled").alias("tokens"))
-    out = used.join(F.broadcast(kinds), "container_kind")
+    out = used.join(kinds, "container_kind")
     return out.select("container_kind", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))
