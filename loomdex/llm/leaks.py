@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.bagminhash import mix
+from loomdex.sources.shared import shared_table
 
 FILTER_WINDOWS = 4_000_000  # windows of the cases (8 bytes each) up to which documents are filtered by them before the join
 PLAIN_LEAST = 6  # words outside slots that a re-parameterised window needs
@@ -28,8 +29,10 @@ WORDS_KEPT = 500_000
 UNITS = frozenset("ms sec min h kb mb gb tb kib mib gib px pt em mm cm m km mg g kg t l ml hz khz mhz ghz w kw v a percent usd eur gbp rub uah руб грн коп шт кг км мб гб мс сек мин".split())
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
-_BLOCK = re.compile(r"<!--.*?-->|</?(?:br|p|div|li|ul|ol|td|th|tr|table|h[1-6]|hr|pre|blockquote)\b[^<>]{0,500}>", re.I | re.S)
-_INLINE = re.compile(r"</?[A-Za-z][\w:-]*(?:\s[^<>]{0,500})?/?>")
+# what a tag holds after its name: attributes, however long; or, so near its end, anything
+_HELD = r"(?:(?:\s++[\w:.@-]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>]++))?+)*+\s*+/?>|(?:\s[^<>]{0,500})?/?>)"
+_BLOCK = re.compile(r"<!--.*?-->|</?(?:br|p|div|li|ul|ol|td|th|tr|table|h[1-6]|hr|pre|blockquote)\b" + _HELD, re.I | re.S)
+_INLINE = re.compile(r"</?[A-Za-z][\w:-]*+" + _HELD)
 _WORD = re.compile(r"[^\W_]+")
 # what may stand before a line and holds words: numbers of lines or items, dates, times, levels
 _PREFIX = re.compile(
@@ -140,16 +143,18 @@ def leaks(documents: DataFrame, cases: DataFrame, id_column: str = "doc_id", tex
     """
     spark = documents.sparkSession
     passages = cases.select("case_id", "passage").where("case_id is not null and passage is not null")
-    vocabulary = passages.mapInPandas(_vocabulary, "word string, name boolean").groupBy("word").agg(F.max("name").alias("name")).collect()
-    names = frozenset(r["word"] for r in vocabulary if r["name"])
-    templates = spark.sparkContext.broadcast((names, frozenset(r["word"] for r in vocabulary) - names))
+    vocabulary = passages.mapInPandas(_vocabulary, "word string, name boolean").groupBy("word").agg(F.max("name").alias("name")).toPandas()
+    names = frozenset(vocabulary["word"][vocabulary["name"].astype(bool)])
+    templates = spark.sparkContext.broadcast((names, frozenset(vocabulary["word"]) - names))
     schema = "template bigint, exact bigint, slots array<string>"
     held = passages.select(F.col("case_id").alias("id"), F.col("passage").alias("text")).mapInPandas(
         lambda it: _windows(it, Templates(*templates.value, window), None), f"id {passages.schema['case_id'].dataType.simpleString()}, {schema}"
     )
     held = held.withColumnRenamed("id", "case_id").withColumnRenamed("slots", "case_slots").withColumnRenamed("exact", "case_exact").distinct()
-    few = held.select("template").distinct().limit(FILTER_WINDOWS + 1).collect()
-    wanted = spark.sparkContext.broadcast(np.unique(np.array([r[0] for r in few], dtype=np.int64)) if len(few) <= FILTER_WINDOWS else None)
+    held = shared_table(held, "p9-cases")  # read for the filter and for the join
+    distinct = held.select("template").distinct()
+    few = distinct.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS
+    wanted = spark.sparkContext.broadcast(np.sort(distinct.toPandas()["template"].to_numpy(dtype=np.int64)) if few else None)
     texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
     found = texts.mapInPandas(
         lambda it: _windows(it, Templates(*templates.value, window), wanted.value), f"id {texts.schema['id'].dataType.simpleString()}, {schema}"

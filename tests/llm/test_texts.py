@@ -302,3 +302,10 @@ def test_credentials_in_one_long_line_take_time_in_proportion(piece):
     began = time.time()
     X.find(piece * 20_000 + "x='Zq8vT2mK9xLp4RwN7bYc'")
     assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("length", [10, 501, 4_000])
+def test_long_tags_hold_no_words(length):
+    values = " ".join(f"data-x{i}='value {i}'" for i in range(length // 15 + 1))
+    assert leaks.forms(f"one two<b {values}>three</b> <p class=\"{'x' * length}\">four")[0] == ["one", "twothree", "four"]
+    assert leaks.forms(f"a < b and {'word ' * length} > c")[0][:3] == ["a", "b", "and"]
