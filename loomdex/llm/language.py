@@ -19,6 +19,7 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "ru", "uk", "de", "fr", "es")
@@ -214,7 +215,9 @@ def train(documents: DataFrame, id_column: str, text_column: str, label_column:
     share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, SAMPLE_DOCUMENTS / n))])
     drawn = named.where((F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("label")])
     sample: dict[str, list[str]] = {}
-    for r in drawn.select("label", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).limit(2 * SAMPLE_DOCUMENTS * len(LANGUAGES)).collect():
+    nth = F.row_number().over(W.partitionBy("label").orderBy("least", "id"))  # about SAMPLE_DOCUMENTS rows of a language each
+    least = drawn.select("label", "id", F.xxhash64(F.lit(11), "id").alias("least"), F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).withColumn("nth", nth).where(F.col("nth") <= 2 * SAMPLE_DOCUMENTS)
+    for r in least.orderBy("label", "nth").collect():
         for _, lines, n in segments(r["text"]):
             words = natural_words(lines)
             if n >= LEAST_WORDS and words.count(" ") >= 3:
