@@ -26,7 +26,7 @@ def check_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
     extension = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
     wanted = chunks.select("source_name", "path").where("source_name is not null and path is not null").where(extension.isin(*LANGUAGES)).distinct()
     texts = files.where(extension.isin(*LANGUAGES)).select("source_name", "path", F.coalesce("text", F.lit("")).alias("text"))
-    known = texts.join(wanted, ["source_name", "path"], "left_semi")
+    known = texts.join(wanted, ["source_name", "path"], "left_semi").groupBy("source_name", "path").agg(F.max("text").alias("text"))  # the join's partitioning
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -41,8 +41,7 @@ def check_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", faults")[0].split(", ")] + ["faults"])
             yield frame.astype({"first_line": "Int32"})
 
-    checked = known.mapInPandas(run, _OUT)
-    return checked.groupBy("source_name", "path").agg(F.max_by(F.struct("language", "valid", "first_cause", "first_line", "faults"), F.struct("valid", "first_line")).alias("r")).select("source_name", "path", "r.*")
+    return known.mapInPandas(run, _OUT)
 
 
 def rates(checked: DataFrame) -> DataFrame:
