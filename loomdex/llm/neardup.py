@@ -22,7 +22,7 @@ from loomdex.llm.bagminhash import bands, mix, signatures
 from loomdex.sources.shared import shared_table
 
 ROWS = 4  # registers of a band
-BANDS = 28  # a pair of similarity 0.7 shares none with probability (1 - 0.7**4)**28 = 0.0005
+BANDS = 40  # a pair of similarity 0.7 shares none with probability (1 - 0.7**4)**40 = 0.00002
 HOT_BUCKET = 64
 EXPAND = 64  # up to so many equal texts come out as all their pairs, more of them as pairs with their first member
 SALTED = 256  # members of a class that one task pairs with the others
