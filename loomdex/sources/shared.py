@@ -13,9 +13,11 @@ _CREATED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary folder only where none is set, as in tests."""
+    """The cluster's `spark.checkpoint.dir`; a temporary folder only where none is set and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomdex-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -37,7 +39,7 @@ def shared_table(df: DataFrame, name: str, *, cluster_by: list[str] | None = Non
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """`df` with a broadcast hint if it holds at most `rows` rows, else as it is; `df` should be cheap to count."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).head(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def drop_shared_tables() -> None:
