@@ -2,7 +2,8 @@
 
 Vectors are put into cells (k-means on a bounded sample), neighbouring cells into groups of bounded
 size. A vector goes to its own group once and, as a query, to every other group that holds one of its
-`probes` nearest cells. In a task, each cell's tile is a product of int8 codes (computed exactly in
+`probes` nearest cells. A group above the bound is cut into blocks of base rows and blocks of queries, each pair
+of which is a task, so no task holds a hot cell. In a task, each cell's tile is a product of int8 codes (computed exactly in
 float32, since 96 * 127 * 127 < 2**24 and longer vectors are cut into such spans). With the quantisation
 error of both sides it bounds every cosine; only pairs whose upper bound reaches the k-th lower bound are
 recomputed from the float vectors, and best-k lists of tiles are merged.
@@ -23,7 +24,8 @@ from loomdex.sources.shared import shared_table, small_side
 
 SAMPLE_ROWS = 16_384  # bound of the training sample of one model
 MAX_CELLS = 4_096
-BLOCK_ROWS = 16_384  # rows of a base block, the unit a task holds
+BLOCK_ROWS = 16_384  # rows of a base block; with QUERY_ROWS of queries the unit a task holds
+QUERY_ROWS = 8 * BLOCK_ROWS
 PROBES = 8
 CODE_SPAN = 1_024  # numbers whose int8 products a float32 sum holds exactly
 SALTS = 16
@@ -61,9 +63,11 @@ def unit(vectors: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def similar_vectors(rows: DataFrame, k: int = 5, probes: int = PROBES, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
+def similar_vectors(rows: DataFrame, k: int = 5, probes: int = PROBES, block_rows: int = BLOCK_ROWS, seed: int = 7, query_rows: int = QUERY_ROWS) -> DataFrame:
     """model_name, text_hash, neighbour_hash, cosine, rank: the k best neighbours of every usable vector.
 
+    With `probes` of MAX_CELLS or more every cell is searched and the result is exact, at quadratic cost.
+
     Only vectors of one model and length are compared. Equal cosines rank by neighbour_hash; which of several
     different directions with equal cosines is the k-th is left open. Vectors that
     agree in direction to five decimals are one class: one representative is searched, the class's members
@@ -80,7 +84,7 @@ def similar_vectors(rows: DataFrame, k: int = 5, probes: int = PROBES, block_row
         "p1-located",
     )
     members, first = copy_classes(located.select("model", "text_hash", "uid", "direction"), k)
-    found = search_representatives(located, members, centroids, k, block_rows)
+    found = search_representatives(located, members, centroids, k, block_rows, query_rows)
     pairs = expand_classes(found, members, first, k)
     named = located.select("model", "text_hash", "uid")
     # names come last and one side at a time: ranking and the second join share one partitioning by uid
@@ -165,30 +169,35 @@ def copy_classes(ids: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return members.drop("text_hash"), first
 
 
-def search_representatives(located: DataFrame, members: DataFrame, centroids: dict[str, np.ndarray], k: int, block_rows: int) -> DataFrame:
+def search_representatives(located: DataFrame, members: DataFrame, centroids: dict[str, np.ndarray], k: int, block_rows: int, query_rows: int) -> DataFrame:
     spark = located.sparkSession
     later = small_side(members.where("uid != rep").select("uid"), 10 * SMALL_KEYS)
     reps = located.join(later, "uid", "left_anti")
-    sizes = reps.groupBy("model", F.element_at("cells", 1).alias("cell")).agg(F.count("*").alias("n")).collect()
-    groups = plan_groups(sizes, centroids, block_rows)
+    sizes = reps.select("model", F.posexplode("cells").alias("place", "cell")).groupBy("model", "cell").agg(F.count_if(F.col("place") == 0).alias("n"), F.count("*").alias("asked")).collect()
+    groups = plan_groups(sizes, centroids, block_rows, query_rows)
     plan = spark.sparkContext.broadcast({m: (i, *groups[m]) for i, m in enumerate(sorted(groups))})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
             for model, uid, v, cells in zip(pdf["model"], pdf["uid"], pdf["v"], pdf["cells"], strict=True):
-                number, groups, blocks = plan.value[model]
+                number, groups, blocks, parts = plan.value[model]
                 home = groups[cells[0]]
                 goes: dict[int, list[int]] = {}
                 for c in cells:
                     goes.setdefault(groups[c], []).append(int(c))
+                mixed = uid * 0x9E3779B97F4A7C15 >> 24
                 for g, probed in goes.items():
-                    own = (uid * 0x9E3779B97F4A7C15 >> 40) % blocks[g] if g == home else -1
-                    for b in range(blocks[g]):
-                        out.append((number, g, b, uid, v, probed, int(cells[0]) if b == own else -1))
-            yield pd.DataFrame(out, columns=["model", "grp", "block", "uid", "v", "probed", "home"])
-
-    schema = "model int, grp int, block int, uid bigint, v array<float>, probed array<int>, home int"
+                    own = (mixed >> 16) % blocks[g] if g == home else -1
+                    asks = mixed % parts[g]
+                    for b in range(blocks[g]):  # as a query
+                        out.append((number, g, b, asks, uid, v, probed, int(cells[0]) if b == own else -1))
+                    for q in range(parts[g] if own >= 0 else 0):  # as a base row for the other queries
+                        if q != asks:
+                            out.append((number, g, own, q, uid, v, [], int(cells[0])))
+            yield pd.DataFrame(out, columns=["model", "grp", "block", "part", "uid", "v", "probed", "home"])
+
+    schema = "model int, grp int, block int, part int, uid bigint, v array<float>, probed array<int>, home int"
     spreaded = reps.select("model", "uid", "v", "cells").mapInPandas(spread, schema)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,21 +205,21 @@ def search_representatives(located: DataFrame, members: DataFrame, centroids: di
         q, b, s = tile_join(np.stack(pdf["v"].to_numpy()).astype(np.float32), ids, pdf["home"].to_numpy(), pdf["probed"].to_numpy(), k)
         return pd.DataFrame({"uid": ids[q], "near": ids[b], "cosine": s})
 
-    found = spreaded.groupBy("model", "grp", "block").applyInPandas(match, "uid bigint, near bigint, cosine double")
+    found = spreaded.groupBy("model", "grp", "block", "part").applyInPandas(match, "uid bigint, near bigint, cosine double")
     order = W.partitionBy("uid").orderBy(F.desc("cosine"), "near")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def plan_groups(sizes: list, centroids: dict[str, np.ndarray], block_rows: int) -> dict[str, tuple[list[int], list[int]]]:
-    """For each model, the group of every cell and the number of base blocks of every group.
+def plan_groups(sizes: list, centroids: dict[str, np.ndarray], block_rows: int, query_rows: int) -> dict[str, tuple[list[int], list[int], list[int]]]:
+    """For each model, the group of every cell and the numbers of base blocks and of query blocks of every group.
 
     Cells are taken in the order of a walk to the nearest cell not yet taken, so that a group, a run of
     the walk of at most `block_rows` rows, holds cells near each other. A cell above that is a group alone
     and gets several blocks.
     """
-    counts: dict[str, dict[int, int]] = {}
+    counts: dict[str, dict[int, tuple[int, int]]] = {}
     for r in sizes:
-        counts.setdefault(r["model"], {})[r["cell"]] = r["n"]
+        counts.setdefault(r["model"], {})[r["cell"]] = (r["n"], r["asked"])
     plan = {}
     for model, n in counts.items():
         c = centroids.get(model)
@@ -222,16 +231,17 @@ def plan_groups(sizes: list, centroids: dict[str, np.ndarray], block_rows: int)
             left[at] = False
             if left.any() and c is not None:
                 at = int(np.argmax(np.where(left, c @ c[at], -np.inf)))
-        groups, blocks, held = [0] * total, [], 0
+        groups, blocks, parts, held, asked = [0] * total, [], [], 0, 0
         for cell in walk:
-            rows = n.get(cell, 0)
+            rows, queries = n.get(cell, (0, 0))
             if not blocks or held + rows > block_rows:
                 blocks.append(1)
-                held = 0
-            held += rows
+                parts.append(1)
+                held = asked = 0
+            held, asked = held + rows, asked + queries  # a query of several cells of a group counts as often, so this is a bound
             groups[cell] = len(blocks) - 1
-            blocks[-1] = max(1, -(-held // block_rows))
-        plan[model] = (groups, blocks)
+            blocks[-1], parts[-1] = max(1, -(-held // block_rows)), max(1, -(-asked // query_rows))
+        plan[model] = (groups, blocks, parts)
     return plan
 
 

@@ -81,3 +81,16 @@ def test_empty_table(spark):
 def test_long_and_large_vectors(spark, dim):
     rows = [("m", str(i), dim, np.full(dim, 3e37) * (1 + i * (np.arange(dim) % 2)) / 4, None) for i in range(3)]
     assert V.similar_vectors(table(spark, rows), k=2).count() == 6
+
+
+@pytest.mark.parametrize("block_rows,query_rows", [(20_000, 160_000), (60, 50), (2_000, 70)])
+def test_a_hot_cell_in_blocks_of_rows_and_queries_is_exact_with_all_cells(spark, block_rows, query_rows):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=24) + rng.normal(size=(400, 24)) * 0.2  # two thirds of all rows lie in one direction
+    x = np.concatenate([hot, rng.normal(size=(200, 24))])
+    rows = [("m", f"{i:04}", 24, v, None) for i, v in enumerate(x)]
+    found = V.similar_vectors(table(spark, rows), probes=V.MAX_CELLS, block_rows=block_rows, query_rows=query_rows).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -9)
+    assert {(r["text_hash"], r["neighbour_hash"]) for r in found} == {(f"{i:04}", f"{j:04}") for i in range(600) for j in np.argsort(-s[i])[:5]}
