@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex import config
 from loomdex.operators import dense, evaluate, search
-from loomdex.operators.filters import SearchFilters
+from loomdex.operators.filters import Scope
 from loomdex.operators.indexing import IndexStore, index_source, open_index, prune
 from loomdex.operators.stats import collection_statistics, index_statistics
 from loomdex.session import local_session
@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.verb == "stats":
         collection_statistics(index.chunks).show(truncate=False)
     elif a.verb == "search":
-        found = search.search(index, search.one_query(spark, a.query), a.mode, a.limit, SearchFilters(a.source, a.lang, a.path), a.score_threshold)
+        found = search.search(index, search.one_query(spark, a.query), a.mode, a.limit, Scope(source=a.source, lang=a.lang, path=a.path), a.score_threshold)
         for r in search.title(found).orderBy("rank").collect():
             print(f"{r['rank']}. {r['title']}\n{r['text'][:1200]}\n")
     else:

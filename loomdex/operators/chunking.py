@@ -1,20 +1,22 @@
 """Generators of chunks: fixed windows, packed lines with overlap, headings, and the router over languages.
 
 Line packing exists twice: as a fold of SQL expressions over line lengths (`pack_lines_sql`) and as an Arrow
-function (`pack_lines`), which is faster for long texts. Tests hold them to be equal.
+function (`pack_lines`), which is faster for long texts. Tests hold them to be equal. All Arrow functions carry
+the file's columns along, so a text is read once and never shuffled.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomdex.functions.text import chunk_id, lines, lines_with_ends, strip
+from loomdex.functions.text import chunk_id, lines_with_ends, strip
 
 
 @dataclass(frozen=True)
@@ -53,19 +55,28 @@ def chunk_windows(documents: DataFrame, config: ChunkConfig) -> DataFrame:
     return documents.select("*", F.posexplode(windows(F.col("text"), config)).alias("n", "chunk")).withColumn("ordinal", F.col("n") + 1).drop("n")
 
 
-def chunk_headings(documents: DataFrame, key: str, config: ChunkConfig) -> DataFrame:
-    """key, start_line, end_line, ordinal, chunk: blocks that begin at `# ` or `## ` lines, long ones in windows.
+def text_windows(text: str, config: ChunkConfig) -> list[str]:
+    """As `windows`, of one text."""
+    c = config.checked()
+    step = c.max_chars - c.overlap_chars
+    count = max(0, -(-(len(text) - c.max_chars) // step)) + 1
+    return [w for w in (text[i * step : i * step + c.max_chars].strip() for i in range(count)) if w]
+
+
+def split_headings(text: str, config: ChunkConfig) -> list[tuple[str, int, int]]:
+    """(text, first line, last line) of the blocks that begin at `# ` or `## ` lines, long ones in windows.
 
     A fence does not hide a heading, `###` begins no block. Every part of a block carries the block's lines.
     """
-    each = documents.where("text is not null").select(key, F.posexplode(lines(F.col("text"))).alias("n", "line"))
-    order = W.partitionBy(key).orderBy("n")
-    island = each.withColumn("block", F.sum(F.col("line").rlike(r"^##? ").cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    blocks = island.groupBy(key, "block").agg((F.min("n") + 1).alias("start_line"), (F.max("n") + 1).alias("end_line"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"))
-    joined = blocks.withColumn("text", strip(F.array_join(F.col("ls.line"), "\n"))).where("text != ''")
-    parts = joined.select(key, "start_line", "end_line", F.posexplode(windows(F.col("text"), config)).alias("part", "chunk"))
-    ordinal = F.row_number().over(W.partitionBy(key).orderBy("start_line", "part"))
-    return parts.withColumn("ordinal", ordinal).drop("part")
+    rows = text.splitlines()
+    begins = sorted({0, *(i for i, row in enumerate(rows) if row.startswith(("# ", "## ")))})
+    spans = [(first, last) for first, last in zip(begins, [*begins[1:], len(rows)], strict=True) if first < last]
+    return [(part, first + 1, last) for first, last in spans for part in text_windows("\n".join(rows[first:last]).strip(), config)]
+
+
+def chunk_headings(documents: DataFrame, key: str, config: ChunkConfig) -> DataFrame:
+    """key, ordinal, start_line, end_line, chunk: `split_headings` of every text, numbered from 1; NULL and blank texts give none."""
+    return _by_arrow(documents, key, lambda text: split_headings(text, config))
 
 
 def packed_spans(sizes: Column, config: ChunkConfig) -> Column:
@@ -80,7 +91,9 @@ def packed_spans(sizes: Column, config: ChunkConfig) -> Column:
     start = F.struct(F.array().cast(f"array<{span}>").alias("out"), F.lit(0).alias("st"), F.lit(0).alias("cl"))
 
     def tail(st: Column, i: Column) -> Column:
-        """Length and count of the lines kept as overlap before line i: from the end while they fit, at least one."""
+        """Length and count of the lines kept as overlap before line i: from the end while they fit, at least one; none without overlap."""
+        if not c.overlap_chars:
+            return F.struct(F.lit(0).alias("k"), F.lit(0).alias("t"))
         zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("t"), F.lit(False).alias("stop"))
 
         def keep(a: Column, j: Column) -> Column:
@@ -118,90 +131,95 @@ def pack_lines_sql(documents: DataFrame, key: str, config: ChunkConfig) -> DataF
 
 
 def split_lines(text: str, config: ChunkConfig) -> list[tuple[str, int, int]]:
-    """(text, first line, last line) of each piece, unstripped: lines are added while they fit; then a tail of them begins the next piece."""
+    """(text, first line, last line) of each piece, unstripped.
+
+    A piece is a run of lines that ends where the next would make it longer than max_chars, or before a line that
+    is longer alone, which is cut into slices. The next piece begins with as many of its last lines as fit into
+    overlap_chars, one at least, if there is an overlap; after a cut line it begins anew.
+    """
     c = config.checked()
+    parts = text.split("\n")
+    rows = [p + "\n" for p in parts[:-1]] + parts[-1:] * bool(parts[-1])
+    ends = [0, *accumulate(map(len, rows))]  # ends[i]: characters before line i
+    walls = [i for i, row in enumerate(rows) if len(row) > c.max_chars] + [len(rows)]
     out: list[tuple[str, int, int]] = []
-    held: list[tuple[int, str]] = []
-    size = 0
-
-    def emit() -> None:
-        if held:
-            out.append(("".join(x for _, x in held), held[0][0], held[-1][0]))
-
-    pieces = text.split("\n")
-    ended = [p + "\n" for p in pieces[:-1]] + ([pieces[-1]] if pieces[-1] else [])
-    for number, line in enumerate(ended, 1):
-        if len(line) > c.max_chars:
-            emit()
-            held, size = [], 0
-            out += [(line[at : at + c.max_chars], number, number) for at in range(0, len(line), c.max_chars)]
-            continue
-        if held and size + len(line) > c.max_chars:
-            emit()
-            kept, total = 0, 0
-            for _, x in reversed(held):
-                if kept and total + len(x) > c.overlap_chars:
-                    break
-                kept, total = kept + 1, total + len(x)
-                if total >= c.overlap_chars:
-                    break
-            held, size = held[len(held) - kept :], total
-        held.append((number, line))
-        size += len(line)
-    emit()
+    begin = 0
+    for wall in walls:
+        new = begin  # the first line that no piece holds yet
+        while new < wall:
+            end = min(wall, max(new + 1, bisect_right(ends, ends[begin] + c.max_chars) - 1))
+            out.append((text[ends[begin] : ends[end]], begin + 1, end))
+            tail = min(bisect_left(ends, ends[end] - c.overlap_chars), end - 1) if c.overlap_chars else end
+            begin, new = max(begin, tail), end
+        if wall < len(rows):
+            out += [(text[at : min(at + c.max_chars, ends[wall + 1])], wall + 1, wall + 1) for at in range(ends[wall], ends[wall + 1], c.max_chars)]
+        begin = wall + 1
     return out
 
 
-def pack_lines(documents: DataFrame, key: str, config: ChunkConfig) -> DataFrame:
-    """As `pack_lines_sql`, by Arrow batches; nothing is shuffled."""
+def _by_arrow(documents: DataFrame, key: str, split) -> DataFrame:
+    """key, ordinal, start_line, end_line, chunk of (text, first line, last line) pieces; blank ones are dropped and keep their number."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k, text in zip(pdf[key], pdf["text"], strict=True):
-                for n, (part, s, e) in enumerate(split_lines(text, config), 1):
-                    if part.strip():
-                        out.append((k, n, s, e, part.strip()))
+            out = [(k, n, s, e, part.strip()) for k, text in zip(pdf[key], pdf["text"], strict=True) for n, (part, s, e) in enumerate(split(text), 1) if part.strip()]
             yield pd.DataFrame(out, columns=[key, "ordinal", "start_line", "end_line", "chunk"])
 
     return documents.where("text is not null").select(key, "text").mapInPandas(run, f"{key} {kind}, ordinal int, start_line int, end_line int, chunk string")
 
 
-def with_header(chunks: DataFrame, line_numbers: bool = True) -> DataFrame:
-    """Adds text_for_embedding: path, language and lines, a blank line, the chunk."""
-    parts = [F.concat(F.lit("Path: "), "path"), F.concat(F.lit("Language: "), "language")]
-    if line_numbers:
-        parts.append(F.concat(F.lit("Lines: "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
-    return chunks.withColumn("text_for_embedding", F.concat(F.concat_ws("\n", *parts), F.lit("\n\n"), F.col("chunk")))
+def pack_lines(documents: DataFrame, key: str, config: ChunkConfig) -> DataFrame:
+    """As `pack_lines_sql`, by Arrow batches; nothing is shuffled."""
+    return _by_arrow(documents, key, lambda text: split_lines(text, config))
+
+
+def headed(chunk: str, path: str, language: str, lines: tuple[int, int] | None) -> str:
+    """The text for embedding: path, language and, if given, lines, a blank line, the chunk."""
+    head = [f"Path: {path}", f"Language: {language}"] + ([f"Lines: {lines[0]}-{lines[1]}"] if lines else [])
+    return "\n".join(head) + "\n\n" + chunk
+
 
+FILE = "source_name string, path string, rel_path string, language string"
+PIECE = "ordinal int, start_line int, end_line int, chunk string, text_for_embedding string"
 
-def chunk_files(files: DataFrame, configs: dict[str, ChunkConfig] | None = None, max_chunks_per_file: int | None = None) -> DataFrame:
+
+def chunk_files(files: DataFrame, configs: dict | None = None, max_chunks_per_file: int | None = None, faults: bool = False) -> DataFrame:
     """The router: markdown by headings, php by its symbols, other code and text by lines.
 
-    files: source_name, path, rel_path, language, text. Out: those but text, and chunk_id, ordinal, start_line,
-    end_line, chunk, text_for_embedding, content_hash.
+    files: source_name, path, rel_path, language, text. Out: those but text, then ordinal, start_line, end_line,
+    chunk, text_for_embedding, the columns of `code.PAYLOAD` (NULL but for php), chunk_id and content_hash. One
+    pass over the files without a shuffle. `configs` by "markdown", "code" and "text" are ChunkConfigs, by "php"
+    one or a CodeConfig. A file that can't be chunked stops no other: with `faults` it gives a row with `fault`
+    and without a chunk, else none. NULL and blank texts give no rows.
     """
-    from loomdex.operators.code import chunk_php_files
+    from loomdex.operators import code
 
     configs = CONFIGS | (configs or {})
-    base = ["source_name", "path", "rel_path", "language"]
-    keyed = files.withColumn("file", F.to_json(F.struct("source_name", "path")))
-    names = keyed.select("file", *base)
-
-    def routed(part: DataFrame, chunks: DataFrame, numbers: bool = True) -> DataFrame:
-        return with_header(chunks.join(part.select("file", *base), "file"), numbers)
-
-    markdown = keyed.where("language = 'markdown'")
-    code = keyed.where(F.col("language").isin(*CODE_LANGUAGES))
-    text = keyed.where(~F.coalesce(F.col("language").isin("markdown", "php", *CODE_LANGUAGES), F.lit(False)))
-    columns = ["file", *base, "ordinal", "start_line", "end_line", "chunk", "text_for_embedding"]
-    out = routed(markdown, chunk_headings(markdown, "file", configs["markdown"]), numbers=False).select(*columns)
-    out = out.unionByName(routed(code, pack_lines(code, "file", configs["code"])).select(*columns))
-    out = out.unionByName(routed(text, pack_lines(text, "file", configs["text"])).select(*columns))
-    php = chunk_php_files(keyed.where("language = 'php'"), "file", configs["php"])
-    out = out.unionByName(php.join(names, "file").select(*columns))
-    if max_chunks_per_file is not None:
-        nth = F.row_number().over(W.partitionBy("file").orderBy("ordinal"))
-        out = out.withColumn("nth", nth).where(F.col("nth") <= max_chunks_per_file).drop("nth")
-    return out.withColumn("chunk_id", chunk_id(F.col("source_name"), F.col("path"), F.col("ordinal"))).withColumn("content_hash", F.sha2("text_for_embedding", 256)).drop("file")
+    php = configs["php"] if isinstance(configs["php"], code.CodeConfig) else code.CodeConfig(chunk=configs["php"])
+    names = [c.split()[0] for c in f"{FILE}, {PIECE}".split(", ")] + code.names_of(code.PAYLOAD) + ["fault"]
+
+    def pieces(path: str, rel_path: str, language: str, text: str) -> Iterator[dict]:
+        if language == "php":
+            yield from code.chunk_php(text, path, rel_path or path, php)
+            return
+        markdown = language == "markdown"
+        split = split_headings if markdown else split_lines
+        for n, (part, s, e) in enumerate(split(text, configs["markdown" if markdown else "code" if language in CODE_LANGUAGES else "text"]), 1):
+            if part.strip():
+                yield {"ordinal": n, "start_line": s, "end_line": e, "chunk": part.strip(), "text_for_embedding": headed(part.strip(), path, language or "text", None if markdown else (s, e))}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for source, path, rel, language, text in zip(*(pdf[c] for c in ("source_name", "path", "rel_path", "language", "text")), strict=True):
+                file = {"source_name": source, "path": path, "rel_path": rel, "language": language}
+                try:
+                    out += [file | piece for piece in list(pieces(path, rel, language, text))[:max_chunks_per_file]]
+                except Exception as e:
+                    out.append(file | {"fault": f"{type(e).__name__}: {e}"})
+            yield code.frame(out, names)
+
+    rows = files.where("text is not null").select("source_name", "path", "rel_path", "language", "text").mapInPandas(run, f"{FILE}, {PIECE}, {code.PAYLOAD}, fault string")
+    out = rows.withColumn("chunk_id", F.when(F.col("fault").isNull(), chunk_id(F.col("source_name"), F.col("path"), F.col("ordinal")))).withColumn("content_hash", F.sha2("text_for_embedding", 256))
+    return out if faults else out.where("fault is null").drop("fault")

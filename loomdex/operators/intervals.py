@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,3 +42,14 @@ def nearest_before(points: DataFrame, marks: DataFrame, keys: list[str], value:
 def contained(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """points joined to each range of their key that holds their line (hash join on the key, the range as residual)."""
     return points.join(ranges, keys).where(F.col("line").between(F.col("start"), F.col("end")))
+
+
+def uncovered(ranges: list[tuple[int, int]], total: int) -> list[tuple[int, int]]:
+    """As `gaps`, of one key without Spark: the runs of 1..total that no (start, end) covers."""
+    depth = np.zeros(total + 3, dtype=np.int64)
+    for start, end in ranges:
+        depth[min(max(start, 1), total + 1)] += 1
+        depth[min(max(end, start - 1), total) + 1] -= 1
+    free = np.concatenate([[False], np.cumsum(depth)[1 : total + 1] == 0, [False]])
+    edges = np.flatnonzero(free[1:] != free[:-1]) + 1
+    return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions.text import truncated
 from loomdex.operators import dense, fusion, lexical
-from loomdex.operators.filters import SearchFilters
+from loomdex.operators.filters import Scope
 
 MODES = ("dense", "lexical", "sparse", "hybrid", "hybrid-fused")
 
@@ -45,7 +45,7 @@ class Ranking:
     rrf_k: int = fusion.K
 
 
-def search(index: Index, queries: DataFrame, mode: str = "hybrid-fused", limit: int = 10, filters: SearchFilters | None = None, score_threshold: float | None = None, ranking: Ranking | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, mode: str = "hybrid-fused", limit: int = 10, filters: Scope | None = None, score_threshold: float | None = None, ranking: Ranking | None = None) -> DataFrame:
     """query_id, rank, score, id, per-leg ranks and scores, and the chunk's columns; queries: query_id, query.
 
     Filters come before candidates are chosen. The threshold is one of the dense leg and changes no other
@@ -53,9 +53,9 @@ def search(index: Index, queries: DataFrame, mode: str = "hybrid-fused", limit:
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
-    filters = filters or SearchFilters()
+    filters = filters or Scope()
     ranking = ranking or Ranking()
-    kept = None if filters.is_empty() else filters.apply(index.chunks, "like" if mode in ("lexical", "hybrid") else "words").select(F.col("chunk_id").alias("id"))
+    kept = filters.apply(index.chunks, "like" if mode in ("lexical", "hybrid") else "words").select(F.col("chunk_id").alias("id")) if filters else None
 
     def vectors(n: int, threshold: float | None) -> DataFrame:
         points = index.vectors if kept is None else index.vectors.join(kept, "id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomdex.functions import text as T
 from loomdex.operators import dense, fusion, lexical, manifest
 from loomdex.operators.chunking import ChunkConfig, chunk_windows
-from loomdex.operators.filters import SearchFilters
+from loomdex.operators.filters import Scope
 from loomdex.operators.search import Index, respond, search
 from loomdex.plans.tables import table
 
@@ -64,7 +64,7 @@ def _chunks(spark, folder):
 def bm25_path_like(spark, folder):
     chunks = _chunks(spark, folder)
     index = lexical.build_index(chunks, "chunk_id", ["text", "text_for_embedding"])
-    kept = SearchFilters(path="LIB/_a%", lang=" PHP ").apply(chunks, "like").select(F.col("chunk_id").alias("id"))
+    kept = Scope(path="LIB/_a%", lang=" PHP ").apply(chunks, "like").select(F.col("chunk_id").alias("id"))
     return _ranked(lexical.bm25(index, _code_questions(spark), 10, kept))
 
 
@@ -84,7 +84,7 @@ def sparse_search(spark, folder):
 
 def path_words_filter(spark, folder):
     rows = _chunks(spark, folder)
-    return SearchFilters(path="lib modules").apply(rows, "words").select("chunk_id", "rel_path")
+    return Scope(path="lib modules").apply(rows, "words").select("chunk_id", "rel_path")
 
 
 def _nearest(spark, folder, metric, threshold=None, label=None, limit=10):
@@ -172,7 +172,7 @@ def _index(spark, folder):
 
 
 def hybrid_search(spark, folder):
-    found = search(_index(spark, folder), _code_questions(spark), "hybrid", 10, SearchFilters(lang="php"))
+    found = search(_index(spark, folder), _code_questions(spark), "hybrid", 10, Scope(lang="php"))
     return found.select("query_id", "id", "rank", "score", "dense_rank", "lexical_rank", "rel_path")
 
 

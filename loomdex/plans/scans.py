@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as T
-from loomdex.operators import chunking, code
+from loomdex.operators import chunking, code, manifest
 from loomdex.plans.tables import table
-from loomdex.sources.files import from_table, included, within_size
+from loomdex.sources.files import first_files, from_table, included, within_size
 
 CONFIG = chunking.ChunkConfig(1200, 150)
 EXCLUDE = ["vendor/", "node_modules/", "*.min.js", "/templates/*/components/**", "!/templates/*/components/**/*.php", "package-lock.json"]
@@ -33,11 +33,11 @@ def scan_include(spark, folder):
 
 
 def scan_top_files(spark, folder):
-    return files(spark, folder).select("path", "size_bytes").orderBy("path").limit(20)
+    return first_files(files(spark, folder), 20).select("source_name", "path", "size_bytes")
 
 
 def file_hash_sha256(spark, folder):
-    return files(spark, folder).select("source_name", "path", F.sha2("text", 256).alias("file_hash"))
+    return files(spark, folder).select("source_name", "path", manifest.file_hash().alias("file_hash"))
 
 
 def chunk_id_uuid5(spark, folder):
@@ -88,8 +88,7 @@ def chunk_lines_sql(spark, folder):
 
 
 def chunk_headings(spark, folder):
-    out = chunking.chunk_headings(table(spark, folder, "documents"), "doc_id", chunking.CONFIGS["markdown"])
-    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")]).distinct()
+    return chunking.chunk_headings(table(spark, folder, "documents"), "doc_id", chunking.CONFIGS["markdown"])
 
 
 def chunk_router(spark, folder):
@@ -128,12 +127,25 @@ def code_chunks(spark, folder):
     return code.chunk_php_files(rows, "file")
 
 
+def _known(spark, folder):
+    """The PHP files that the given table of symbols tells of."""
+    known = table(spark, folder, "php_ast_symbol").select("source_name", "path").distinct()
+    return files(spark, folder).join(known, ["source_name", "path"], "left_semi").where(F.lower("path").endswith(".php"))
+
+
 def code_fqn(spark, folder):
-    rows = files(spark, folder).where(F.lower("path").endswith(".php")).select("source_name", "path", code.namespace_of(F.col("text")).alias("namespace"))
-    s = table(spark, folder, "php_ast_symbol").where("kind in ('method', 'function')").select("source_name", "path", "kind", "name", "parent_name").distinct()
-    local = F.when((F.col("kind") == "method") & F.col("parent_name").isNotNull(), F.concat_ws("::", "parent_name", "name")).otherwise(F.col("name"))
-    out = s.join(rows, ["source_name", "path"])
-    return out.select("source_name", "path", F.when(F.col("namespace").isNotNull(), F.concat(F.col("namespace"), F.lit("\\"), local)).otherwise(local).alias("fqn")).distinct()
+    """Names of the callables by which files are cut; as `code_symbols`, of the files that the given table holds."""
+    rows = _known(spark, folder).withColumn("file", F.concat_ws("|", "source_name", "path"))
+    cut = code.chunk_php_files(rows, "file").where("symbol_kind is not null")
+    return cut.select(F.split_part("file", F.lit("|"), F.lit(1)).alias("source_name"), F.split_part("file", F.lit("|"), F.lit(2)).alias("path"), F.col("symbol_fqn").alias("fqn")).distinct()
+
+
+def code_chunk_spans(spark, folder):
+    """The lines and the code of every callable that is one chunk, of the files that the given tables hold."""
+    rows = _known(spark, folder).withColumn("file", F.concat_ws("|", "source_name", "path"))
+    cut = code.chunk_php_files(rows, "file", code.ChunkConfig(1_000_000, 300)).where("symbol_kind is not null")
+    ends = [F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")]
+    return cut.select("file", F.col("symbol_name").alias("name"), *ends, F.md5(F.regexp_replace("chunk", r"[ \t\r]+(?=\n|$)", "")).alias("code")).distinct()
 
 
 def doc_tags(spark, folder):
@@ -142,12 +154,8 @@ def doc_tags(spark, folder):
 
 
 def component_context(spark, folder):
-    p = F.split("rel_path", "/")
-    part = lambda i: F.get(p, F.lit(i))
-    own = F.when((part(0) == "components") & (F.size(p) >= 3), F.concat_ws(":", part(1), part(2)))
-    site = (part(0) == "templates") & (part(2) == "components") & (F.size(p) >= 6)
-    name = F.coalesce(own, F.when(site, F.concat_ws(":", part(3), part(4))))
-    return files(spark, folder).select("source_name", "rel_path", name.alias("component"), F.when(site, part(1)).alias("site_template")).where("component is not null")
+    rows = files(spark, folder).select("source_name", "rel_path", code.component(F.col("rel_path")).alias("c"))
+    return rows.where("c.name is not null").select("source_name", "rel_path", F.col("c.name").alias("component"), "c.site_template")
 
 
 _UUID_NS = T.NAMESPACE.hex
@@ -159,9 +167,27 @@ _WINDOWS = f"""
 
 QUERIES = {f.__name__: f for f in (
     scan_filter_size, scan_exclude, scan_include, scan_top_files, file_hash_sha256, chunk_id_uuid5, detect_language, search_language, truncate_text, rel_path, chunk_windows, chunk_windows_stats,
-    chunk_huge_line, chunk_lines, chunk_lines_sql, chunk_headings, chunk_router, word_tokens, query_tokens_dedupe16, code_symbols, code_symbols_whole, code_chunks, code_fqn, doc_tags, component_context,
+    chunk_huge_line, chunk_lines, chunk_lines_sql, chunk_headings, chunk_router, word_tokens, query_tokens_dedupe16, code_symbols, code_symbols_whole, code_chunks, code_chunk_spans, code_fqn, doc_tags, component_context,
 )}
 
+# line packing as a recursion over lines: b is the first line held, c the characters held, o the pieces so far, out what a line's arrival closes
+_PACKED = rf"""with recursive l as (select doc_id, a, list_transform(a, lambda x: length(x)) as z from (select doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as a from documents where text is not null)),
+    d as (select *, list_transform(range(len(z) + 1), lambda i: coalesce(list_sum(z[1:i]), 0)) as ends from l where len(a) > 0),
+    r as (select doc_id, 0 as i, 0 as b, 0::bigint as c, 0::bigint as o, []::struct(s bigint, e bigint, n bigint)[] as shut from d
+        union all
+        select r.doc_id, r.i + 1, case when i + 1 > len(z) or huge then 0 when over then kept + 1 when b = 0 then i + 1 else b end,
+            case when i + 1 > len(z) or huge then 0 when over then ends[i + 1] - ends[kept + 1] + z[i + 1] else c + z[i + 1] end,
+            o + (case when flushed then 1 else 0 end) + (case when huge then cast(ceil(z[i + 1] / {_C}.0) as bigint) else 0 end),
+            case when flushed then [{{'s': b, 'e': i, 'n': o + 1}}] else [] end
+        from (select *, coalesce(z[i + 1] > {_C}, false) as huge, b > 0 and (i + 1 > len(z) or z[i + 1] > {_C} or c + z[i + 1] > {_C}) as flushed, b > 0 and c + z[i + 1] > {_C} as over,
+                greatest(b - 1, least(i - 1, len(list_filter(ends, lambda x: x < ends[i + 1] - {_O})))) as kept
+            from r join d using (doc_id) where i <= len(z)) r),
+    p as (select doc_id, u.n, u.s, u.e, array_to_string(a[u.s:u.e], '') as t from (select doc_id, unnest(shut) as u from r) join d using (doc_id)
+        union all
+        select doc_id, before + flush + k + 1, line, line, substr(a[line], k * {_C} + 1, {_C}) from (select doc_id, a, line, before, flush, unnest(range(cast(ceil(z[line] / {_C}.0) as bigint))) as k
+            from (select r.doc_id, r.i + 1 as line, r.o as before, case when r.b > 0 then 1 else 0 end as flush, a, z from r join d using (doc_id) where coalesce(z[r.i + 1], 0) > {_C})))
+    select doc_id, n::int as ordinal, s::int as start_line, e::int as end_line, trim(t, e' \t\r\n') as chunk from p where trim(t, e' \t\r\n') != ''"""
+
 SQL = {
     "scan_filter_size": "select source_name, path, strlen(text)::bigint as size_bytes from raw_files where strlen(text) <= 4000",
     "scan_exclude": r"""select source_name, rel_path from raw_files where not (
@@ -170,7 +196,7 @@ SQL = {
              when regexp_matches(rel_path, '^templates/[^/]*/components/') then true
              else regexp_matches(rel_path, '(^|/)(vendor|node_modules)/') or regexp_matches(rel_path, '(^|/)[^/]*\.min\.js(/|$)') end)""",
     "scan_include": r"select source_name, rel_path from raw_files where regexp_matches(rel_path, '^(.*/)?[^/]*\.php$') or regexp_matches(rel_path, '^js/(.*/)?[^/]*\.js$')",
-    "scan_top_files": "select path, size_bytes from raw_files order by path limit 20",
+    "scan_top_files": "select source_name, path, size_bytes from raw_files order by path, source_name limit 20",
     "file_hash_sha256": "select source_name, path, sha256(text) as file_hash from raw_files",
     "chunk_id_uuid5": f"""select source_name, path, ordinal::bigint as ordinal, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
             substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id
@@ -187,8 +213,22 @@ SQL = {
         select source_name, path, line, part, substr(t, part * 600 + 1, 600) as piece from (select *, unnest(range(cast(ceil(length(t) / 600.0) as bigint))) as part from l where length(t) > 600)""",
     "chunk_headings": r"""with l as (select doc_id, unnest(range(len(a))) as n, unnest(a) as t from (select doc_id, case when a[-1] = '' then a[:-2] else a end as a from
                 (select doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') as a from documents where text is not null))),
-        b as (select *, sum(case when regexp_matches(t, '^##? ') then 1 else 0 end) over (partition by doc_id order by n) as block from l)
-        select distinct doc_id, min(n) + 1 as start_line, max(n) + 1 as end_line from b group by doc_id, block having string_agg(trim(t, e' \t\r\n'), '') != ''""",
+        b as (select *, sum(case when regexp_matches(t, '^##? ') then 1 else 0 end) over (partition by doc_id order by n) as block from l),
+        w as (select doc_id, min(n) + 1 as s, max(n) + 1 as e, trim(string_agg(t, e'\n' order by n), e' \t\r\n') as body from b group by doc_id, block),
+        p as (select doc_id, s, e, i, trim(substr(body, i * 1600 + 1, 1800), e' \t\r\n') as chunk
+            from (select *, unnest(range(case when length(body) <= 1800 then 1 else cast(ceil((length(body) - 1800) / 1600.0) as bigint) + 1 end)) as i from w where body != ''))
+        select doc_id, row_number() over (partition by doc_id order by s, i)::int as ordinal, s::int as start_line, e::int as end_line, chunk from p where chunk != ''""",
+    "chunk_lines": _PACKED,
+    "chunk_lines_sql": _PACKED,
+    "code_chunk_spans": r"""with f as (select source_name, path, string_split(text, e'\n') as a from raw_files where lower(path) like '%.php'),
+        s as (select distinct source_name, path, name, start_line as s, end_line as e from php_ast_symbol where kind in ('method', 'function')),
+        d as (select distinct source_name, path, start_line as ds, end_line as de from php_doc_info),
+        n as (select s.*, a, list_max(list_filter(range(1, s.s), lambda i: trim(a[i], e' \t\r') != '')) as above from s join f using (source_name, path)),
+        k as (select n.source_name, n.path, n.name, n.s, n.e, n.a, max(d.ds) as ds from n left join d on d.source_name = n.source_name and d.path = n.path and d.de = n.above
+            and regexp_matches(n.a[n.above], '\*/\s*$') group by all),
+        j as (select *, coalesce(ds, s) as first from k)
+        select distinct source_name || '|' || path as file, name, first::bigint as start_line, e::bigint as end_line,
+            md5(regexp_replace(trim(array_to_string(a[first:e], e'\n'), e' \t\r\n'), '[ \t\r]+(\n|$)', '\1', 'g')) as code from j""",
     "word_tokens": r"select doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as words from documents",
     "query_tokens_dedupe16": r"""with w as (select case_id, unnest(range(len(a))) as i, unnest(a) as w from (select case_id, regexp_extract_all(lower(query), '[\p{L}\p{N}_]+') as a from eval_cases)),
         f as (select case_id, w, min(i) as i from w where length(w) >= 2 group by case_id, w), r as (select *, row_number() over (partition by case_id order by i) as n from f)
@@ -196,7 +236,7 @@ SQL = {
     "code_symbols": """select distinct source_name, path, kind, name, start_line::bigint as start_line, start_byte::bigint as start_byte,
         parent_kind, parent_name, visibility, is_static, is_abstract, is_final, has_body from php_ast_symbol""",
     "code_fqn": r"""with f as (select source_name, path, nullif(regexp_extract(text, '(?m)^\s*namespace\s+([\w\\]+)\s*[;{]', 1), '') as ns from raw_files where lower(path) like '%.php'),
-        s as (select distinct source_name, path, case when kind = 'method' and parent_name is not null then parent_name || '::' || name else name end as local from php_ast_symbol where kind in ('method', 'function'))
+        s as (select distinct source_name, path, kind, case when kind = 'method' and parent_name is not null then parent_name || '::' || name when kind = 'function' then name end as local from php_ast_symbol where kind in ('method', 'function'))
         select distinct source_name, path, case when ns is not null then ns || '\' || local else local end as fqn from s join f using (source_name, path)""",
     "doc_tags": r"""with b as (select source_name, path, regexp_extract_all(text, '(?s)/\*\*.*?\*/') as a from raw_files where lower(path) like '%.php')
         select source_name, path, coalesce(array_to_string(list_sort(list_distinct(list_transform(flatten(list_transform(a, lambda x: regexp_extract_all(x, '(?m)^\s*(?:/\*\*|\*)?\s*@([\w-]+)', 1))), lambda y: lower(y)))), ','), '') as tags from b""",

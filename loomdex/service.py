@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from loomdex.config import Settings
-from loomdex.operators.filters import SearchFilters
+from loomdex.operators.filters import Scope
 from loomdex.operators.search import Index, clamp_limit, one_query, respond, search
 from loomdex.operators.stats import collection_statistics
 
@@ -44,11 +44,11 @@ class SearchService:
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
         n = clamp_limit(limit, s.default_limit, s.max_limit)
-        filters = SearchFilters(source or s.source, lang, path).normalised()
+        filters = Scope(source=source or s.source, lang=lang, path=path)
         found = search(self.index, one_query(self.index.chunks.sparkSession, query), mode, n, filters)
         rows = respond(found, include_text, max_text_chars or s.max_text_chars).collect()
         results = [r.asDict() for r in rows[0]["results"]] if rows else []
-        return {"query": query, "mode": mode, "limit": n, "filters": {"source": filters.source, "lang": filters.lang, "path": filters.path}, "count": len(results), "results": results}
+        return {"query": query, "mode": mode, "limit": n, "filters": {name: filters.get(name) for name in ("source", "lang", "path")}, "count": len(results), "results": results}
 
     def stats(self) -> dict:
         rows = collection_statistics(self.index.chunks).collect()

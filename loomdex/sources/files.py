@@ -33,8 +33,12 @@ def scan_folder(spark: SparkSession, name: str, root: str, include: list[str] |
     columns = [F.lit(name).alias("source_name"), "path", "rel_path", language_of(F.col("path")).alias("language"), F.col("length").alias("size_bytes")]
     if with_text:
         columns.append(F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    out = out.select(*columns).dropDuplicates(["source_name", "path"])
-    return out if max_files is None else out.orderBy("path").limit(max_files)
+    return first_files(out.select(*columns).dropDuplicates(["source_name", "path"]), max_files)
+
+
+def first_files(files: DataFrame, most: int | None) -> DataFrame:
+    """The first files by path, all of them where `most` is None."""
+    return files if most is None else files.orderBy("path", "source_name").limit(most)
 
 
 def from_table(rows: DataFrame, source: str, path: str, text: str, root: str = "") -> DataFrame:

@@ -66,3 +66,46 @@ def test_router(spark):
     assert set(out) == {"/r/a.md", "/r/a.php", "/r/a.js", "/r/a.txt"}
     assert "Lines:" not in out["/r/a.md"]["text_for_embedding"] and "Lines: 1-1" in out["/r/a.js"]["text_for_embedding"]
     assert "Symbol: function f" in out["/r/a.php"]["text_for_embedding"]
+
+
+def test_without_overlap_no_line_repeats(spark):
+    assert C.split_lines("aaaa\nbbbb\ncccc\n", ChunkConfig(10, 0)) == [("aaaa\nbbbb\n", 1, 2), ("cccc\n", 3, 3)]
+    texts = [t for t in random_texts(30, seed=9) if t.strip()]
+    for t in texts:
+        assert "".join(p for p, _, _ in C.split_lines(t, ChunkConfig(25, 0))) == t
+
+
+def packed_by_hand(text, most, overlap):
+    """Line by line."""
+    pieces, held = [], []
+    for n, row in enumerate([r for r in text.split("\n")], 1):
+        row += "\n" if n <= text.count("\n") else ""
+        if not row:
+            continue
+        if len(row) > most:
+            pieces += ([("".join(r for _, r in held), held[0][0], held[-1][0])] if held else []) + [(row[i : i + most], n, n) for i in range(0, len(row), most)]
+            held = []
+            continue
+        if held and sum(len(r) for _, r in held) + len(row) > most:
+            pieces.append(("".join(r for _, r in held), held[0][0], held[-1][0]))
+            while held and (overlap == 0 or (len(held) > 1 and sum(len(r) for _, r in held) > overlap)):
+                held.pop(0)
+        held.append((n, row))
+    return pieces + ([("".join(r for _, r in held), held[0][0], held[-1][0])] if held else [])
+
+
+@pytest.mark.parametrize("config", [ChunkConfig(40, 10), ChunkConfig(20, 0), ChunkConfig(25, 24), ChunkConfig(60, 5)])
+def test_packing_equals_a_line_by_line_version(config):
+    for text in [*random_texts(200, seed=4), "", "\n", "x" * 95, "a\n" + "y" * 50 + "\nb", "\n\n\n" * 30]:
+        assert C.split_lines(text, config) == packed_by_hand(text, config.max_chars, config.overlap_chars)
+
+
+def test_a_file_that_cannot_be_chunked_stops_no_other(spark, monkeypatch):
+    rows = [("s", "/a.php", "a.php", "php", "<?php\nfunction f() { }\n"), ("s", "/b.txt", "b.txt", "text", "fine\n")]
+    table = spark.createDataFrame(rows, "source_name string, path string, rel_path string, language string, text string")
+    from loomdex.operators.code import CodeConfig
+
+    broken = {"php": CodeConfig(chunk=ChunkConfig(0, 0), fallback="none")}
+    out = {r["path"]: r for r in C.chunk_files(table, broken, faults=True).collect()}
+    assert out["/a.php"]["chunk"] is None and out["/a.php"]["fault"].startswith("ValueError") and out["/b.txt"]["fault"] is None
+    assert [r["path"] for r in C.chunk_files(table, broken).collect()] == ["/b.txt"]

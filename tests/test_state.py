@@ -10,7 +10,7 @@ from loomdex.operators.dense import hashing_embedder
 from loomdex.operators.incremental import files_to_process, pending, run_incremental
 from loomdex.operators.indexing import IndexStore, index_source, open_index, prune
 from loomdex.operators.search import MODES, one_query, respond, search
-from loomdex.operators.filters import SearchFilters
+from loomdex.operators.filters import Scope
 from loomdex.sources.files import scan_folder
 from loomdex.sources.versions import VersionedTable
 from loomdex.streaming.events import stream_index
@@ -114,7 +114,7 @@ def test_index_search_prune(spark, tmp_path):
         assert found.where("rank = 1").head()["rel_path"] == "a.php", mode
     with pytest.raises(ValueError):
         search(index, one_query(spark, "x"), "other")
-    only = search(index, one_query(spark, "result_modifier"), "hybrid", 5, SearchFilters(lang=" MD "))
+    only = search(index, one_query(spark, "result_modifier"), "hybrid", 5, Scope(lang=" MD "))
     assert [r["rel_path"] for r in only.collect()] == ["sub/b.md"]
     answer = respond(only, max_text_chars=5).head()
     assert answer["count"] == 1 and answer["results"][0]["text"].endswith("<truncated>")
