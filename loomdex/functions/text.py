@@ -20,13 +20,17 @@ def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+# White space of any script.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)\s+$", "")
+    return F.rtrim(x, F.lit(BLANKS))
 
 
 def lines(x: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from loomdex.sources.shared import shared_table
 
-QUERY_BYTES = 256 << 20  # queries of one pass, which go to every task
+QUERY_BYTES = 64 << 20  # queries of one pass, which go to every task
+CELLS = 8 << 20  # scores that a task holds at once
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -72,14 +73,17 @@ def cache_statistics(texts: DataFrame, cache: DataFrame, model: str, prefix: str
     return agg.select((F.col("total") - F.col("misses")).alias("hits"), "misses")
 
 
-def nearest(points: DataFrame, queries: DataFrame, limit: int = 10, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
+def nearest(points: DataFrame, queries: DataFrame, limit: int | None = 10, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
     """query_id, id, score, rank: exact nearest points of every query; points have `id`, `vector`, queries `query_id`, `vector`.
 
-    cosine and dot: greater is better; l2: less. `threshold` keeps scores at least (l2: at most) so good. The
-    queries, a stated set, go to all tasks and meet the points block by block in matrix products; a task keeps
-    `limit` rows of each query, so the points are never shuffled. Queries above QUERY_BYTES are searched in
-    several passes, each written before the next. NULL and empty vectors take no part.
+    cosine and dot: greater is better; l2: less. `threshold` keeps scores at least (l2: at most) so good. Without
+    `limit` all of these come out, and without rank. The queries, a stated set, go to all tasks and meet the
+    points block by block in matrix products; a task keeps `limit` rows of each query, so the points are never
+    shuffled. Queries above QUERY_BYTES are searched in several passes, each written before the next. NULL and
+    empty vectors take no part. Equal scores (to nine decimals) rank by id.
     """
+    if limit is None and threshold is None:
+        raise ValueError("neither a limit nor a threshold")
     usable = queries.where("query_id is not null and vector is not null and size(vector) > 0").select("query_id", "vector")
     numbers = usable.agg(F.sum(F.size("vector"))).head()[0] or 0
     passes = max(1, -(-8 * numbers // QUERY_BYTES))
@@ -93,40 +97,69 @@ def nearest(points: DataFrame, queries: DataFrame, limit: int = 10, metric: str
     return out
 
 
-def _nearest(points: DataFrame, queries: DataFrame, limit: int, metric: str, threshold: float | None) -> DataFrame:
+def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """A row for each query, a column for each point, to nine decimals, greater is better; -inf where there is no direction."""
+    if metric == "l2":
+        return -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0.0)).round(9)
+    s = q @ x.T
+    if metric == "cosine":
+        lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        s = np.divide(s, lengths, out=np.full_like(s, -np.inf), where=lengths > 0)
+    return s.round(9)
+
+
+def _best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (query number, id, score) the `limit` best of each query."""
+    order = np.lexsort((ids, -s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    first = np.searchsorted(q, q, side="left")
+    keep = np.arange(len(q)) - first < limit
+    return q[keep], ids[keep], s[keep]
+
+
+def _nearest(points: DataFrame, queries: DataFrame, limit: int | None, metric: str, threshold: float | None) -> DataFrame:
     spark = points.sparkSession
-    rows = queries.collect()
-    q, ids = (np.array([r["vector"] for r in rows], dtype=np.float64), [r["query_id"] for r in rows]) if rows else (np.zeros((0, 1)), [])
-    shipped = spark.sparkContext.broadcast((q, ids))
+    rows = queries.toPandas()
+    asked = np.stack(rows["vector"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
+    shipped = spark.sparkContext.broadcast((asked, rows["query_id"].to_numpy()))
     sign = -1.0 if metric == "l2" else 1.0
+    least = -np.inf if threshold is None else sign * threshold
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, ids = shipped.value
-        best: pd.DataFrame | None = None
+        q, names = shipped.value
+        frame = lambda at, ids, s: pd.DataFrame({"query_id": names[at], "id": ids, "score": sign * s})
+        held = None
         for pdf in batches:
-            if pdf.empty or not len(ids):
-                continue
-            x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            if metric == "l2":
-                s = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0.0))
-            else:
-                s = q @ x.T
-                if metric == "cosine":
-                    lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                    s = np.divide(s, lengths, out=np.full_like(s, -np.inf), where=lengths > 0)
-            qi, xi = np.nonzero(sign * s >= (sign * threshold if threshold is not None else -np.inf))
-            part = pd.DataFrame({"q": qi, "id": pdf["id"].to_numpy()[xi], "score": s[qi, xi]})
-            part = part[np.isfinite(part["score"])]
-            best = part if best is None else pd.concat([best, part])
-            best = best.assign(o=-sign * best["score"].round(9)).sort_values(["q", "o", "id"], kind="stable").groupby("q").head(limit).drop(columns="o")
-        if best is not None and len(best):
-            yield pd.DataFrame({"query_id": [ids[i] for i in best["q"]], "id": best["id"], "score": best["score"]})
+            block = max(1, CELLS // max(1, len(q)))
+            for start in range(0, len(pdf) if len(q) else 0, block):
+                part = pdf.iloc[start : start + block]
+                s = scores(q, np.stack(part["vector"].to_numpy()).astype(np.float64), metric)
+                enough = np.isfinite(s) & (s >= least)
+                if limit is not None and s.shape[1] > limit:  # all that tie with the last stay until ids decide
+                    enough &= s >= np.partition(s, s.shape[1] - limit, axis=1)[:, [s.shape[1] - limit]]
+                if held is not None:
+                    enough &= s >= worst[:, None]
+                at, to = np.nonzero(enough)
+                ids, found = part["id"].to_numpy()[to], s[at, to]
+                if limit is None:
+                    yield frame(at, ids, found)
+                    continue
+                if held is not None:
+                    at, ids, found = (np.concatenate(two) for two in zip(held, (at, ids, found), strict=True))
+                held = _best(at, ids, found, limit)
+                worst = np.full(len(q), -np.inf)  # of a full list: what comes later must reach it
+                full = np.bincount(held[0], minlength=len(q)) == limit
+                last = np.searchsorted(held[0], np.flatnonzero(full), side="right") - 1
+                worst[full] = held[2][last]
+        if held is not None:
+            yield frame(*held)
 
     kind = queries.schema["query_id"].dataType.simpleString()
     usable = points.where("id is not null and vector is not null and size(vector) > 0").select("id", "vector")
     found = usable.mapInPandas(run, f"query_id {kind}, id {points.schema['id'].dataType.simpleString()}, score double")
-    score = F.round("score", 9)
-    order = W.partitionBy("query_id").orderBy(F.asc(score) if metric == "l2" else F.desc(score), "id")
+    if limit is None:
+        return found
+    order = W.partitionBy("query_id").orderBy(F.asc("score") if metric == "l2" else F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 

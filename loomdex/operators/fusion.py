@@ -30,7 +30,8 @@ def fuse(legs: dict[str, DataFrame], keys: list[str] | None = None, k: int = K,
         columns += [F.max(of)["rank"].alias(f"{name}_rank"), F.max(of)["score"].alias(f"{name}_score")]
     fused = everything.groupBy(*keys, "id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), *columns)
     order = [F.desc(F.round("score", 12)), *[F.asc_nulls_last(f"{name}_rank") for name in legs], F.asc("id")]
-    ranked = fused.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order) if keys else W.orderBy(*order)))
-    if limit is not None:
-        ranked = ranked.where(F.col("rank") <= limit)
-    return ranked
+    if not keys:  # one query: its lists are as long as their legs' limits
+        best = fused if limit is None else fused.orderBy(*order).limit(limit)
+        return best.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    ranked = fused.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)

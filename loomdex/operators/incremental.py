@@ -40,6 +40,8 @@ def run_incremental(
 ) -> int:
     """Make the rows of new and changed records, drop rows of those changed or gone, publish; the version in force after.
 
+    Only the rows made and the keys dropped are written; `target.compact()` joins such deltas.
+
     `source` has one row per key. `make` returns rows that keep `keys` and `version`; a record for which it
     returns none gets a row of NULLs, so that the next run takes it as done. Without changes nothing is
     published.
@@ -49,14 +51,14 @@ def run_incremental(
     marks = [*keys, version]
     todo = source if old is None else pending(source, old, keys, version)
     todo = shared_table(todo, "pending")
-    gone = None if old is None else old.select(*marks).distinct().join(source.select(*marks), marks, "left_anti")
+    gone = None if old is None else shared_table(pending(old.select(*marks).distinct(), source, keys, version).select(*keys), "gone")
     if before and todo.isEmpty() and gone.isEmpty():
         return before
     made = make(todo)
-    rows = todo.select(*marks).join(made, marks, "left")
-    if old is not None:
-        rows = old.join(source.select(*marks), marks, "left_semi").unionByName(rows)
-    return target.publish(rows, expected=before)
+    left, right = todo.select(*marks), made.alias("made")
+    on = [left[c].eqNullSafe(F.col(f"made.{c}")) for c in marks]
+    rows = left.join(right, on, "left").select(*[left[c] for c in marks], *[F.col(f"made.{c}") for c in made.columns if c not in marks])
+    return target.publish(rows, expected=before) if old is None else target.amend(rows, gone, before)
 
 
 def files_to_process(indexed_files: DataFrame, index_runs: DataFrame, file_scan: DataFrame, run_id: int) -> DataFrame:

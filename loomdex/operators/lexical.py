@@ -9,11 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import query_terms
-from loomdex.sources.shared import shared_table
+from loomdex.sources.shared import shared_table, small_side
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6  # of terms in half of the texts or more
 MAX_TERMS = 16
+SMALL_TERMS = 100_000  # asked terms that may be broadcast
+FIELD_GAP = 1 << 24
 
 
 def index_terms(text: Column) -> Column:
@@ -24,31 +26,52 @@ def index_terms(text: Column) -> Column:
 
 @dataclass
 class LexicalIndex:
-    """postings: term, id, tf, positions (of each field shifted apart); lengths: id, length; statistics: one row n, average."""
+    """occurrences: term, id, pos, one row for each (of each field shifted apart); lengths: id, length; statistics: one row n, average.
 
-    postings: DataFrame
+    Postings of the terms that a search asks for are grouped from `occurrences` after a semi-join with these, unless
+    `stored` ones are at hand: term, id, tf, positions.
+    """
+
+    occurrences: DataFrame | None
     lengths: DataFrame
     statistics: DataFrame
+    stored: DataFrame | None = None
 
+    @property
+    def postings(self) -> DataFrame:
+        return grouped(self.occurrences) if self.stored is None else self.stored
 
-def build_index(texts: DataFrame, id_column: str, fields: list[str]) -> LexicalIndex:
-    """Index several text fields of a table as one. NULL texts are empty; the id is the key.
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """The postings of a table of distinct terms."""
+        terms = small_side(terms, SMALL_TERMS)
+        if self.stored is not None:
+            return self.stored.join(terms, "term", "left_semi")
+        return grouped(self.occurrences.join(terms, "term", "left_semi"))
 
-    Each term's occurrences in one text are one row, so a frequent term's rows are texts, not occurrences,
-    and `term` is a key by which the table can be bucketed.
-    """
+
+def grouped(occurrences: DataFrame) -> DataFrame:
+    """Each term's occurrences in one text are one row, so a frequent term's rows are texts, not occurrences."""
+    keys = [c for c in occurrences.columns if c != "pos"]
+    return occurrences.groupBy(*keys).agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def tokenised(texts: DataFrame, keep: list[str], fields: list[Column]) -> DataFrame:
+    """`keep`, length, terms (an array for each field): every text is cut into terms once. NULL texts are empty."""
     arrays = [index_terms(F.coalesce(f, F.lit(""))) for f in fields]
-    gap = 1 << 24  # keeps fields apart, so that no phrase spans two
+    return texts.select(*keep, F.array(*arrays).alias("terms")).withColumn("length", F.aggregate("terms", F.lit(0), lambda n, ts: n + F.size(ts)))
+
 
-    def placed_from(terms: Column, first: int) -> Column:
-        return F.transform(terms, lambda t, i: F.struct(t.alias("term"), (i + first).alias("pos")))
+def placed(tokens: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep`, term, pos: one row for each occurrence; FIELD_GAP keeps fields apart, so that no phrase spans two."""
+    fields = tokens.select(*keep, F.posexplode("terms").alias("field", "ts"))
+    return fields.select(*keep, "field", F.posexplode("ts").alias("at", "term")).select("term", *keep, (F.col("field") * FIELD_GAP + F.col("at")).alias("pos"))
 
-    placed = [placed_from(a, n * gap) for n, a in enumerate(arrays)]
-    rows = texts.select(F.col(id_column).alias("id"), F.explode(F.concat(*placed)).alias("o")).select("id", "o.*")
-    postings = rows.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    lengths = texts.select(F.col(id_column).alias("id"), sum((F.size(a) for a in arrays), F.lit(0)).alias("length"))
-    statistics = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    return LexicalIndex(postings, lengths, statistics)
+
+def build_index(texts: DataFrame, id_column: str, fields: list[str]) -> LexicalIndex:
+    """Index several text fields of a table as one. The texts are cut into terms here and kept in the shared folder; the id is the key."""
+    tokens = shared_table(tokenised(texts.withColumnRenamed(id_column, "id"), ["id"], [F.col(f) for f in fields]), "tokens")
+    lengths = tokens.select("id", "length")
+    return LexicalIndex(placed(tokens, ["id"]), lengths, lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average")))
 
 
 def phrases(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -60,9 +83,10 @@ def phrases(queries: DataFrame, key: str = "query_id", text: str = "query") -> D
 
 def occurrences(index: LexicalIndex, asked: DataFrame, key: str = "query_id") -> DataFrame:
     """key, phrase_id, id, tf: how often each phrase occurs in each text; terms of a phrase stand side by side."""
-    single = asked.where(F.size("terms") == 1).select(key, "phrase_id", F.element_at("terms", 1).alias("term")).join(index.postings.select("term", "id", "tf"), "term")
+    postings = shared_table(index.of_terms(asked.select(F.explode("terms").alias("term")).distinct()), "postings")  # of all phrases, read for those of one term and of more
+    single = asked.where(F.size("terms") == 1).select(key, "phrase_id", F.element_at("terms", 1).alias("term")).join(postings.select("term", "id", "tf"), "term")
     several = asked.where(F.size("terms") > 1).select(key, "phrase_id", F.size("terms").alias("k"), F.posexplode("terms").alias("n", "term"))
-    starts = several.join(index.postings.select("term", "id", "positions"), "term").select(key, "phrase_id", "k", "id", "n", F.explode(F.transform("positions", lambda p: p - F.col("n"))).alias("start"))
+    starts = several.join(postings.select("term", "id", "positions"), "term").select(key, "phrase_id", "k", "id", "n", F.explode(F.transform("positions", lambda p: p - F.col("n"))).alias("start"))
     whole = starts.groupBy(key, "phrase_id", "k", "id", "start").agg(F.countDistinct("n").alias("held")).where("held = k")
     return single.select(key, "phrase_id", "id", "tf").unionByName(whole.groupBy(key, "phrase_id", "id").agg(F.count("*").cast("int").alias("tf")))
 
@@ -74,7 +98,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, limit: int | None = 10, allowe
     the whole index, also where `allowed` (a table of ids) filters the result. Queries without words give no
     rows. N and the average length are scalar subqueries.
     """
-    hits = shared_table(occurrences(index, phrases(queries, key, text), key), "hits")  # read twice; the index is scanned once
+    hits = occurrences(index, phrases(queries, key, text), key)
     df = hits.groupBy(key, "phrase_id").agg(F.countDistinct("id").alias("df"))
     if allowed is not None:
         hits = hits.join(allowed.select("id").distinct(), "id", "left_semi")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as T
@@ -11,6 +14,7 @@ from loomdex.operators.chunking import ChunkConfig, chunk_windows
 from loomdex.operators.filters import Scope
 from loomdex.operators.search import Index, respond, search
 from loomdex.plans.tables import table
+from loomdex.sources.shared import shared_table
 
 QUESTIONS = (("q1", "the strict handler and public_table"), ("q2", "временный пользователь закрывает компонент"), ("q3", "index page catalogue report"))
 MODEL, PREFIX = "lumen-code-96", "passage: "
@@ -34,7 +38,7 @@ def documents_index(spark, folder):
 
 def token_df(spark, folder):
     index = documents_index(spark, folder)
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences")).where("df >= 3")
+    return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def corpus_stats(spark, folder):
@@ -53,12 +57,14 @@ def bm25_filtered_lang(spark, folder):
     """Windows of documents, BM25, a language filter, the ten best: the smallest whole query."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     chunks = chunk_windows(docs, ChunkConfig(1200, 150)).select(F.format_string("%d:%d", "doc_id", F.col("ordinal")).alias("chunk_id"), "lang", "chunk")
+    chunks = shared_table(chunks, "windows")  # indexed, and read for the filter
     index = lexical.build_index(chunks, "chunk_id", ["chunk"])
     return _ranked(lexical.bm25(index, questions(spark), 10, chunks.where("lang = 'en'").select(F.col("chunk_id").alias("id"))))
 
 
 def _chunks(spark, folder):
-    return table(spark, folder, "chunk_fts").dropDuplicates(["chunk_id"])
+    """The chunk table with one row for each id; rows of one id are equal."""
+    return shared_table(table(spark, folder, "chunk_fts").dropDuplicates(["chunk_id"]), "chunks")
 
 
 def bm25_path_like(spark, folder):
@@ -111,7 +117,9 @@ def knn_filtered(spark, folder):
 
 
 def knn_threshold(spark, folder):
-    return _nearest(spark, folder, "cosine", threshold=0.3, limit=1_000)
+    p = points(spark, folder)
+    found = dense.nearest(p, fiftieth(p), None, "cosine", 0.3)
+    return found.select("query_id", "id", F.round("score", 5).alias("score"))
 
 
 def _legs(spark, folder):
@@ -135,18 +143,12 @@ def rrf_three_way(spark, folder):
 
 def rrf_tie_order(spark, folder):
     p = points(spark, folder)
-    a = p.select("id", F.lit(0.0).alias("score"), F.row_number().over(_by("id")).alias("rank")).where("rank <= 30")
-    b = p.select("id", F.lit(0.0).alias("score"), F.row_number().over(_by("id", True)).alias("rank")).where("rank <= 30")
+    first = lambda order: p.orderBy(order).limit(30).select("id", F.lit(0.0).alias("score"), F.row_number().over(Window.orderBy(order)).alias("rank"))
+    a, b = first(F.asc("id")), first(F.desc("id"))
     found = fusion.fuse({"a": a, "b": b})
     return found.select("id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"), F.col("a_rank").cast("long").alias("a_rank"), F.col("b_rank").cast("long").alias("b_rank"))
 
 
-def _by(column, down=False):
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc(column) if down else F.asc(column))
-
-
 def retrieve_ordered(spark, folder):
     asked = table(spark, folder, "embeddings").where("vec_id % 50 = 0").select((F.lit(1_000_000) - F.col("vec_id")).alias("pos"), F.when(F.col("vec_id") % 100 == 0, F.col("vec_id")).otherwise(-F.col("vec_id")).alias("id"))
     return manifest.retrieve(points(spark, folder).select("id", "label"), asked).select("pos", "id", "label")
@@ -162,23 +164,31 @@ def embed_cache_hit_stats(spark, folder):
     return dense.cache_statistics(texts, table(spark, folder, "dense_embedding_cache"), MODEL, PREFIX)
 
 
+def _waves(texts):
+    """An embedder that SQL can follow: the i-th of 96 numbers is sin(i * characters)."""
+    return np.array([[math.sin((i + 1) * len(t)) for i in range(96)] for t in texts], dtype=np.float32)
+
+
 def _index(spark, folder):
+    """The chunks with the given vectors of MODEL, the newest usable one of each text; questions get the vectors of `_waves`."""
     chunks = _chunks(spark, folder)
-    embed = dense.hashing_embedder()
-    texts = chunks.select(F.col("chunk_id").alias("id"), F.col("text_for_embedding").alias("text"))
-    cache = spark.createDataFrame([], "model_name string, text_hash string, dim int, vector array<float>")
-    vectors, _ = dense.embed_cached(texts, cache, "hashing", embed, PREFIX)
-    return Index(chunks, vectors.select("id", "vector"), embed)
+    cache = table(spark, folder, "dense_embedding_cache").where((F.col("model_name") == MODEL) & F.col("text_hash").isNotNull() & F.col("created_at").isNotNull())
+    newest = cache.groupBy("text_hash").agg(F.max_by(F.struct("dim", "vector"), "created_at").alias("v")).select("text_hash", "v.*")
+    whole = newest.where("size(vector) = 96 and dim = 96 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    hashed = chunks.select(F.col("chunk_id").alias("id"), dense.text_hash(PREFIX, "text_for_embedding").alias("text_hash"))
+    return Index(chunks, hashed.join(whole, "text_hash").select("id", "vector"), _waves)
 
 
 def hybrid_search(spark, folder):
     found = search(_index(spark, folder), _code_questions(spark), "hybrid", 10, Scope(lang="php"))
-    return found.select("query_id", "id", "rank", "score", "dense_rank", "lexical_rank", "rel_path")
+    ranks = [F.col(c).cast("long").alias(c) for c in ("rank", "dense_rank", "lexical_rank")]
+    return found.select("query_id", "id", *ranks, F.round("score", 9).alias("score"), "rel_path")
 
 
 def hybrid_fused_search(spark, folder):
     found = search(_index(spark, folder), _code_questions(spark), "hybrid-fused", 10)
-    return respond(found, max_text_chars=400)
+    told = respond(found, max_text_chars=400).select("query_id", "count", F.inline("results"))
+    return told.select("query_id", F.col("count").cast("long").alias("count"), F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "id", "path", "language", "text")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -246,23 +256,47 @@ def _rrf_sql(legs: list[tuple[str, str]]) -> str:
         select query_id, id, round(score, 9) as score, rank from r where rank <= 10"""
 
 
+def _hybrid_sql(fields: list[str], second: str, allowed: str, tail: str) -> str:
+    """Cosines with the given vectors and BM25, 50 of each, fused."""
+    asked = ", ".join(f"('{q}', 'query: {text}')" for q, text in _CODE)
+    lexical_leg = _bm25_sql(_ONCE, fields, _asked(_CODE), 50, f"id in (select id from t where {allowed})")
+    return f"""
+        with c as (select chunk_id as id, any_value(text) as text, any_value(text_for_embedding) as body, any_value(rel_path) as rel_path, any_value(path) as path, any_value(language) as language from chunk_fts group by chunk_id),
+        n as (select text_hash, arg_max(dim, created_at) as dim, arg_max(vector, created_at) as v from dense_embedding_cache where model_name = '{MODEL}' and text_hash is not null and created_at is not null group by 1),
+        u as (select text_hash, v::double[] as v from n where dim = 96 and len(v) = 96 and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x != 0)) > 0),
+        p as (select c.*, v from c join u on text_hash = sha256('{PREFIX}' || coalesce(body, '')) where {allowed}),
+        a(query_id, asked) as (values {asked}), q as (select query_id, list_transform(range(96), lambda i: sin((i + 1) * length(asked))::float::double) as w from a),
+        s as (select query_id, id, list_cosine_similarity(w, v) as score from q, p),
+        d as (select query_id, id, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s qualify rank <= 50),
+        x as (select query_id, id, rank, 0 as leg from d union all select query_id, id, rank, 1 from ({lexical_leg})),
+        f as (select query_id, id, sum(1.0 / (60 + rank)) as score, min(case when leg = 0 then rank end) as dense_rank, min(case when leg = 1 then rank end) as {second}_rank from x group by all),
+        r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, dense_rank nulls last, {second}_rank nulls last, id) as rank from f qualify rank <= 10)
+        {tail}"""
+
+
 _HASHED = "select sha256('passage: ' || coalesce(text_for_embedding, '')) as text_hash from chunk_fts"
 
 SQL = {
     "token_df": f"""with w as (select doc_id, unnest({_TERMS.format("coalesce(text, '')")}) as term from documents)
-        select term, count(distinct doc_id) as df, count(*)::bigint as occurrences from w group by term having count(distinct doc_id) >= 3""",
+        select term, count(distinct doc_id) as df, count(*)::bigint as occurrences from w group by term""",
     "corpus_stats": f"select count(*) as n, round(avg(len({_TERMS.format("coalesce(text, '')")})), 6) as average from documents",
     "bm25_search": _bm25_sql("select doc_id as id, text from documents", ["text"], _asked(QUESTIONS), 10),
     "bm25_filtered_lang": _bm25_sql(_WIN, ["chunk"], _asked(QUESTIONS), 10, "id in (select id from t where lang = 'en')"),
     "bm25_path_like": _bm25_sql(_ONCE, ["text", "text_for_embedding"], _asked(_CODE), 10, "id in (select id from t where lower(rel_path) like '%lib/_a%%' and language = 'php')"),
     "bm25_phrase": _bm25_sql("select doc_id as id, text from documents", ["text"], [("p1", 0, ["the", "strict"]), ("p2", 0, ["старый", "контроллер"]), ("p2", 1, ["page"])], 20),
     "sparse_search": _bm25_sql(_ONCE, ["text_for_embedding"], _asked(_CODE), 10),
+    "hybrid_search": _hybrid_sql(["text", "text_for_embedding"], "lexical", "language = 'php'", "select query_id, id, rank, dense_rank, lexical_rank, round(score, 9) as score, rel_path from r join c using (id)"),
+    "hybrid_fused_search": _hybrid_sql(
+        ["text_for_embedding"], "sparse", "true",
+        r"""select query_id, count(*) over (partition by query_id) as count, rank, round(score, 9) as score, id, coalesce(nullif(rel_path, ''), path) as path, language,
+            case when length(coalesce(text, '')) > 400 then regexp_replace(substr(text, 1, 400), '\s+$', '') || e'\n...<truncated>' else coalesce(text, '') end as text from r join c using (id)""",
+    ),
     "path_words_filter": r"select distinct chunk_id, rel_path from chunk_fts where list_has_all(regexp_extract_all(lower(rel_path), '[\p{L}\p{N}_]+'), ['lib', 'modules'])",
     "knn_cosine": _knn_sql(_COS, 10),
     "knn_dot": _knn_sql(_DOT, 10),
     "knn_l2": _knn_sql(_L2, 10, "asc"),
     "knn_filtered": _knn_sql(_COS, 10, where="p.label = 3"),
-    "knn_threshold": _knn_sql(_COS, 1000, where=f"{_COS} >= 0.3"),
+    "knn_threshold": f"select q.vec_id as query_id, p.vec_id as id, round({_COS}, 5) as score from embeddings q, embeddings p where q.vec_id % 50 = 0 and {_COS} >= 0.3",
     "rrf_two_way": _rrf_sql([(_COS, "desc"), (_DOT, "desc")]),
     "rrf_three_way": _rrf_sql([(_COS, "desc"), (_DOT, "desc"), (_L2, "asc")]),
     "rrf_tie_order": """with a as (select vec_id as id, row_number() over (order by vec_id) as a_rank from embeddings qualify a_rank <= 30),

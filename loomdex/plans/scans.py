@@ -96,6 +96,12 @@ def chunk_router(spark, folder):
     return chunking.chunk_files(rows)
 
 
+def chunk_router_plain(spark, folder):
+    """All files but PHP, with every column; PHP is cut by a parser, which SQL has none of (see `code_chunk_spans`)."""
+    rows = files(spark, folder).withColumn("language", T.language_of(F.col("path"))).where("language != 'php'")
+    return chunking.chunk_files(rows).drop(*code.names_of(code.PAYLOAD))
+
+
 def word_tokens(spark, folder):
     docs = table(spark, folder, "documents")
     return docs.select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("words"))
@@ -167,27 +173,56 @@ _WINDOWS = f"""
 
 QUERIES = {f.__name__: f for f in (
     scan_filter_size, scan_exclude, scan_include, scan_top_files, file_hash_sha256, chunk_id_uuid5, detect_language, search_language, truncate_text, rel_path, chunk_windows, chunk_windows_stats,
-    chunk_huge_line, chunk_lines, chunk_lines_sql, chunk_headings, chunk_router, word_tokens, query_tokens_dedupe16, code_symbols, code_symbols_whole, code_chunks, code_chunk_spans, code_fqn, doc_tags, component_context,
+    chunk_huge_line, chunk_lines, chunk_lines_sql, chunk_headings, chunk_router, chunk_router_plain, word_tokens, query_tokens_dedupe16, code_symbols, code_symbols_whole, code_chunks, code_chunk_spans, code_fqn, doc_tags, component_context,
 )}
 
 # line packing as a recursion over lines: b is the first line held, c the characters held, o the pieces so far, out what a line's arrival closes
-_PACKED = rf"""with recursive l as (select doc_id, a, list_transform(a, lambda x: length(x)) as z from (select doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as a from documents where text is not null)),
+def _packed(texts: str, most: int = _C, overlap: int = _O) -> str:
+    """texts: a select with doc_id and text."""
+    return rf"""with recursive l as (select doc_id, a, list_transform(a, lambda x: length(x)) as z from (select doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as a from ({texts}) where text is not null)),
     d as (select *, list_transform(range(len(z) + 1), lambda i: coalesce(list_sum(z[1:i]), 0)) as ends from l where len(a) > 0),
     r as (select doc_id, 0 as i, 0 as b, 0::bigint as c, 0::bigint as o, []::struct(s bigint, e bigint, n bigint)[] as shut from d
         union all
         select r.doc_id, r.i + 1, case when i + 1 > len(z) or huge then 0 when over then kept + 1 when b = 0 then i + 1 else b end,
             case when i + 1 > len(z) or huge then 0 when over then ends[i + 1] - ends[kept + 1] + z[i + 1] else c + z[i + 1] end,
-            o + (case when flushed then 1 else 0 end) + (case when huge then cast(ceil(z[i + 1] / {_C}.0) as bigint) else 0 end),
+            o + (case when flushed then 1 else 0 end) + (case when huge then cast(ceil(z[i + 1] / {most}.0) as bigint) else 0 end),
             case when flushed then [{{'s': b, 'e': i, 'n': o + 1}}] else [] end
-        from (select *, coalesce(z[i + 1] > {_C}, false) as huge, b > 0 and (i + 1 > len(z) or z[i + 1] > {_C} or c + z[i + 1] > {_C}) as flushed, b > 0 and c + z[i + 1] > {_C} as over,
-                greatest(b - 1, least(i - 1, len(list_filter(ends, lambda x: x < ends[i + 1] - {_O})))) as kept
+        from (select *, coalesce(z[i + 1] > {most}, false) as huge, b > 0 and (i + 1 > len(z) or z[i + 1] > {most} or c + z[i + 1] > {most}) as flushed, b > 0 and c + z[i + 1] > {most} as over,
+                greatest(b - 1, least(i - 1, len(list_filter(ends, lambda x: x < ends[i + 1] - {overlap})))) as kept
             from r join d using (doc_id) where i <= len(z)) r),
     p as (select doc_id, u.n, u.s, u.e, array_to_string(a[u.s:u.e], '') as t from (select doc_id, unnest(shut) as u from r) join d using (doc_id)
         union all
-        select doc_id, before + flush + k + 1, line, line, substr(a[line], k * {_C} + 1, {_C}) from (select doc_id, a, line, before, flush, unnest(range(cast(ceil(z[line] / {_C}.0) as bigint))) as k
-            from (select r.doc_id, r.i + 1 as line, r.o as before, case when r.b > 0 then 1 else 0 end as flush, a, z from r join d using (doc_id) where coalesce(z[r.i + 1], 0) > {_C})))
+        select doc_id, before + flush + k + 1, line, line, substr(a[line], k * {most} + 1, {most}) from (select doc_id, a, line, before, flush, unnest(range(cast(ceil(z[line] / {most}.0) as bigint))) as k
+            from (select r.doc_id, r.i + 1 as line, r.o as before, case when r.b > 0 then 1 else 0 end as flush, a, z from r join d using (doc_id) where coalesce(z[r.i + 1], 0) > {most})))
     select doc_id, n::int as ordinal, s::int as start_line, e::int as end_line, trim(t, e' \t\r\n') as chunk from p where trim(t, e' \t\r\n') != ''"""
 
+
+def _headed(texts: str) -> str:
+    """As `_packed`, by headings, in windows of 1800 that overlap by 200."""
+    return rf"""with l as (select doc_id, unnest(range(len(a))) as n, unnest(a) as t from (select doc_id, case when a[-1] = '' then a[:-2] else a end as a from
+                (select doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') as a from ({texts}) where text is not null))),
+        b as (select *, sum(case when regexp_matches(t, '^##? ') then 1 else 0 end) over (partition by doc_id order by n) as block from l),
+        w as (select doc_id, min(n) + 1 as s, max(n) + 1 as e, trim(string_agg(t, e'\n' order by n), e' \t\r\n') as body from b group by doc_id, block),
+        p as (select doc_id, s, e, i, trim(substr(body, i * 1600 + 1, 1800), e' \t\r\n') as chunk
+            from (select *, unnest(range(case when length(body) <= 1800 then 1 else cast(ceil((length(body) - 1800) / 1600.0) as bigint) + 1 end)) as i from w where body != ''))
+        select doc_id, row_number() over (partition by doc_id order by s, i)::int as ordinal, s::int as start_line, e::int as end_line, chunk from p where chunk != ''"""
+
+
+def _router_sql() -> str:
+    """Files but PHP: those three ways, with their headers, ids and hashes."""
+    language = r"case lower(regexp_extract(path, '[^/](\.[^./]+)$', 1)) when '.php' then 'php' when '.js' then 'javascript' when '.ts' then 'typescript' when '.vue' then 'vue' when '.html' then 'html' when '.md' then 'markdown' else 'text' end"
+    of = lambda which: f"select source_name || '|' || path as doc_id, text from (select *, {language} as l from raw_files) where l {which}"
+    code_, text_ = "in ('javascript', 'typescript', 'vue')", "not in ('php', 'markdown', 'javascript', 'typescript', 'vue')"
+    return f"""
+        with f as (select *, source_name || '|' || path as doc_id, {language} as l from raw_files),
+        p as (select *, false as lines from ({_headed(of("= 'markdown'"))}) union all select *, true from ({_packed(of(code_), 2600, 300)}) union all select *, true from ({_packed(of(text_), 2200, 250)})),
+        t as (select source_name, f.path, rel_path, l as language, ordinal, start_line, end_line, chunk,
+            'Path: ' || f.path || e'\\nLanguage: ' || l || case when lines then e'\\nLines: ' || start_line || '-' || end_line else '' end || e'\\n\\n' || chunk as text_for_embedding,
+            sha1(unhex('{_UUID_NS}') || encode(source_name || ':' || f.path || ':' || ordinal)) as h from p join f using (doc_id))
+        select * exclude (h), sha256(text_for_embedding) as content_hash, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+            substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as chunk_id from t"""
+
+
 SQL = {
     "scan_filter_size": "select source_name, path, strlen(text)::bigint as size_bytes from raw_files where strlen(text) <= 4000",
     "scan_exclude": r"""select source_name, rel_path from raw_files where not (
@@ -211,15 +246,10 @@ SQL = {
     "chunk_windows_stats": f"select source, count(*) as chunks, sum(length(chunk))::bigint as chars, max(length(chunk))::bigint as longest from ({_WINDOWS}) where chunk != '' group by source",
     "chunk_huge_line": r"""with l as (select source_name, path, unnest(range(len(a))) as line, unnest(a) as t from (select source_name, path, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as a from raw_files))
         select source_name, path, line, part, substr(t, part * 600 + 1, 600) as piece from (select *, unnest(range(cast(ceil(length(t) / 600.0) as bigint))) as part from l where length(t) > 600)""",
-    "chunk_headings": r"""with l as (select doc_id, unnest(range(len(a))) as n, unnest(a) as t from (select doc_id, case when a[-1] = '' then a[:-2] else a end as a from
-                (select doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') as a from documents where text is not null))),
-        b as (select *, sum(case when regexp_matches(t, '^##? ') then 1 else 0 end) over (partition by doc_id order by n) as block from l),
-        w as (select doc_id, min(n) + 1 as s, max(n) + 1 as e, trim(string_agg(t, e'\n' order by n), e' \t\r\n') as body from b group by doc_id, block),
-        p as (select doc_id, s, e, i, trim(substr(body, i * 1600 + 1, 1800), e' \t\r\n') as chunk
-            from (select *, unnest(range(case when length(body) <= 1800 then 1 else cast(ceil((length(body) - 1800) / 1600.0) as bigint) + 1 end)) as i from w where body != ''))
-        select doc_id, row_number() over (partition by doc_id order by s, i)::int as ordinal, s::int as start_line, e::int as end_line, chunk from p where chunk != ''""",
-    "chunk_lines": _PACKED,
-    "chunk_lines_sql": _PACKED,
+    "chunk_headings": _headed("select doc_id, text from documents"),
+    "chunk_lines": _packed("select doc_id, text from documents"),
+    "chunk_lines_sql": _packed("select doc_id, text from documents"),
+    "chunk_router_plain": _router_sql(),
     "code_chunk_spans": r"""with f as (select source_name, path, string_split(text, e'\n') as a from raw_files where lower(path) like '%.php'),
         s as (select distinct source_name, path, name, start_line as s, end_line as e from php_ast_symbol where kind in ('method', 'function')),
         d as (select distinct source_name, path, start_line as ds, end_line as de from php_doc_info),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from loomdex.functions import text
 from loomdex.operators import evaluate as E
 from loomdex.operators import intervals, lexical, manifest, stats
+from loomdex.operators.dense import hashing_embedder
+from loomdex.operators.indexing import IndexStore, index_source
 from loomdex.plans.tables import table
-from loomdex.sources.shared import shared_dir
+from loomdex.sources.shared import shared_dir, shared_table
 from loomdex.streaming import events as S
 
 MAX_BYTES = 6000
@@ -41,11 +46,6 @@ def _links(spark, folder):
 
 
 def manifest_merge(spark, folder):
-    """Over the first links of each file, as in its SQL; `manifest_merge_whole` has all."""
-    return _merged(spark, folder, _links(spark, folder).where("ordinal <= 3"))
-
-
-def manifest_merge_whole(spark, folder):
     return _merged(spark, folder, _links(spark, folder))
 
 
@@ -109,7 +109,7 @@ def range_contain(spark, folder):
 def _evaluated(spark, folder):
     """Cases against results of BM25 over the chunks' embedding texts, all in one plan."""
     cases = E.normalised_cases(table(spark, folder, "eval_cases"))
-    chunks = table(spark, folder, "chunk_fts").dropDuplicates(["chunk_id"])
+    chunks = shared_table(table(spark, folder, "chunk_fts").dropDuplicates(["chunk_id"]), "chunks")
     index = lexical.build_index(chunks, "chunk_id", ["text_for_embedding"])
     hits = lexical.bm25(index, cases.select(F.col("case_id").alias("query_id"), "query"), 10)
     payload = chunks.select(F.col("chunk_id").alias("id"), F.col("rel_path").alias("path"), "text")
@@ -171,24 +171,42 @@ def events_session(spark, folder):
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "events")
 
 
-def stream_index_counts(spark, folder):
-    """A stream of events through micro-batches into a table, then counted: each row once."""
-    import uuid
+def _indexed(store):
+    """Of the index in force, by source: files, and chunks whose file, vector and terms are there too."""
+    manifest_rows = store.table("manifest").groupBy("source_name").agg(F.countDistinct("path").alias("files"))
+    chunks = store.table("chunks").select("chunk_id", "source_name").join(store.table("vectors").select(F.col("id").alias("chunk_id")), "chunk_id").join(store.table("lengths").select(F.col("id").alias("chunk_id")), "chunk_id")
+    whole = chunks.groupBy("source_name").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("ids")).where("n = ids")
+    return manifest_rows.join(whole, "source_name", "left_semi")
+
 
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    source = table(spark, folder, "events")
-    source.select("event_id", "event_type").write.parquet(f"{root}/in")
+def _indexable(spark, folder):
+    return table(spark, folder, "raw_files").select("source_name", "path", "rel_path", text.language_of(F.col("path")).alias("language"), "size_bytes", "text")
 
-    def handle(batch, number):
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    S.stream_files(spark, f"{root}/in", "event_id bigint, event_type string", f"{root}/checkpoint", handle).awaitTermination()
-    return spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"))
+def _store(spark):
+    return IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+
+
+def index_source_counts(spark, folder):
+    """Every file scanned, cut, embedded, indexed by terms and published; then the same files again, which changes nothing."""
+    store, files, embed = _store(spark), _indexable(spark, folder), hashing_embedder()
+    index_source(store, files, "hashing-64", embed)
+    index_source(store, files, "hashing-64", embed)
+    return _indexed(store).where(F.lit(store.version() == 1))
+
+
+def stream_index_counts(spark, folder):
+    """The same files as they stream in, by micro-batches into an index; a second stream finds nothing new."""
+    store, root = _store(spark), f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _indexable(spark, folder).write.parquet(f"{root}/in")
+    for _ in range(2):
+        S.stream_index(spark, f"{root}/in", store, "hashing-64", hashing_embedder(), f"{root}/checkpoint").awaitTermination()
+    return _indexed(store)
 
 
 QUERIES = {f.__name__: f for f in (
-    manifest_changed, manifest_unchanged, manifest_outcomes, manifest_merge, manifest_merge_whole, prune_stale, prune_dry_run, stale_chunk_ids, chunk_ids_by_file, range_merge, range_gaps, asof_nearest, range_contain,
-    eval_rows, eval_totals, eval_by_group, eval_failed, eval_path_only, eval_top_paths, index_stats, stage_timings, collection_stats, events_tumbling, events_sliding, events_session, stream_index_counts,
+    manifest_changed, manifest_unchanged, manifest_outcomes, manifest_merge, prune_stale, prune_dry_run, stale_chunk_ids, chunk_ids_by_file, range_merge, range_gaps, asof_nearest, range_contain,
+    eval_rows, eval_totals, eval_by_group, eval_failed, eval_path_only, eval_top_paths, index_stats, stage_timings, collection_stats, events_tumbling, events_sliding, events_session, index_source_counts, stream_index_counts,
 )}
 
 _M = """m as (select source_name, path, arg_max(file_hash, (indexed_at, file_hash)) as file_hash, arg_max(coalesce(chunk_count, 0), (indexed_at, file_hash, coalesce(chunk_count, 0))) as chunk_count
@@ -245,7 +263,7 @@ SQL = {
     "manifest_merge": f"""with {_M}, todo as (select source_name, path, sha256(coalesce(text, '')) as h from raw_files f where not exists (select 1 from m where {_NEW} and m.file_hash = sha256(coalesce(f.text, '')))),
         new as (select distinct source_name, path, chunk_id from file_chunks where (source_name, path, chunk_id) in (select (source_name, path, chunk_id) from chunk_fts) and (source_name, path) in (select (source_name, path) from todo)),
         c as (select source_name, path, count(*) as n from new group by 1, 2),
-        o as (select source_name, path, count(*) as links, max(ordinal) as last from file_chunks where ordinal <= 3 and (source_name, path) not in (select (source_name, path) from todo) group by 1, 2)
+        o as (select source_name, path, count(*) as links, max(ordinal) as last from file_chunks where (source_name, path) not in (select (source_name, path) from todo) group by 1, 2)
         select source_name, path, h as file_hash, coalesce(n, 0) as chunk_count, n as links, n as last from todo left join c using (source_name, path)
         union all select source_name, path, file_hash, chunk_count::bigint, links, last::bigint from m left join o using (source_name, path) where (source_name, path) not in (select (source_name, path) from todo)""",
     "prune_stale": f"with {_M} select source_name, path from m where source_name in (select source_name from raw_files) and not exists (select 1 from raw_files f where {_NEW})",
@@ -284,6 +302,6 @@ SQL = {
     "events_sliding": "select w as window_start, count(*) as events, count(distinct user_id) as users from (select unnest([date_trunc('day', ts)::timestamp, date_trunc('day', ts)::timestamp - interval 1 day]) as w, user_id from events) group by 1",
     "events_session": """with o as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as fresh from events),
         s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as n from o) select user_id, min(ts) as session_start, count(*) as events from s group by user_id, n""",
-    "stream_index_counts": "select event_type, count(*) as events, count(distinct event_id) as ids from events group by 1",
+    "index_source_counts": "select source_name, count(distinct path) as files from raw_files group by 1",
+    "stream_index_counts": "select source_name, count(distinct path) as files from raw_files group by 1",
 }
-SQL["manifest_merge_whole"] = SQL["manifest_merge"].replace("where ordinal <= 3 and ", "where ")
