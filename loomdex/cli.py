@@ -16,13 +16,11 @@ from loomdex.operators.stats import collection_statistics, index_statistics
 from loomdex.session import local_session
 from loomdex.sources.files import scan_folder
 
-MODEL = "hashing-64"
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomdex", description=__doc__)
     p.add_argument("--index", default="index", help="folder of the index")
     p.add_argument("--config-dir", default="configs")
+    p.add_argument("--profile", default="mvp")
     sub = p.add_subparsers(dest="verb", required=True)
     for name in ("index", "prune"):
         v = sub.add_parser(name)
@@ -38,13 +36,19 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--lang")
     s.add_argument("--path")
     s.add_argument("--score-threshold", type=float)
-    s.add_argument("--mode", default="hybrid-fused", choices=search.MODES)
+    s.add_argument("--mode", choices=search.MODES)
+    s.add_argument("--debug", action="store_true", help="ranks and scores of the legs")
     sub.add_parser("stats")
+    sub.add_parser("compact", help="join what runs have added into one segment a table")
+    f = sub.add_parser("files", help="the indexed paths of a source")
+    f.add_argument("source")
+    w = sub.add_parser("serve", help="search, stats and health over HTTP, as JSON")
+    w.add_argument("--host", default="127.0.0.1")
+    w.add_argument("--port", type=int, default=8000)
     e = sub.add_parser("eval")
     e.add_argument("--file")
-    e.add_argument("--profile", default="mvp")
     e.add_argument("--limit", type=int, default=10)
-    e.add_argument("--mode", default="hybrid-fused", choices=search.MODES)
+    e.add_argument("--mode", choices=search.MODES)
     d = sub.add_parser("derive", help="an experiment's configuration")
     d.add_argument("name")
     d.add_argument("--to", default="experiments")
@@ -53,8 +57,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def sources(config_dir: str, name: str | None) -> list[dict]:
-    found = [s for s in config.load_yaml(Path(config_dir) / "sources.yaml").get("sources", []) if name in (None, s["name"])]
+def sources(project: config.Project, name: str | None) -> list[dict]:
+    found = [s for s in project.sources if name in (None, s["name"])]
     if not found:
         raise SystemExit(f"no source {name!r}")
     return found
@@ -71,31 +75,51 @@ def main(argv: list[str] | None = None) -> None:
         for path in config.derive_experiment(a.config_dir, a.to, a.name, overrides, a.force):
             print(path)
         return
+    project = config.Project.load(a.config_dir, a.profile)
+    e, limits = project.embedding, project.limits
     spark = local_session()
-    store, embed = IndexStore(spark, str(Path(a.index).resolve())), dense.hashing_embedder()
+    store, embed = IndexStore(spark, str(Path(a.index).resolve())), dense.embedder(e.provider, e.model, e.batch_size)
+    if a.verb == "files":
+        for r in store.paths(a.source).toLocalIterator():
+            print(r["path"])
+        return
+    if a.verb == "compact":
+        print(store.compact())
+        return
     if a.verb in ("index", "prune"):
-        for s in sources(a.config_dir, a.source):
+        for s in sources(project, a.source):
             files = scan_folder(spark, s["name"], str(Path(s["root"]).expanduser().resolve()), s.get("include"), s.get("exclude"), getattr(a, "max_files", None))
             if a.verb == "prune":
                 prune(store, files, a.dry_run).show(truncate=False)
             else:
-                done = index_source(store, files, MODEL, embed, force=a.force, dry_run=a.dry_run, source_type=s.get("type", "project"))
-                index_statistics(done.withColumn("chunk_count", F.lit(None).cast("int"))).show(truncate=False)
+                done = index_source(
+                    store, files, e.model, embed, e.passage_prefix, limits.max_file_bytes, a.force, a.dry_run, s.get("type", "project"), project.chunking, limits.max_chunks_per_file, s.get("metadata"), limits.stop_on_error
+                )
+                index_statistics(done.join(store.table("manifest").select("source_name", "path", "chunk_count"), ["source_name", "path"], "left")).show(truncate=False)
+                done.where("fault is not null").select("path", "fault").show(20, truncate=False)
+        return
+    opened = lambda: open_index(store, e.model, embed, e.passage_prefix, e.query_prefix)
+    if a.verb == "serve":
+        from loomdex.service import SearchService, serve
+
+        serve(SearchService(config.Settings.from_environment(), opened), a.host, a.port)
         return
-    index = open_index(store, MODEL, embed)
+    index = opened()
+    mode = getattr(a, "mode", None) or project.mode
     if a.verb == "stats":
         collection_statistics(index.chunks).show(truncate=False)
     elif a.verb == "search":
-        found = search.search(index, search.one_query(spark, a.query), a.mode, a.limit, Scope(source=a.source, lang=a.lang, path=a.path), a.score_threshold)
+        found = search.search(index, search.one_query(spark, a.query), mode, a.limit, Scope(source=a.source, lang=a.lang, path=a.path), a.score_threshold, project.ranking)
         for r in search.title(found).orderBy("rank").collect():
-            print(f"{r['rank']}. {r['title']}\n{r['text'][:1200]}\n")
+            told = "".join(f"{c}={r[c]} " for c in found.columns if a.debug and c.startswith(("dense_", "lexical_", "sparse_")))
+            print(f"{r['rank']}. {r['title']}\n{told}\n{r['text'][:1200]}\n")
     else:
         cases = config.load_yaml(config.resolve_eval_file("eval", a.profile, a.file)).get("queries", [])
         lists = ", ".join(f"{n}: array<string>" for n in evaluate.LISTS)
         schema = f"case_id string, query string, case_group string, max_results int, filters struct<source: string, lang: string, path: string, source_type: string>, expected struct<{lists}>"
         rows = [(c["id"], c["query"], c.get("group"), c.get("limit", a.limit), {k: (c.get("filters") or {}).get(k) for k in ("source", "lang", "path", "source_type")}, {n: (c.get("expected") or {}).get(n) for n in evaluate.LISTS}) for c in cases]
         normal = evaluate.normalised_cases(spark.createDataFrame(rows, schema))
-        found = search.search(index, normal.select(F.col("case_id").alias("query_id"), "query"), a.mode, a.limit)
+        found = search.search(index, normal.select(F.col("case_id").alias("query_id"), "query"), mode, a.limit, ranking=project.ranking)
         judged = evaluate.evaluate(normal, found.select(F.col("query_id").alias("case_id"), "rank", F.col("rel_path").alias("path"), "text"))
         evaluate.totals(judged).show()
         evaluate.summaries(judged).orderBy("dimension", "value").show(200, truncate=False)

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import os
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from pathlib import Path
 
 import yaml
 
+from loomdex.functions.options import flag_of, int_of, ints_of, path_of, text_of
+from loomdex.operators.chunking import CONFIGS, ChunkConfig
+from loomdex.operators.code import CodeConfig
+from loomdex.operators.search import MODES, Ranking
+
 # Environment variables of the service and their defaults.
 SETTINGS = {"PROFILE": "mvp", "CONFIG_DIR": "configs", "SOURCE": "", "MODE": "hybrid-fused", "DEFAULT_LIMIT": "5", "MAX_LIMIT": "20", "MAX_TEXT_CHARS": "3000"}
 
@@ -27,13 +32,72 @@ def load_yaml(path: str | Path) -> dict:
 
 
 def expand(value):
-    if isinstance(value, str):
-        return os.path.expandvars(value)
-    if isinstance(value, list):
-        return [expand(v) for v in value]
-    if isinstance(value, dict):
-        return {k: expand(v) for k, v in value.items()}
-    return value
+    """`value` with environment variables replaced in every text of it; keys stay."""
+    of = {str: os.path.expandvars, list: lambda v: [*map(expand, v)], dict: lambda v: dict(zip(v, map(expand, v.values()), strict=True))}
+    return of.get(type(value), lambda v: v)(value)
+
+
+@dataclass(frozen=True)
+class Embedding:
+    """The `dense` part of embeddings.yaml. `provider`: the name of an embedder in `dense.PROVIDERS`."""
+
+    provider: str = "hashing"
+    model: str = "hashing-64"
+    batch_size: int = 32
+    query_prefix: str = "query: "
+    passage_prefix: str = "passage: "
+    cache_enabled: bool = True
+    threads: int | None = None
+    cuda: bool = False
+    device_ids: tuple[int, ...] = ()
+    model_cache_dir: str | None = None
+
+    @classmethod
+    def from_mapping(cls, given: dict | None) -> Embedding:
+        g, d = given or {}, cls()
+        keep = lambda value, default: default if value is None else value
+        return cls(
+            text_of(g.get("provider")) or d.provider, text_of(g.get("model")) or d.model, int_of(g.get("batch_size")) or d.batch_size, keep(g.get("query_prefix"), d.query_prefix), keep(g.get("passage_prefix"), d.passage_prefix),
+            keep(flag_of(g.get("cache_enabled")), True), int_of(g.get("threads")), keep(flag_of(g.get("cuda")), False), tuple(ints_of(g.get("device_ids")) or ()), path_of(g.get("model_cache_dir")),
+        )
+
+
+@dataclass(frozen=True)
+class Limits:
+    """The `indexing` part of limits.yaml; None is no limit."""
+
+    max_file_bytes: int | None = None
+    max_chunks_per_file: int | None = None
+    max_memory_mb: int | None = None
+    stop_on_error: bool = False
+
+
+@dataclass(frozen=True)
+class Project:
+    """A folder of configuration: sources.<profile>.yaml (or sources.yaml), chunking, embeddings, ranking and limits.yaml, each of which may be absent."""
+
+    sources: list[dict] = field(default_factory=list)
+    chunking: dict = field(default_factory=dict)
+    embedding: Embedding = field(default_factory=Embedding)
+    ranking: Ranking = field(default_factory=Ranking)
+    mode: str = "hybrid-fused"
+    limits: Limits = field(default_factory=Limits)
+
+    @classmethod
+    def load(cls, folder: str | Path, profile: str = "mvp") -> Project:
+        folder = Path(folder)
+        read = lambda name: load_yaml(folder / name) if (folder / name).exists() else {}
+        named = [n for n in (f"sources.{profile}.yaml", "sources.yaml") if (folder / n).exists()]
+        chunking, dense, ranking, limits = read("chunking.yaml"), read("embeddings.yaml").get("dense"), read("ranking.yaml"), read("limits.yaml").get("indexing") or {}
+        configs = {k: ChunkConfig(int(chunking[k].get("max_chars", CONFIGS[k].max_chars)), int(chunking[k].get("overlap_chars", CONFIGS[k].overlap_chars))) for k in ("markdown", "text", "code") if isinstance(chunking.get(k), dict)}
+        if "php" in chunking:
+            configs["php"] = CodeConfig.from_mapping(chunking["php"])
+        hybrid = ranking.get("hybrid") or {}
+        mode = text_of((ranking.get("search") or {}).get("default_mode"))
+        return cls(
+            read(named[0]).get("sources", []) if named else [], configs, Embedding.from_mapping(dense), Ranking(**{k: int(hybrid[k]) for k in ("dense_candidates", "lexical_candidates", "rrf_k") if k in hybrid}), mode if mode in MODES else "hybrid-fused",
+            Limits(int_of(limits.get("max_file_bytes")), int_of(limits.get("max_chunks_per_file")), int_of(limits.get("max_memory_mb")), bool(flag_of(limits.get("stop_on_error")))),
+        )
 
 
 def resolve_eval_file(folder: str | Path, profile: str, given: str | None = None) -> Path:

@@ -33,6 +33,27 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+# embedders by the name of their provider; each takes the model's name. Others are registered by whoever has a model.
+PROVIDERS: dict[str, Callable[[str], Callable[[list[str]], np.ndarray]]] = {"hashing": lambda model: hashing_embedder(int(model.rpartition("-")[2] or 64))}
+_LOADED: dict[tuple[str, str], Callable[[list[str]], np.ndarray]] = {}
+
+
+def embedder(provider: str, model: str, batch_size: int = 32) -> Callable[[list[str]], np.ndarray]:
+    """An embedder that loads its model in each Python worker once, on first use, and embeds `batch_size` texts at a time."""
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown provider {provider!r}; one of {', '.join(sorted(PROVIDERS))}")
+    make = PROVIDERS[provider]
+
+    def embed(texts: list[str]) -> np.ndarray:
+        if (provider, model) not in _LOADED:
+            _LOADED[provider, model] = make(model)
+        loaded = _LOADED[provider, model]
+        parts = [np.asarray(loaded(texts[at : at + batch_size]), dtype=np.float32) for at in range(0, len(texts), batch_size)]
+        return np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
+
+    return embed
+
+
 def vector_size(embed: Callable[[list[str]], np.ndarray]) -> int:
     """The length of an embedder's vectors, found by embedding one word."""
     return int(np.asarray(embed(["test"])).shape[1])

@@ -80,9 +80,13 @@ def clamp_limit(limit: int | None, default: int = 5, most: int = 20) -> int:
     return min(max(1, limit or default), most)
 
 
+# what a response tells of a result, where the index has it
+RESULT = ("rank", "score", "id", "source_name", "source_type", "area", "language", "path", "rel_path", "start_line", "end_line", "symbol_kind", "symbol_name", "symbol_fqn")
+
+
 def respond(results: DataFrame, include_text: bool = True, max_text_chars: int = 3000) -> DataFrame:
     """One row per query: query_id, count, results (an array of structs in order of rank)."""
-    columns = [c for c in ("rank", "score", "id", "source_name", "source_type", "language", "path", "rel_path") if c in results.columns]
+    columns = [c for c in RESULT if c in results.columns]
     rows = results.withColumn("path", F.coalesce(F.nullif(F.col("rel_path"), F.lit("")), F.col("path")))
     fields = [F.col(c) for c in columns] + ([truncated(F.coalesce("text", F.lit("")), max_text_chars or 3000).alias("text")] if include_text else [])
     return rows.groupBy("query_id").agg(F.count("*").cast("int").alias("count"), F.array_sort(F.collect_list(F.struct(*fields))).alias("results"))
@@ -93,6 +97,8 @@ def one_query(spark: SparkSession, text: str) -> DataFrame:
 
 
 def title(results: DataFrame) -> DataFrame:
-    """results with a title: score|source|language|path."""
+    """results with a title: score|source|language|path, and :first-last line where known."""
+    known = "start_line" in results.columns
+    lines = F.when(F.col("start_line").isNotNull(), F.format_string(":%d-%d", "start_line", "end_line")).otherwise("") if known else F.lit("")
     dash = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-"))
-    return results.withColumn("title", F.concat_ws("|", F.coalesce(F.format_string("%.6f", F.col("score").cast("double")), F.lit("-")), dash("source_name"), dash("language"), F.coalesce(F.nullif(F.col("rel_path"), F.lit("")), dash("path"))))
+    return results.withColumn("title", F.concat_ws("|", F.coalesce(F.format_string("%.6f", F.col("score").cast("double")), F.lit("-")), dash("source_name"), dash("language"), F.concat(F.coalesce(F.nullif(F.col("rel_path"), F.lit("")), dash("path")), lines)))

@@ -204,3 +204,73 @@ def test_all_links_of_kept_files_enter_the_merge(spark, tmp_path):
     put("chunk_fts", [r[:3] for r in links], "source_name string, path string, chunk_id string")
     got = rows(catalog.QUERIES["manifest_merge"](spark, str(tmp_path)), "path", "chunk_count", "links", "last")
     assert got == [("/kept", 6, 6, 9), ("/new", 5, 5, 5)]
+
+
+def test_failed_files_keep_their_state_and_stop_no_other(spark, tmp_path):
+    from loomdex.operators.chunking import ChunkConfig
+    from loomdex.operators.code import CodeConfig
+
+    store, embed = IndexStore(spark, f"file://{tmp_path}/index"), hashing_embedder()
+    files = lambda text: spark.createDataFrame([("s", "/a.php", "a.php", "php", 9, f"<?php\nfunction {text}() {{ }}\n"), ("s", "/b.txt", "b.txt", "text", 9, text)], FILE)
+    assert rows(index_source(store, files("first"), "m", embed, metadata={"area": "core"}), "outcome") == [("indexed",), ("indexed",)]
+    broken = {"php": CodeConfig(chunk=ChunkConfig(0, 0), fallback="none")}
+    done = index_source(store, files("second"), "m", embed, configs=broken)
+    assert rows(done, "path", "outcome") == [("/a.php", "failed"), ("/b.txt", "indexed")] and done.where("fault like 'ValueError%'").count() == 1
+    kept = store.table("chunks").where("path = '/a.php' and symbol_name = 'first'").head()
+    assert (kept["area"], kept["source"], kept["module"]) == ("core", "s", None) and store.table("chunks").where("path = '/b.txt'").head()["text"] == "second"
+    with pytest.raises(RuntimeError):
+        index_source(store, files("third"), "m", embed, configs=broken, stop_on_error=True)
+    assert rows(index_source(store, files("second"), "m", embed), "path", "outcome") == [("/a.php", "indexed"), ("/b.txt", "skipped")]
+    assert rows(store.paths("s"), "path") == [("/a.php",), ("/b.txt",)] and {r["table"] for r in store.describe().collect()} == set(store.tables())
+    with pytest.raises(ValueError):
+        open_index(store, "m", hashing_embedder(32))
+
+
+def test_stored_postings_and_vectors_answer_as_computed_ones(spark, tmp_path):
+    from loomdex.operators.search import Index
+
+    store, embed = IndexStore(spark, f"file://{tmp_path}/index"), hashing_embedder()
+    texts = ["the quick result_modifier walks", "quick quick notes on the basket", "result and modifier apart", "nothing here", "basket result_modifier result_modifier"]
+    files = lambda n: spark.createDataFrame([("s", f"/{i}.txt", f"{i}.txt", "text", 9, t + (" changed basket" if i < n else "")) for i, t in enumerate(texts)], FILE)
+    index_source(store, files(0), "m", embed)
+    index_source(store, files(2), "m", embed)
+    added = store.log.snapshot()["chunks"][-1]["rows"]
+    assert spark.read.parquet(f"file://{tmp_path}/index/{added}").count() == 2
+    def same(mode, q):
+        opened = open_index(store, "m", embed)
+        got, want = (rows(search(index, one_query(spark, q), mode, 3), "rank", "path", "score") for index in (opened, Index(opened.chunks, opened.vectors, embed)))
+        return [(r, p, round(s, 9)) for r, p, s in got] == [(r, p, round(s, 9)) for r, p, s in want]
+
+    assert same("lexical", "basket quick") and same("sparse", "result_modifier") and same("hybrid", "changed result_modifier") and same("sparse", "absent")
+    store.compact()
+    assert same("hybrid-fused", "basket result_modifier")
+
+
+def test_service_over_http(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from loomdex.config import Settings
+    from loomdex.service import SearchService, answer, serve
+
+    store, embed = IndexStore(spark, f"file://{tmp_path}/index"), hashing_embedder()
+    index_source(store, spark.createDataFrame([("s", "/a.php", "a.php", "php", 9, "<?php\nfunction basket() { return 1; }\n")], FILE), "m", embed)
+    service, up = SearchService(Settings.from_environment({}), lambda: open_index(store, "m", embed)), threading.Event()
+    assert answer(service, "/readyz")[0] == 503 and answer(service, "/search?query=x")[0] == 503 and answer(service, "/healthz")[0] == 200
+    held = []
+    thread = threading.Thread(target=serve, args=(service, "127.0.0.1", 0), kwargs={"started": lambda s: (held.append(s), up.set())}, daemon=True)
+    thread.start()
+    assert up.wait(120)
+    base = f"http://127.0.0.1:{held[0].server_address[1]}"
+    get = lambda path: json.load(urllib.request.urlopen(base + path, timeout=120))
+    assert get("/readyz")["status"] == "ready" and get("/stats")["sources"] == 1
+    found = get("/search?query=basket&mode=sparse&limit=1")
+    assert found["count"] == 1 and found["results"][0]["symbol_name"] == "basket" and found["results"][0]["start_line"] == 2
+    for path, status in (("/nowhere", 404), ("/search?query=x&mode=other", 400), ("/search", 400)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            get(path)
+        assert e.value.code == status
+    held[0].shutdown()
+    thread.join(30)
