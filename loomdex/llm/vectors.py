@@ -205,7 +205,11 @@ def search_representatives(located: DataFrame, members: DataFrame, centroids: di
         q, b, s = tile_join(np.stack(pdf["v"].to_numpy()).astype(np.float32), ids, pdf["home"].to_numpy(), pdf["probed"].to_numpy(), k)
         return pd.DataFrame({"uid": ids[q], "near": ids[b], "cosine": s})
 
-    found = spreaded.groupBy("model", "grp", "block", "part").applyInPandas(match, "uid bigint, near bigint, cosine double")
+    # a partition for about two units, so that what a task reads does not grow with the table
+    keys = ["model", "grp", "block", "part"]
+    units = sum(b * q for _, blocks, parts in groups.values() for b, q in zip(blocks, parts, strict=True))
+    spreaded = spreaded.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // 2)), *keys)
+    found = spreaded.groupBy(*keys).applyInPandas(match, "uid bigint, near bigint, cosine double")
     order = W.partitionBy("uid").orderBy(F.desc("cosine"), "near")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
