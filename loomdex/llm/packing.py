@@ -24,8 +24,9 @@ from loomdex.sources.shared import shared_table
 SHARD_ITEMS = 2_000
 ISLANDS = 3
 ROUNDS = 2
-GENERATIONS = 30  # of a round on a shard; an island ends where nothing is left to gain
-LAST_GENERATIONS = 120  # of a round on the last pool
+GENERATIONS = 30  # of a round on a shard; an island ends where nothing is left to gain, or nothing was gained for PATIENCE of them
+LAST_GENERATIONS = 120  # of a round on the last pool, which has the patience for all
+PATIENCE = 8
 POPULATION = 6
 TASKS_PER_CORE = 4
 POOLED = 0.06  # share of a shard's bins, the worst filled, that are packed again with those of other shards
@@ -150,9 +151,12 @@ def evolve(sizes: list[int], capacity: int, elites: list[list[int]], seed: int,
     if not perfect(min(population, key=score)):
         while len(population) < POPULATION:
             population.append(place(Packing([], []), rng.sample(everything, len(everything)), sizes, capacity))
-        for _ in range(LAST_GENERATIONS if last else GENERATIONS):
+        gained, best = 0, None
+        for turn in range(LAST_GENERATIONS if last else GENERATIONS):
             population.sort(key=score)
-            if perfect(population[0]):
+            if best is None or score(population[0]) < best:
+                gained, best = turn, score(population[0])
+            if perfect(population[0]) or (not last and turn - gained >= PATIENCE):
                 break
             parents = population[: POPULATION // 2 + 1]
             children = []
