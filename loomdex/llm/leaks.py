@@ -2,7 +2,8 @@
 
 Texts become words that spelling, markup and line layout do not change. In a template, numbers, names and
 units are typed placeholders. Windows of template words are hash-joined; a window whose slots hold the same
-values is a verbatim leak, one whose slots map one to one onto other values a re-parameterised one.
+values is a verbatim leak. Windows at one distance between text and passage belong together: where the slots of
+all of them map one to one onto other values, they are a re-parameterised leak.
 """
 
 from __future__ import annotations
@@ -115,27 +116,23 @@ def _windows(batches: Iterator[pd.DataFrame], templates: Templates, wanted: np.n
     for pdf in batches:
         out = []
         for key, text in zip(pdf["id"], pdf["text"], strict=True):
-            seen = set()
-            for words in forms(text):
+            for form, words in enumerate(forms(text)):
                 t, e = templates.hashes(words)
                 if wanted is None:
                     hits = np.arange(len(t))
                 else:
                     at = np.minimum(np.searchsorted(wanted, t), len(wanted) - 1)
                     hits = np.nonzero(wanted[at] == t)[0] if len(wanted) else []
-                for i in hits:
-                    if (t[i], e[i]) not in seen:
-                        seen.add((t[i], e[i]))
-                        out.append((key, t[i], e[i], templates.slots(words[i : i + templates.window])))
-        yield pd.DataFrame(out, columns=["id", "template", "exact", "slots"])
+                out += [(key, t[i], e[i], templates.slots(words[i : i + templates.window]), form, int(i)) for i in hits]
+        yield pd.DataFrame(out, columns=["id", "template", "exact", "slots", "form", "at"])
 
 
 def leaks(documents: DataFrame, cases: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 12) -> DataFrame:
     """id_column, case_id, kind (verbatim, reparameterised), windows: how many windows of the case the document holds.
 
-    verbatim: at least `window` consecutive words of the passage. reparameterised: a window equal but for
-    numbers, names and units, each value of which stands for one other value throughout, with at least
-    PLAIN_LEAST other words; given only where the same document and case have no verbatim window. NULL ids
+    verbatim: at least `window` consecutive words of the passage. reparameterised: windows equal but for
+    numbers, names and units, each value of which stands for one other value throughout them, with at least
+    PLAIN_LEAST other words in each; given only where the same document and case have no verbatim window. NULL ids
     and texts take no part, passages shorter than the window can't leak; repeated rows count once.
 
     The passages' vocabulary goes to the driver and to every task: it is bounded by the cases, which are test
@@ -146,11 +143,11 @@ def leaks(documents: DataFrame, cases: DataFrame, id_column: str = "doc_id", tex
     vocabulary = passages.mapInPandas(_vocabulary, "word string, name boolean").groupBy("word").agg(F.max("name").alias("name")).toPandas()
     names = frozenset(vocabulary["word"][vocabulary["name"].astype(bool)])
     templates = spark.sparkContext.broadcast((names, frozenset(vocabulary["word"]) - names))
-    schema = "template bigint, exact bigint, slots array<string>"
+    schema = "template bigint, exact bigint, slots array<string>, form int, at int"
     held = passages.select(F.col("case_id").alias("id"), F.col("passage").alias("text")).mapInPandas(
         lambda it: _windows(it, Templates(*templates.value, window), None), f"id {passages.schema['case_id'].dataType.simpleString()}, {schema}"
     )
-    held = held.withColumnRenamed("id", "case_id").withColumnRenamed("slots", "case_slots").withColumnRenamed("exact", "case_exact").distinct()
+    held = held.withColumnRenamed("id", "case_id").withColumnRenamed("slots", "case_slots").withColumnRenamed("exact", "case_exact").withColumnRenamed("form", "case_form").withColumnRenamed("at", "case_at").distinct()
     held = shared_table(held, "p9-cases")  # read for the filter and for the join
     distinct = held.select("template").distinct()
     few = distinct.limit(FILTER_WINDOWS + 1).count() <= FILTER_WINDOWS
@@ -159,12 +156,13 @@ def leaks(documents: DataFrame, cases: DataFrame, id_column: str = "doc_id", tex
     found = texts.mapInPandas(
         lambda it: _windows(it, Templates(*templates.value, window), wanted.value), f"id {texts.schema['id'].dataType.simpleString()}, {schema}"
     ).join(held, "template")
-    # a value of one side stands for one of the other: as many pairs as distinct values on either side
-    pairs = F.size(F.array_distinct(F.arrays_zip("slots", "case_slots")))
-    one_to_one = (pairs == F.size(F.array_distinct("slots"))) & (pairs == F.size(F.array_distinct("case_slots")))
     exact = F.col("exact") == F.col("case_exact")
-    kept = found.where(exact | (one_to_one & (F.size("slots") <= window - PLAIN_LEAST)))
-    out = kept.groupBy("id", "case_id").agg(F.max(exact).alias("verbatim"), F.countDistinct("template").alias("windows"))
+    kept = found.where(exact | (F.size("slots") <= window - PLAIN_LEAST))
+    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("slots", "case_slots"))))  # as many as a passage has words at most
+    together = kept.groupBy("id", "case_id", "form", "case_form", (F.col("at") - F.col("case_at")).alias("apart")).agg(F.max(exact).alias("verbatim"), F.collect_set("template").alias("templates"), pairs.alias("pairs"))
+    # a value of one side stands for one of the other: as many pairs as distinct values on either side
+    one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.slots"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.case_slots")))
+    out = together.where(F.col("verbatim") | one_to_one).groupBy("id", "case_id").agg(F.max("verbatim").alias("verbatim"), F.size(F.array_distinct(F.flatten(F.collect_set("templates")))).cast("long").alias("windows"))
     kind = F.when(F.col("verbatim"), "verbatim").otherwise("reparameterised")
     return out.select(F.col("id").alias(id_column), "case_id", kind.alias("kind"), "windows")
 

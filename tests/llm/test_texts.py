@@ -309,3 +309,31 @@ def test_long_tags_hold_no_words(length):
     values = " ".join(f"data-x{i}='value {i}'" for i in range(length // 15 + 1))
     assert leaks.forms(f"one two<b {values}>three</b> <p class=\"{'x' * length}\">four")[0] == ["one", "twothree", "four"]
     assert leaks.forms(f"a < b and {'word ' * length} > c")[0][:3] == ["a", "b", "and"]
+
+
+def test_reparameterised_questions_among_planted_cases(spark):
+    """Held-out accuracy: passages with numbers and names, documents that change them consistently (leaks) or not (none)."""
+    rng = random.Random(21)
+    plain = "the a queue when after every order reports its total before some other handler closes while still open and then waits for more than usual".split()
+    name = lambda: rng.choice(["load", "save", "check"]) + rng.choice(["Order", "Basket", "Client"]) + rng.choice(["Total", "Index", "Mirror"]) + str(rng.randint(2, 99))
+    number = lambda: str(rng.randint(100, 9999))
+    cases, docs, leaked = [], [], set()
+    for n in range(60):
+        first, second, amount = name(), name() + "x", number()
+        words = [rng.choice(plain) for _ in range(20)]
+        for at, slot in ((3, first), (7, amount), (9, second), (12, first), (15, amount)):
+            words[at] = slot
+        cases.append((f"c{n}", " ".join(words)))
+        other = {first: name() + "a", second: name() + "b", amount: number() + "7"}
+        around = lambda: " ".join(rng.choice(plain) for _ in range(rng.randint(5, 40)))
+        if n % 3 == 0:  # other values, the same throughout
+            docs.append((n, f"{around()} {' '.join(other.get(w, w) for w in words)} {around()}"))
+            leaked.add((n, f"c{n}"))
+        elif n % 3 == 1:  # every occurrence another value
+            docs.append((n, f"{around()} {' '.join(w if w not in other else number() if w.isdigit() else name() + chr(99 + i) for i, w in enumerate(words))} {around()}"))
+        else:  # another passage of the same words
+            docs.append((n, f"{around()} {' '.join(rng.sample(words, len(words)))} {around()}"))
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(cases, "case_id string, passage string"))
+    got = {(r["doc_id"], r["case_id"]) for r in found.where("kind = 'reparameterised'").collect()}
+    assert len(got & leaked) >= 0.95 * len(leaked) and len(got - leaked) <= 0.1 * len(leaked)
+    assert found.where("kind = 'verbatim'").isEmpty()
