@@ -12,7 +12,7 @@ from loomdex import config
 from loomdex.operators import dense, evaluate, search
 from loomdex.operators.filters import Scope
 from loomdex.operators.indexing import IndexStore, index_source, open_index, prune
-from loomdex.operators.stats import collection_statistics, index_statistics
+from loomdex.operators.stats import Timings, collection_statistics, index_statistics
 from loomdex.session import local_session
 from loomdex.sources.files import scan_folder
 
@@ -92,10 +92,12 @@ def main(argv: list[str] | None = None) -> None:
             if a.verb == "prune":
                 prune(store, files, a.dry_run).show(truncate=False)
             else:
+                spent = Timings()
                 done = index_source(
-                    store, files, e.model, embed, e.passage_prefix, limits.max_file_bytes, a.force, a.dry_run, s.get("type", "project"), project.chunking, limits.max_chunks_per_file, s.get("metadata"), limits.stop_on_error
+                    store, files, e.model, embed, e.passage_prefix, limits.max_file_bytes, a.force, a.dry_run, s.get("type", "project"), project.chunking, limits.max_chunks_per_file, s.get("metadata"), limits.stop_on_error, spent
                 )
                 index_statistics(done.join(store.table("manifest").select("source_name", "path", "chunk_count"), ["source_name", "path"], "left")).show(truncate=False)
+                spent.table(spark).orderBy("position", "bucket").show(truncate=False)
                 done.where("fault is not null").select("path", "fault").show(20, truncate=False)
         return
     opened = lambda: open_index(store, e.model, embed, e.passage_prefix, e.query_prefix)

@@ -93,20 +93,25 @@ def chunk_id(source: Column, path: Column, ordinal: Column) -> Column:
     return uuid5(F.concat_ws(":", source, path, ordinal.cast("string")))
 
 
+def folded(x: Column) -> Column:
+    """Lower case in which letters that differ in case only are equal, as `str.casefold`: ß is ss, ς is σ."""
+    return F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def contains_any(text: Column, needles: Column) -> Column:
     """TRUE where the list is NULL or empty; letter case does not matter."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return (F.size(F.coalesce(needles, F.array().cast("array<string>"))) == 0) | F.exists(needles, lambda n: F.contains(low, F.lower(n)))
+    low = folded(F.coalesce(text, F.lit("")))
+    return (F.size(F.coalesce(needles, F.array().cast("array<string>"))) == 0) | F.exists(needles, lambda n: F.contains(low, folded(n)))
 
 
 def contains_all(text: Column, needles: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.coalesce(F.forall(needles, lambda n: F.contains(low, F.lower(n))), F.lit(True))
+    low = folded(F.coalesce(text, F.lit("")))
+    return F.coalesce(F.forall(needles, lambda n: F.contains(low, folded(n))), F.lit(True))
 
 
 def contains_none(text: Column, needles: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return ~F.coalesce(F.exists(needles, lambda n: F.contains(low, F.lower(n))), F.lit(False))
+    low = folded(F.coalesce(text, F.lit("")))
+    return ~F.coalesce(F.exists(needles, lambda n: F.contains(low, folded(n))), F.lit(False))
 
 
 def rate(part: Column, whole: Column) -> Column:

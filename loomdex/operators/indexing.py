@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomdex.operators import code, dense, lexical, manifest
 from loomdex.operators.chunking import chunk_files
 from loomdex.operators.search import Index
+from loomdex.operators.stats import Timings
 from loomdex.sources.shared import shared_table
 from loomdex.sources.versions import TableLog
 
@@ -76,18 +77,22 @@ def bucket(term: str):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def index_source(store: IndexStore, files: DataFrame, model: str, embed: Callable[[list[str]], np.ndarray], prefix: str = "passage: ", max_bytes: int | None = None, force: bool = False, dry_run: bool = False, source_type: str = "project", configs: dict | None = None, max_chunks_per_file: int | None = None, metadata: Mapping | None = None, stop_on_error: bool = False) -> DataFrame:
+def index_source(store: IndexStore, files: DataFrame, model: str, embed: Callable[[list[str]], np.ndarray], prefix: str = "passage: ", max_bytes: int | None = None, force: bool = False, dry_run: bool = False, source_type: str = "project", configs: dict | None = None, max_chunks_per_file: int | None = None, metadata: Mapping | None = None, stop_on_error: bool = False, timings: Timings | None = None) -> DataFrame:
     """Index new and changed files; the files with their outcomes (and `fault`, the reason, of those that failed).
 
     Files grown too large lose their chunks. A file that fails keeps the state it had and stops no other, unless
-    `stop_on_error`. `metadata`: source, area and module of the source for the chunks' payload.
+    `stop_on_error`. `metadata`: source, area and module of the source for the chunks' payload. `timings` takes the
+    seconds of the run's steps.
     """
+    timings = timings or Timings()
     expected = store.version()
-    judged = shared_table(manifest.outcomes(files, store.table("manifest", expected), max_bytes, force, dry_run), "outcomes")
+    with timings.of("manifest_check"):
+        judged = shared_table(manifest.outcomes(files, store.table("manifest", expected), max_bytes, force, dry_run), "outcomes")
     if dry_run:
         return judged.withColumn("fault", F.lit(None).cast("string"))
     keys = manifest.KEYS
-    cut = shared_table(chunk_files(judged.where("outcome = 'indexed'"), configs, max_chunks_per_file, faults=True), "new-chunks")
+    with timings.of("chunk"):
+        cut = shared_table(chunk_files(judged.where("outcome = 'indexed'"), configs, max_chunks_per_file, faults=True), "new-chunks")
     failed = cut.where("fault is not null").groupBy(*keys).agg(F.min("fault").alias("fault"))
     judged = judged.join(failed, keys, "left").withColumn("outcome", F.when(F.col("fault").isNotNull(), "failed").otherwise(F.col("outcome")))
     if stop_on_error and not failed.isEmpty():
@@ -96,7 +101,8 @@ def index_source(store: IndexStore, files: DataFrame, model: str, embed: Callabl
     told = metadata or {}
     new = cut.where("fault is null").drop("fault").withColumnRenamed("chunk", "text").withColumn("source_type", F.lit(source_type)).withColumn("source", F.coalesce(F.lit(told.get("source")), "source_name"))
     new = new.withColumn("area", F.lit(told.get("area")).cast("string")).withColumn("module", F.lit(told.get("module")).cast("string"))
-    embedded, made = dense.embed_cached(new.select(F.col("chunk_id").alias("id"), *keys, F.col("text_for_embedding").alias("text")), store.table("cache", expected), model, embed, prefix)
+    with timings.of("embed"):
+        embedded, made = dense.embed_cached(new.select(F.col("chunk_id").alias("id"), *keys, F.col("text_for_embedding").alias("text")), store.table("cache", expected), model, embed, prefix)
     entries, links, _ = manifest.replace_files(*(store.spark.createDataFrame([], EMPTY[name]) for name in ("manifest", "file_chunks")), new.limit(0), todo.where("outcome != 'too_large'"), new)
     tokens = shared_table(lexical.tokenised(new.withColumnRenamed("chunk_id", "id"), ["id", *keys], [F.col("text"), F.col("text_for_embedding")]), "new-tokens")
     postings = lexical.grouped(lexical.placed(tokens, ["id", *keys]).withColumn("field", F.floor(F.col("pos") / lexical.FIELD_GAP).cast("int"))).withColumn("bucket", bucket("term"))
@@ -107,8 +113,9 @@ def index_source(store: IndexStore, files: DataFrame, model: str, embed: Callabl
         "lengths": lengths.select("id", *keys, (F.col("text") + F.col("embedded")).alias("both"), "embedded"),
         "vectors": embedded.select("id", *keys, F.lit(model).alias("model_name"), "text_hash", "vector"),
     }
-    if not todo.isEmpty():
-        store.change(expected, todo, {name: rows.select(*code.names_of(EMPTY[name])) for name, rows in added.items()})
+    with timings.of("upsert"):
+        if not todo.isEmpty():
+            store.change(expected, todo, {name: rows.select(*code.names_of(EMPTY[name])) for name, rows in added.items()})
     return judged
 
 

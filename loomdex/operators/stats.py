@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The order in which timings are shown; others follow by name.
@@ -20,6 +24,25 @@ def index_statistics(files: DataFrame) -> DataFrame:
     )
 
 
+class Timings:
+    """Seconds by bucket, on the driver: what a run spent where, as (bucket, seconds) events for `stage_timings`."""
+
+    def __init__(self) -> None:
+        self.events: list[tuple[str, float]] = []
+
+    @contextmanager
+    def of(self, bucket: str) -> Iterator[None]:
+        """Time what runs within, also where it fails."""
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.events.append((bucket, time.perf_counter() - began))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return stage_timings(spark.createDataFrame(self.events, "bucket string, seconds double"))
+
+
 def stage_timings(events: DataFrame) -> DataFrame:
     """bucket, seconds, position: times summed by bucket, in the order of TIMING_ORDER."""
     place = F.array_position(F.array(*[F.lit(x) for x in TIMING_ORDER]), F.col("bucket"))

@@ -65,6 +65,7 @@ def prune_stale(spark, folder):
 
 
 def prune_dry_run(spark, folder):
+    """As if the files of 2,000 bytes or less had gone from disk: the tables alone hold few stale files."""
     return manifest.prune_report(_manifest(spark, folder), _links(spark, folder), _files(spark, folder).where("size_bytes > 2000"))
 
 
