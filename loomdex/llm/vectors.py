@@ -29,6 +29,7 @@ QUERY_ROWS = 8 * BLOCK_ROWS
 PROBES = 8
 CODE_SPAN = 1_024  # numbers whose int8 products a float32 sum holds exactly
 SALTS = 16
+MOST_TASKS = 20_000
 SMALL_KEYS = 100_000  # keys with several rows that may be broadcast, about 10 MB
 
 
@@ -173,8 +174,20 @@ def search_representatives(located: DataFrame, members: DataFrame, centroids: di
     spark = located.sparkSession
     later = small_side(members.where("uid != rep").select("uid"), 10 * SMALL_KEYS)
     reps = located.join(later, "uid", "left_anti")
-    sizes = reps.select("model", F.posexplode("cells").alias("place", "cell")).groupBy("model", "cell").agg(F.count_if(F.col("place") == 0).alias("n"), F.count("*").alias("asked")).collect()
-    groups = plan_groups(sizes, centroids, block_rows, query_rows)
+    sizes = reps.groupBy("model", F.element_at("cells", 1).alias("cell")).agg(F.count("*").alias("n")).collect()
+    grouped = spark.sparkContext.broadcast(plan_groups(sizes, centroids, block_rows))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for model, part in pdf.groupby("model"):
+                goes = np.sort(np.asarray(grouped.value[model][0])[np.stack(part["cells"].to_numpy())], axis=1)
+                new = np.diff(goes, axis=1, prepend=-1) > 0
+                number, n = np.unique(goes[new], return_counts=True)
+                yield pd.DataFrame({"model": model, "grp": number, "n": n})
+
+    asked = reps.select("model", "cells").mapInPandas(ask, "model string, grp int, n bigint").groupBy("model", "grp").agg(F.sum("n").alias("n")).collect()
+    parts = {(r["model"], r["grp"]): -(-r["n"] // query_rows) for r in asked}
+    groups = {m: (g, blocks, [max(1, parts.get((m, i), 1)) for i in range(len(blocks))]) for m, (g, blocks) in grouped.value.items()}
     plan = spark.sparkContext.broadcast({m: (i, *groups[m]) for i, m in enumerate(sorted(groups))})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,25 +218,25 @@ def search_representatives(located: DataFrame, members: DataFrame, centroids: di
         q, b, s = tile_join(np.stack(pdf["v"].to_numpy()).astype(np.float32), ids, pdf["home"].to_numpy(), pdf["probed"].to_numpy(), k)
         return pd.DataFrame({"uid": ids[q], "near": ids[b], "cosine": s})
 
-    # a partition for about two units, so that what a task reads does not grow with the table
+    # twice as many partitions as units, so that what a task reads does not grow with the table
     keys = ["model", "grp", "block", "part"]
     units = sum(b * q for _, blocks, parts in groups.values() for b, q in zip(blocks, parts, strict=True))
-    spreaded = spreaded.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // 2)), *keys)
+    spreaded = spreaded.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * units, MOST_TASKS)), *keys)
     found = spreaded.groupBy(*keys).applyInPandas(match, "uid bigint, near bigint, cosine double")
     order = W.partitionBy("uid").orderBy(F.desc("cosine"), "near")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
-def plan_groups(sizes: list, centroids: dict[str, np.ndarray], block_rows: int, query_rows: int) -> dict[str, tuple[list[int], list[int], list[int]]]:
-    """For each model, the group of every cell and the numbers of base blocks and of query blocks of every group.
+def plan_groups(sizes: list, centroids: dict[str, np.ndarray], block_rows: int) -> dict[str, tuple[list[int], list[int]]]:
+    """For each model, the group of every cell and the number of base blocks of every group.
 
     Cells are taken in the order of a walk to the nearest cell not yet taken, so that a group, a run of
     the walk of at most `block_rows` rows, holds cells near each other. A cell above that is a group alone
     and gets several blocks.
     """
-    counts: dict[str, dict[int, tuple[int, int]]] = {}
+    counts: dict[str, dict[int, int]] = {}
     for r in sizes:
-        counts.setdefault(r["model"], {})[r["cell"]] = (r["n"], r["asked"])
+        counts.setdefault(r["model"], {})[r["cell"]] = r["n"]
     plan = {}
     for model, n in counts.items():
         c = centroids.get(model)
@@ -235,17 +248,16 @@ def plan_groups(sizes: list, centroids: dict[str, np.ndarray], block_rows: int,
             left[at] = False
             if left.any() and c is not None:
                 at = int(np.argmax(np.where(left, c @ c[at], -np.inf)))
-        groups, blocks, parts, held, asked = [0] * total, [], [], 0, 0
+        groups, blocks, held = [0] * total, [], 0
         for cell in walk:
-            rows, queries = n.get(cell, (0, 0))
+            rows = n.get(cell, 0)
             if not blocks or held + rows > block_rows:
                 blocks.append(1)
-                parts.append(1)
-                held = asked = 0
-            held, asked = held + rows, asked + queries  # a query of several cells of a group counts as often, so this is a bound
+                held = 0
+            held += rows
             groups[cell] = len(blocks) - 1
-            blocks[-1], parts[-1] = max(1, -(-held // block_rows)), max(1, -(-asked // query_rows))
-        plan[model] = (groups, blocks, parts)
+            blocks[-1] = max(1, -(-held // block_rows))
+        plan[model] = (groups, blocks)
     return plan
 
 
