@@ -27,7 +27,7 @@ ROUNDS = 2
 GENERATIONS = 30  # of a round on a shard; an island ends where nothing is left to gain, or nothing was gained for PATIENCE of them
 LAST_GENERATIONS = 120  # of a round on the last pool, which has the patience for all
 PATIENCE = 8
-POPULATION = 6
+POPULATION = 5
 TASKS_PER_CORE = 4
 POOLED = 0.06  # share of a shard's bins, the worst filled, that are packed again with those of other shards
 LEVELS = 3
@@ -53,12 +53,18 @@ def items_of(documents: DataFrame, capacities: DataFrame) -> DataFrame:
 
 
 class Packing:
-    """Bins as lists of item numbers, with the space left in each."""
+    """Bins as lists of item numbers, which packings share and nobody changes, with the space left in each."""
 
-    __slots__ = ("bins", "left")
+    __slots__ = ("_home", "bins", "left")
 
     def __init__(self, bins: list[list[int]], left: list[int]):
-        self.bins, self.left = bins, left
+        self.bins, self.left, self._home = bins, left, None
+
+    def home(self) -> dict[int, int]:
+        """The bin of every item of a packing that is complete."""
+        if self._home is None:
+            self._home = {item: n for n, items in enumerate(self.bins) for item in items}
+        return self._home
 
     def fitness(self, capacity: int) -> float:
         """Mean squared fill: more for a few full bins and one nearly empty than for the same content spread."""
@@ -84,7 +90,7 @@ def place(packing: Packing, order: Iterable[int], sizes: list[int], capacity: in
         at = bisect_left(space, (size, -1))
         if at < len(space):
             free, b = space.pop(at)
-            bins[b].append(item)
+            bins[b] = [*bins[b], item]
         else:
             free, b = capacity, len(bins)
             bins.append([item])
@@ -102,9 +108,10 @@ def best_fit(packing: Packing, items: Iterable[int], sizes: list[int], capacity:
 
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
     """Well-filled bins of b go whole into a, unless they would break a full bin of it; bins of a with any of their items go, the other items of these are put back by best fit."""
-    home = {item: n for n, items in enumerate(a.bins) for item in items}
-    order = sorted(range(len(b.bins)), key=lambda i: (b.left[i], rng.random()))
-    full = [i for i in order if b.left[i] == 0]
+    home = a.home()
+    order = rng.sample(range(len(b.bins)), len(b.bins))
+    order.sort(key=b.left.__getitem__)
+    full = order[: b.left.count(0)]
     chosen = [i for i in (full if len(full) > 3 else order[: max(3, len(order) // 3)]) if rng.random() < 0.6] or order[:1]
     bins: list[list[int]] = []
     left: list[int] = []
@@ -113,7 +120,7 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: rand
     for i in chosen:
         met = {home[item] for item in b.bins[i]}
         if all(a.left[n] > 0 for n in met):
-            bins.append(list(b.bins[i]))
+            bins.append(b.bins[i])
             left.append(b.left[i])
             taken.update(b.bins[i])
             broken |= met
@@ -122,7 +129,7 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: rand
         if n in broken:
             displaced += [x for x in items if x not in taken]
         else:
-            bins.append(list(items))
+            bins.append(items)
             left.append(free)
     return best_fit(Packing(bins, left), displaced, sizes, capacity)
 
@@ -130,7 +137,7 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: rand
 def mutate(p: Packing, sizes: list[int], capacity: int, rng: random.Random, share: float = 0.3) -> Packing:
     """Empty a share of the bins that are not full, and put their items back in an order that is only roughly that of size."""
     gone = {i for i, free in enumerate(p.left) if free > 0 and rng.random() < share}
-    rest = Packing([list(x) for i, x in enumerate(p.bins) if i not in gone], [x for i, x in enumerate(p.left) if i not in gone])
+    rest = Packing([x for i, x in enumerate(p.bins) if i not in gone], [x for i, x in enumerate(p.left) if i not in gone])
     noise = {item: sizes[item] * rng.uniform(0.7, 1.0) for i in sorted(gone) for item in p.bins[i]}
     return place(rest, sorted(noise, key=lambda i: -noise[i]), sizes, capacity)
 
