@@ -96,7 +96,17 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return report(p8_pack(spark, folder), read(spark, folder, "pack_capacity"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p4_files, p5_found, p5_pairs, p6_found, p6_groups, p7_found, p7_rates, p8_pack, p8_report, p9_found, p9_leaks, p10_found, p10_documents)}
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the packing: documents, pieces and tokens of each kind, and containers above the capacity."""
+    packed, kinds = p8_pack(spark, folder), read(spark, folder, "pack_capacity")
+    filled = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("filled"), F.count("*").alias("pieces"))
+    capacity = kinds.groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity"))
+    whole = filled.join(capacity, "container_kind").groupBy("container_kind").agg(F.sum("pieces").alias("pieces"), F.sum("filled").alias("tokens"), F.count_if(F.col("filled") > F.col("capacity")).alias("overfull"))
+    documents = packed.groupBy("container_kind").agg(F.countDistinct("doc_id").alias("documents"))
+    return whole.join(documents, "container_kind").select("container_kind", "documents", "pieces", "tokens", "overfull")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_redacted, p4_found, p4_files, p5_found, p5_pairs, p6_found, p6_groups, p7_found, p7_rates, p8_pack, p8_report, p8_check, p9_found, p9_leaks, p10_found, p10_documents)}
 # Where an answer is exact and SQL can give it over whole tables in reasonable time. p1's operator is an index: on the small
 # tables it finds all of these; on larger ones tests measure its recall.
 SQL: dict[str, str] = {
@@ -113,4 +123,21 @@ SQL: dict[str, str] = {
         sizes as (select chunk_id, count(*) as n from runs group by 1),
         shared as (select a.chunk_id as a, b.chunk_id as b, count(*) as n from runs a join runs b on a.r = b.r and a.chunk_id < b.chunk_id group by 1, 2)
         select a as chunk_id_a, b as chunk_id_b from shared s join sizes x on x.chunk_id = a join sizes y on y.chunk_id = b where s.n >= 0.7 * (x.n + y.n - s.n) - 1e-9""",
+    "p6_groups": r"""
+        with recursive words as (select chunk_id, regexp_extract_all(lower(any_value(text_for_embedding)), '[\p{L}\p{N}_]+') as w from chunk_fts where chunk_id is not null and text_for_embedding is not null group by chunk_id),
+        runs as (select chunk_id, r, count(*) as n from (select chunk_id, array_to_string(w[i:i + 4], ' ') as r from (select chunk_id, w, unnest(range(1, len(w) - 3)) as i from words where len(w) >= 20)) group by 1, 2),
+        bags as (select chunk_id, md5(string_agg(r || '#' || n, '|' order by r)) as h, sum(n) as size from runs group by 1),
+        classes as (select *, min(chunk_id) over (partition by h) as rep from bags),
+        reps as (select runs.* from runs join classes using (chunk_id) where chunk_id = rep),
+        shared as (select a.chunk_id as a, b.chunk_id as b, sum(least(a.n, b.n)) as s from reps a join reps b on a.r = b.r and a.chunk_id < b.chunk_id group by 1, 2),
+        near as (select a, b from shared join bags x on x.chunk_id = a join bags y on y.chunk_id = b where s >= 0.8 * (x.size + y.size - s) - 1e-9),
+        edges as (select a, b from near union all select b, a from near),
+        reach as (select chunk_id as node, chunk_id as label from classes where chunk_id = rep union select b, label from reach join edges on a = node),
+        groups as (select node, min(label) as group_id from reach group by 1),
+        degree as (select a, count(*) as links from edges group by 1)
+        select chunk_id as id, group_id, coalesce(links, 0) as links from classes join groups on node = rep left join degree on a = rep""",
+    "p8_check": r"""
+        with k as (select container_kind, max(capacity_tokens)::bigint as c from pack_capacity where container_kind is not null and capacity_tokens > 0 group by 1),
+        d as (select doc_id, greatest(coalesce(n_tokens, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+'))), 0)::bigint as n from documents where doc_id is not null)
+        select container_kind, count(*) as documents, sum(greatest(cast(ceil(n / c::double) as bigint), 1))::bigint as pieces, sum(n)::bigint as tokens, 0::bigint as overfull from k, d group by 1""",
 }
