@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
@@ -34,7 +35,23 @@ def shared_table(df: DataFrame, name: str, *, cluster_by: list[str] | None = Non
         df = df.sortWithinPartitions(*cluster_by)
     df.write.parquet(path)
     _CREATED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove shared tables that nothing reads any more."""
+    for table in tables:
+        held = [x for x in _CREATED if x[1] == getattr(table, "shared_path", None)]
+        for spark, path in held:
+            _remove(spark, path)
+            _CREATED.remove((spark, path))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -47,11 +64,10 @@ def drop_shared_tables() -> None:
     while _CREATED:
         spark, path = _CREATED.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may already be gone
-            pass
+            _remove(spark, path)
+        except Exception as e:
+            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():  # else the session is gone
+                logging.getLogger(__name__).warning("%s stays: %s", path, e)
 
 
 atexit.register(drop_shared_tables)
