@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.bagminhash import bands, mix, signatures
-from loomdex.sources.shared import shared_table
+from loomdex.sources.shared import discard, shared_table
 
 ROWS = 4  # registers of a band
 BANDS = 40  # a pair of similarity 0.7 shares none with probability (1 - 0.7**4)**40 = 0.00002
@@ -174,20 +174,25 @@ def pairs_of_ids(found: NearDuplicates) -> DataFrame:
     return links.unionByName(within).unionByName(star).distinct().toDF("id_a", "id_b")
 
 
-def groups(found: NearDuplicates, rounds: int = 30) -> DataFrame:
-    """id, group_id (smallest id linked, through any number of links), links (of the class's representative)."""
+def groups(found: NearDuplicates) -> DataFrame:
+    """id, group_id (smallest id linked, through any number of links), links (of the class's representative).
+
+    Labels fall to the least of the neighbours' and jump to the label's own label, so rounds grow as the logarithm
+    of the longest chain; a round's table is removed once the next is written.
+    """
     edges = shared_table(found.links.select("a", "b").unionByName(found.links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "p6-edges")
     labels = edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    settled = False
+    before = None
+    while not settled:
         near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
         new = shared_table(step.join(jump, "to", "left").select("node", F.least("to", "far").alias("label"), "was"), "p6-labels")
-        labels = new.select("node", "label")
-        if new.where("label != was").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"groups are not settled after {rounds} rounds")
+        labels, settled = new.select("node", "label"), new.where("label != was").isEmpty()
+        if before is not None:
+            discard(before)
+        before = new
     degree = edges.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
     out = found.classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     return out.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("group_id"), F.max(F.coalesce("links", F.lit(0))).alias("links"))
