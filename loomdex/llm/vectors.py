@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from loomdex.sources.shared import shared_table, small_side
 
-SAMPLE_ROWS = 16_384  # bound of the training sample of one model
-MAX_CELLS = 4_096
+SAMPLE_ROWS = 16_384  # of the training sample of one model, or SAMPLED for each cell where these are more
+SAMPLED = 4
+MAX_CELLS = 32_768  # the square root of about a billion rows; bounds the sample and what the driver and every task hold
 BLOCK_ROWS = 16_384  # rows of a base block; with QUERY_ROWS of queries the unit a task holds
 QUERY_ROWS = 8 * BLOCK_ROWS
 PROBES = 8
@@ -96,19 +97,21 @@ def similar_vectors(rows: DataFrame, k: int = 5, probes: int = PROBES, block_row
 
 
 def train_cells(rows: DataFrame, seed: int) -> dict[str, np.ndarray]:
-    """Centroids by "model/length", about sqrt(rows) of each; bounded by MAX_CELLS and the sample."""
+    """Centroids by "model/length", about sqrt(rows) of each, MAX_CELLS at most, from a sample of bounded size."""
     ok = rows.where(usable("vector", "dim") & F.col("model_name").isNotNull()).withColumn("model", F.concat_ws("/", "model_name", F.size("vector").cast("string")))
     counts = {r["model"]: r["n"] for r in ok.groupBy("model").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, min(1.0, 0.9 * SAMPLE_ROWS / n))])
+    cells = {m: int(min(MAX_CELLS, max(1, round(n**0.5)))) for m, n in counts.items()}
+    most = {m: max(SAMPLE_ROWS, SAMPLED * k) for m, k in cells.items()}
+    share = F.create_map(*[F.lit(x) for m, n in counts.items() for x in (m, min(1.0, 0.9 * most[m] / n))])
     draw = (F.pmod(F.xxhash64(F.lit(seed), "text_hash"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("model")]
     sample = ok.where(draw).select("model", "vector")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         model = pdf["model"].iloc[0]
-        x = unit(pdf["vector"])[:SAMPLE_ROWS]
-        k = int(min(MAX_CELLS, max(1, round(counts[model] ** 0.5)), max(1, len(x) // 2)))
+        x = unit(pdf["vector"])[: most[model]]
+        k = min(cells[model], max(1, len(x) // 2))
         return pd.DataFrame({"model": model, "c": list(kmeans(x, k, seed))})
 
     out = sample.groupBy("model").applyInPandas(fit, "model string, c array<float>").collect()
