@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from loomdex.operators.indexing import IndexStore, index_source
 
 
+COMPACT_AFTER = 50
+
+
 def stream_files(spark: SparkSession, folder: str, schema: str, checkpoint: str, handle: Callable[[DataFrame, int], None], files_per_trigger: int = 64) -> StreamingQuery:
     """Hand new Parquet files of a folder to `handle(batch, batch_id)`, each exactly once if it is idempotent by batch id.
 
@@ -21,9 +24,18 @@ def stream_files(spark: SparkSession, folder: str, schema: str, checkpoint: str,
 
 
 def stream_index(spark: SparkSession, folder: str, store: IndexStore, model: str, embed: Callable, checkpoint: str, files_per_trigger: int = 64) -> StreamingQuery:
-    """Index Parquet files of the shape of `sources.files` as they arrive. A batch that is repeated after a failure finds its files unchanged."""
+    """Index Parquet files of the shape of `sources.files` as they arrive. A batch that is repeated after a failure finds its files unchanged.
+
+    Each batch adds a segment to the index's tables; every COMPACT_AFTER of them are joined.
+    """
     schema = "source_name string, path string, rel_path string, language string, size_bytes bigint, text string"
-    return stream_files(spark, folder, schema, checkpoint, lambda batch, number: index_source(store, batch, model, embed), files_per_trigger)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        index_source(store, batch, model, embed)
+        if number % COMPACT_AFTER == COMPACT_AFTER - 1:
+            store.compact()
+
+    return stream_files(spark, folder, schema, checkpoint, handle, files_per_trigger)
 
 
 def with_event_time(events: DataFrame) -> DataFrame:
