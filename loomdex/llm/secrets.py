@@ -136,7 +136,7 @@ def excluded(value: str) -> bool:
 # The least entropy: a share of the expected one, and bits in all, which short values must make up for. The share
 # by what the surroundings tell: 2 a credential is announced, 1 perhaps, 0 nothing. It falls with length from SHORT
 # characters on, by RELIEF for each down to LEAST_SHARE, since a long value tells more by the bits it has.
-SHARES = {2: 0.8, 1: 0.88, 0: 0.92}
+SHARES = {2: 0.76, 1: 0.88, 0: 0.92}
 BITS = {2: 22.0, 1: 52.0, 0: 76.0}
 SHORT, RELIEF, LEAST_SHARE = 40, 0.0015, 0.85
 
