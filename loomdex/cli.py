@@ -53,6 +53,14 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("name")
     d.add_argument("--to", default="experiments")
     d.add_argument("--set", action="append", default=[], metavar="FILE.KEY=JSON")
+    for option in ("model", "collection", "query-prefix", "document-prefix", "cache-path", "model-cache-dir"):
+        d.add_argument(f"--{option}")
+    d.add_argument("--provider", action="append")
+    d.add_argument("--device-id", action="append", type=int)
+    for option in ("parallel", "onnx-log-severity"):
+        d.add_argument(f"--{option}", type=int)
+    for option in ("local-files-only", "cuda", "preload-cuda-dependencies"):
+        d.add_argument(f"--{option}", action=argparse.BooleanOptionalAction)
     d.add_argument("--force", action="store_true")
     return p
 
@@ -67,7 +75,7 @@ def sources(project: config.Project, name: str | None) -> list[dict]:
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     if a.verb == "derive":
-        overrides: dict[str, dict] = {}
+        overrides = config.experiment_overrides(vars(a))
         for item in a.set:
             key, _, value = item.partition("=")
             stem, _, field = key.partition(".")
@@ -94,7 +102,7 @@ def main(argv: list[str] | None = None) -> None:
             else:
                 spent = Timings()
                 done = index_source(
-                    store, files, e.model, embed, e.passage_prefix, limits.max_file_bytes, a.force, a.dry_run, s.get("type", "project"), project.chunking, limits.max_chunks_per_file, s.get("metadata"), limits.stop_on_error, spent
+                    store, files, e.model, embed, e.passage_prefix, limits.max_file_bytes, a.force, a.dry_run, s.get("type", "project"), project.chunking, limits.max_chunks_per_file, s.get("metadata"), limits.stop_on_error, spent, limits.max_memory_mb
                 )
                 index_statistics(done.join(store.table("manifest").select("source_name", "path", "chunk_count"), ["source_name", "path"], "left")).show(truncate=False)
                 spent.table(spark).orderBy("position", "bucket").show(truncate=False)

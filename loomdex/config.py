@@ -68,7 +68,7 @@ class Limits:
 
     max_file_bytes: int | None = None
     max_chunks_per_file: int | None = None
-    max_memory_mb: int | None = None
+    max_memory_mb: int | None = None  # of a Python worker
     stop_on_error: bool = False
 
 
@@ -128,6 +128,33 @@ class Settings:
         return cls(get("PROFILE"), get("CONFIG_DIR"), get("SOURCE") or None, get("MODE"), int(get("DEFAULT_LIMIT")), int(get("MAX_LIMIT")), int(get("MAX_TEXT_CHARS")))
 
 
+def overridden(held: dict, given: dict) -> dict:
+    """`held` with the values of `given`, mappings within mappings too; where a mapping asks for `cuda` it names no providers."""
+    out = held | {k: overridden(held[k], v) if isinstance(v, dict) and isinstance(held.get(k), dict) else v for k, v in given.items()}
+    return {k: v for k, v in out.items() if not (k == "providers" and out.get("cuda"))}
+
+
+# Options of an experiment and where they go in the configuration, by file and keys.
+EXPERIMENT = {
+    "model": ("embeddings", "dense", "model"), "provider": ("embeddings", "dense", "providers"), "query_prefix": ("embeddings", "dense", "query_prefix"), "document_prefix": ("embeddings", "dense", "passage_prefix"),
+    "cache_path": ("embeddings", "dense", "cache_path"), "model_cache_dir": ("embeddings", "dense", "model_cache_dir"), "local_files_only": ("embeddings", "dense", "local_files_only"), "cuda": ("embeddings", "dense", "cuda"),
+    "device_id": ("embeddings", "dense", "device_ids"), "parallel": ("embeddings", "dense", "parallel"), "onnx_log_severity": ("embeddings", "dense", "onnx_log_severity"), "preload_cuda_dependencies": ("embeddings", "dense", "preload_cuda_dependencies"),
+    "collection": ("store", "collection"),
+}
+
+
+def experiment_overrides(options: dict) -> dict[str, dict]:
+    """The overrides that options of EXPERIMENT make; None overrides nothing."""
+    out: dict[str, dict] = {}
+    for name, (file, *keys) in EXPERIMENT.items():
+        if options.get(name) is not None:
+            at = out.setdefault(file, {})
+            for key in keys[:-1]:
+                at = at.setdefault(key, {})
+            at[keys[-1]] = options[name]
+    return out
+
+
 def derive_experiment(source: str | Path, target: str | Path, name: str, overrides: dict[str, dict], force: bool = False) -> list[Path]:
     """Copy the YAML files of a folder to `target/name` with overrides by file stem; originals stay. GPU use removes explicit providers."""
     if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", name):
@@ -139,9 +166,7 @@ def derive_experiment(source: str | Path, target: str | Path, name: str, overrid
     written = []
     for path in sorted(Path(source).glob("*.yaml")):
         data = yaml.safe_load(path.read_text(encoding="utf-8")) or {}
-        merged = data | overrides.get(path.stem, {})
-        if merged.get("cuda"):
-            merged.pop("providers", None)
+        merged = overridden(data, overrides.get(path.stem, {}))
         out = folder / path.name
         out.write_text(yaml.safe_dump(merged, sort_keys=False, allow_unicode=True), encoding="utf-8")
         written.append(out)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.functions.memory import guard
 from loomdex.functions.text import chunk_id, lines_with_ends, strip
 
 
@@ -184,7 +185,7 @@ FILE = "source_name string, path string, rel_path string, language string"
 PIECE = "ordinal int, start_line int, end_line int, chunk string, text_for_embedding string"
 
 
-def chunk_files(files: DataFrame, configs: dict | None = None, max_chunks_per_file: int | None = None, faults: bool = False) -> DataFrame:
+def chunk_files(files: DataFrame, configs: dict | None = None, max_chunks_per_file: int | None = None, faults: bool = False, max_memory_mb: int | None = None) -> DataFrame:
     """The router: markdown by headings, php by its symbols, other code and text by lines.
 
     files: source_name, path, rel_path, language, text. Out: those but text, then ordinal, start_line, end_line,
@@ -192,6 +193,7 @@ def chunk_files(files: DataFrame, configs: dict | None = None, max_chunks_per_fi
     pass over the files without a shuffle. `configs` by "markdown", "code" and "text" are ChunkConfigs, by "php"
     one or a CodeConfig. A file that can't be chunked stops no other: with `faults` it gives a row with `fault`
     and without a chunk, else none. NULL and blank texts give no rows.
+    A worker that holds more than `max_memory_mb` ends the run.
     """
     from loomdex.operators import code
 
@@ -211,6 +213,7 @@ def chunk_files(files: DataFrame, configs: dict | None = None, max_chunks_per_fi
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            guard(max_memory_mb, "cutting files")
             out = []
             for source, path, rel, language, text in zip(*(pdf[c] for c in ("source_name", "path", "rel_path", "language", "text")), strict=True):
                 file = {"source_name": source, "path": path, "rel_path": rel, "language": language}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomdex.functions.memory import guard
 from loomdex.sources.shared import shared_table
 
 QUERY_BYTES = 64 << 20  # queries of one pass, which go to every task
@@ -69,12 +70,13 @@ def cache_misses(texts: DataFrame, cache: DataFrame, model: str, prefix: str = "
     return hashed.join(cache.where(F.col("model_name") == model).select("text_hash"), "text_hash", "left_anti")
 
 
-def embed_cached(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[list[str]], np.ndarray], prefix: str = "") -> tuple[DataFrame, DataFrame]:
+def embed_cached(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[list[str]], np.ndarray], prefix: str = "", max_memory_mb: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts with `text_hash` and `vector`, the new rows of the cache). Every distinct text is embedded once."""
     misses = cache_misses(texts, cache, model, prefix)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            guard(max_memory_mb, "embedding")
             vectors = embed([prefix + t for t in pdf["text"]]) if len(pdf) else []
             yield pd.DataFrame({"text_hash": pdf["text_hash"], "vector": list(vectors)})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from loomdex.sources.versions import TableLog
 OF_FILES = ("manifest", "file_chunks", "chunks", "postings", "lengths", "vectors")  # their rows go with their files
 TABLES = (*OF_FILES, "cache")
 BUCKETS = 16  # folders of postings by the hash of the term, so that a search reads those of its terms
+WRITERS = 4
 PARTITIONS = {"chunks": ("source_name",), "postings": ("bucket",)}
 EMPTY = {
     "manifest": "source_name string, path string, file_hash string, chunk_count int, indexed_at timestamp",
@@ -55,8 +57,10 @@ class IndexStore:
     def change(self, expected: int, gone: DataFrame | None, added: Mapping[str, DataFrame]) -> int:
         """Remove the rows of the files in `gone` (source_name, path) from the tables of files, add rows, publish."""
         old = self.log.snapshot(expected)
-        removal = [self.log.removal(gone.select(*manifest.KEYS))] if gone is not None and expected else []
-        new = {name: [*old.get(name, []), *(removal if name in OF_FILES else []), *([self.log.rows(added[name], *PARTITIONS.get(name, ()))] if name in added else [])] for name in TABLES}
+        with ThreadPoolExecutor(WRITERS) as pool:  # the tables are independent jobs
+            removal = [pool.submit(self.log.removal, gone.select(*manifest.KEYS))] if gone is not None and expected else []
+            written = {name: [pool.submit(self.log.rows, rows, *PARTITIONS.get(name, ()))] for name, rows in added.items()}
+            new = {name: [*old.get(name, []), *[s.result() for s in (*(removal if name in OF_FILES else []), *written.get(name, []))]] for name in TABLES}
         return self.log.commit(new, expected)
 
     def paths(self, source_name: str) -> DataFrame:
@@ -77,12 +81,12 @@ def bucket(term: str):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def index_source(store: IndexStore, files: DataFrame, model: str, embed: Callable[[list[str]], np.ndarray], prefix: str = "passage: ", max_bytes: int | None = None, force: bool = False, dry_run: bool = False, source_type: str = "project", configs: dict | None = None, max_chunks_per_file: int | None = None, metadata: Mapping | None = None, stop_on_error: bool = False, timings: Timings | None = None) -> DataFrame:
+def index_source(store: IndexStore, files: DataFrame, model: str, embed: Callable[[list[str]], np.ndarray], prefix: str = "passage: ", max_bytes: int | None = None, force: bool = False, dry_run: bool = False, source_type: str = "project", configs: dict | None = None, max_chunks_per_file: int | None = None, metadata: Mapping | None = None, stop_on_error: bool = False, timings: Timings | None = None, max_memory_mb: int | None = None) -> DataFrame:
     """Index new and changed files; the files with their outcomes (and `fault`, the reason, of those that failed).
 
     Files grown too large lose their chunks. A file that fails keeps the state it had and stops no other, unless
     `stop_on_error`. `metadata`: source, area and module of the source for the chunks' payload. `timings` takes the
-    seconds of the run's steps.
+    seconds of the run's steps; a Python worker that holds more than `max_memory_mb` ends the run.
     """
     timings = timings or Timings()
     expected = store.version()
@@ -92,7 +96,7 @@ def index_source(store: IndexStore, files: DataFrame, model: str, embed: Callabl
         return judged.withColumn("fault", F.lit(None).cast("string"))
     keys = manifest.KEYS
     with timings.of("chunk"):
-        cut = shared_table(chunk_files(judged.where("outcome = 'indexed'"), configs, max_chunks_per_file, faults=True), "new-chunks")
+        cut = shared_table(chunk_files(judged.where("outcome = 'indexed'"), configs, max_chunks_per_file, faults=True, max_memory_mb=max_memory_mb), "new-chunks")
     failed = cut.where("fault is not null").groupBy(*keys).agg(F.min("fault").alias("fault"))
     judged = judged.join(failed, keys, "left").withColumn("outcome", F.when(F.col("fault").isNotNull(), "failed").otherwise(F.col("outcome")))
     if stop_on_error and not failed.isEmpty():
@@ -102,7 +106,7 @@ def index_source(store: IndexStore, files: DataFrame, model: str, embed: Callabl
     new = cut.where("fault is null").drop("fault").withColumnRenamed("chunk", "text").withColumn("source_type", F.lit(source_type)).withColumn("source", F.coalesce(F.lit(told.get("source")), "source_name"))
     new = new.withColumn("area", F.lit(told.get("area")).cast("string")).withColumn("module", F.lit(told.get("module")).cast("string"))
     with timings.of("embed"):
-        embedded, made = dense.embed_cached(new.select(F.col("chunk_id").alias("id"), *keys, F.col("text_for_embedding").alias("text")), store.table("cache", expected), model, embed, prefix)
+        embedded, made = dense.embed_cached(new.select(F.col("chunk_id").alias("id"), *keys, F.col("text_for_embedding").alias("text")), store.table("cache", expected), model, embed, prefix, max_memory_mb)
     entries, links, _ = manifest.replace_files(*(store.spark.createDataFrame([], EMPTY[name]) for name in ("manifest", "file_chunks")), new.limit(0), todo.where("outcome != 'too_large'"), new)
     tokens = shared_table(lexical.tokenised(new.withColumnRenamed("chunk_id", "id"), ["id", *keys], [F.col("text"), F.col("text_for_embedding")]), "new-tokens")
     postings = lexical.grouped(lexical.placed(tokens, ["id", *keys]).withColumn("field", F.floor(F.col("pos") / lexical.FIELD_GAP).cast("int"))).withColumn("bucket", bucket("term"))

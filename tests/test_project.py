@@ -33,3 +33,28 @@ def test_embedders_by_provider():
     assert dense.embedder("hashing", "hashing-32", 2)(["a", "b", "c"]).shape == (3, 32)
     with pytest.raises(ValueError):
         dense.embedder("none", "x")
+
+
+def test_options_of_an_experiment(tmp_path):
+    import yaml
+
+    from loomdex.cli import main
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "embeddings.yaml").write_text("dense: {model: old, batch_size: 3, providers: [cpu]}\n")
+    (tmp_path / "c" / "store.yaml").write_text("collection: old\n")
+    main(["--config-dir", str(tmp_path / "c"), "derive", "one", "--to", str(tmp_path / "e"), "--model", "new", "--cuda", "--device-id", "0", "--device-id", "1", "--collection", "x", "--no-preload-cuda-dependencies"])
+    read = lambda name: yaml.safe_load((tmp_path / "e" / "one" / name).read_text())
+    assert read("embeddings.yaml") == {"dense": {"model": "new", "batch_size": 3, "cuda": True, "device_ids": [0, 1], "preload_cuda_dependencies": False}} and read("store.yaml") == {"collection": "x"}
+    assert yaml.safe_load((tmp_path / "c" / "embeddings.yaml").read_text())["dense"]["model"] == "old"
+
+
+def test_the_memory_guard():
+    import pytest
+
+    from loomdex.functions.memory import guard, held_mb
+
+    guard(None, "nothing")
+    guard(int(held_mb()) + 10_000, "little")
+    with pytest.raises(MemoryError):
+        guard(1, "much")
