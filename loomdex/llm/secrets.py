@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,7 +58,26 @@ _OPEN_END = re.compile(r"(?:=>?|:|\()\s*$")
 _PARTS = re.compile(r"[A-ZА-ЯЁ]?[a-zа-яё]+|[A-ZА-ЯЁ]+(?![a-zа-яё])|\d+")
 
 
-@lru_cache(maxsize=100_000)
+REMEMBERED = 100  # characters of a value whose answer is kept; a longer one is judged anew, so that memory stays bounded
+
+
+def remembered(size: int) -> Callable:
+    """Keep the last `size` answers about values that are not long."""
+
+    def of(judge: Callable) -> Callable:
+        kept = lru_cache(maxsize=size)(judge)
+
+        @wraps(judge)
+        def judged(value: str, *more: int):
+            return kept(value, *more) if len(value) <= REMEMBERED else judge(value, *more)
+
+        judged.cache_clear = kept.cache_clear
+        return judged
+
+    return of
+
+
+@remembered(100_000)
 def announces(name: str) -> int:
     """2: the name is that of a credential, 1: perhaps (a key), 0: no."""
     parts = [p.lower() for p in _PARTS.findall(name)]
@@ -145,7 +164,7 @@ def least_share(length: int, context: int) -> float:
     return min(SHARES[context], max(LEAST_SHARE, SHARES[context] - RELIEF * max(0, length - SHORT)))
 
 
-@lru_cache(maxsize=100_000)
+@remembered(100_000)
 def is_secret(value: str, context: int) -> bool:
     """Whether a value is random enough for its surroundings and neither hash, identifier, look-up nor placeholder."""
     kind, _ = alphabet(value)
@@ -156,7 +175,7 @@ def is_secret(value: str, context: int) -> bool:
     return not excluded(value) and (_UUID.fullmatch(value) is not None or not identifier_like(value))
 
 
-@lru_cache(maxsize=300_000)
+@remembered(300_000)
 def promising(token: str) -> bool:
     """Whether a token, or a part of it between signs of addresses, would do where a credential is announced."""
     if is_secret(token, 2):
