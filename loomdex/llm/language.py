@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
@@ -30,6 +31,7 @@ LEVEL = 3
 MARGIN = 0.03
 RATIO = 0.95  # natural text in a known language gets smaller than this; code and names do not
 LEAST_WORDS = 6
+HELD_OUT, STEPS = 1_000, 8  # sampled segments that calibrate the confidence, and its steps
 PIECE = 4_000  # characters compressed at a time: a dictionary saves about as many bytes in a longer text, so the margin would shrink
 
 # Spellings of the languages' names.
@@ -114,10 +116,18 @@ class Model:
     """Raw dictionary contents by script and language; compressors are made once in each process."""
 
     contents: dict[bool, dict[str, bytes]]
+    right: list[tuple[float, float]] = field(default_factory=list)  # margins, ascending, and the share of held-out segments with such margins that were labelled right
     _made: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"contents": self.contents, "_made": {}}
+        return {"contents": self.contents, "right": self.right, "_made": {}}
+
+    def confidence(self, margin: float) -> float:
+        """The share of segments with such a margin that are labelled right, as far as held-out ones tell; without these the margin itself."""
+        if not self.right:
+            return min(1.0, margin)
+        margins, shares = zip(*self.right, strict=True)
+        return float(np.interp(margin, margins, shares))
 
     def classify(self, words: str) -> tuple[str | None, float, float]:
         """Best language (None: no dictionary), margin to the second, compressed size against the size."""
@@ -165,7 +175,25 @@ def fit(sample: dict[str, list[str]], rounds: int = 4) -> Model:
     for label, sure, (_, text, _) in zip(now, clear, held, strict=True):
         if sure:
             clean[label].append(text)
-    return _model(clean)
+    model = _model(clean)
+    model.right = calibrated(clean)
+    return model
+
+
+def calibrated(clean: dict[str, list[str]]) -> list[tuple[float, float]]:
+    """Of clean segments every fifth, by hash, is held out (HELD_OUT at most) and classified by dictionaries of the others: margins and
+    shares of right labels in STEPS of equally many, one counted right and one wrong for each step, never falling."""
+    apart = {label: [t for t in texts if xxhash.xxh64_intdigest(t, 5) % 5 == 0] for label, texts in clean.items()}
+    model = _model({label: [t for t in texts if xxhash.xxh64_intdigest(t, 5) % 5] for label, texts in clean.items()})
+    asked = sorted(((xxhash.xxh64_intdigest(t), label, t) for label, texts in apart.items() for t in texts))[:HELD_OUT]
+    told = sorted((margin, found == label) for label, (found, margin, _) in ((label, model.classify(t)) for _, label, t in asked))
+    if len(told) < 10 * STEPS:
+        return []
+    out: list[tuple[float, float]] = []
+    for part in np.array_split(np.array(told), STEPS):
+        share = (part[:, 1].sum() + 1) / (len(part) + 2)
+        out.append((float(part[:, 0].mean()), max(share, out[-1][1]) if out else float(share)))
+    return out
 
 
 def _model(sample: dict[str, list[str]]) -> Model:
@@ -230,7 +258,7 @@ def label_segments(documents: DataFrame, id_column: str = "doc_id", text_column:
 
     Segments are the blocks between blank lines, all counted from 1. Fenced blocks, traces, code and
     segments of fewer than LEAST_WORDS words get no row. language is NULL where the margin is narrow or no
-    dictionary fits. confidence: how much larger the second best compression is, 0..1. named: the language
+    dictionary fits. confidence: the share of held-out sample segments right at such a margin of the second best compression, 0..1. named: the language
     that `label_column` names, NULL for none. NULL ids and texts give no rows.
     """
     spark = documents.sparkSession
@@ -250,7 +278,7 @@ def label_segments(documents: DataFrame, id_column: str = "doc_id", text_column:
                         continue
                     language, margin, ratio = shipped.value.classify(words)
                     sure = language is not None and margin >= MARGIN and ratio <= RATIO
-                    out.append((key, number, n, language if sure else None, min(1.0, margin) if sure else 0.0, named))
+                    out.append((key, number, n, language if sure else None, shipped.value.confidence(margin) if sure else 0.0, named))
             yield pd.DataFrame(out, columns=[id_column, "segment_no", "words", "language", "confidence", "named"])
 
     kind = rows.schema["id"].dataType.simpleString()

@@ -337,3 +337,14 @@ def test_reparameterised_questions_among_planted_cases(spark):
     got = {(r["doc_id"], r["case_id"]) for r in found.where("kind = 'reparameterised'").collect()}
     assert len(got & leaked) >= 0.95 * len(leaked) and len(got - leaked) <= 0.1 * len(leaked)
     assert found.where("kind = 'verbatim'").isEmpty()
+
+
+def test_confidence_of_languages_is_calibrated():
+    rng = random.Random(8)
+    of = lambda lang: " ".join(rng.sample(SENTENCES[lang].lower().format("").split(), 9))
+    sample = {lang: [of(lang) + " " + of(rng.choice(list(SENTENCES))) * (i % 3 == 0) for i in range(150)] for lang in SENTENCES}
+    model = language.fit(sample)
+    shares = [s for _, s in model.right]
+    assert len(shares) == language.STEPS and shares == sorted(shares) and all(0 < s < 1 for s in shares)
+    assert model.confidence(0.0) == shares[0] <= model.confidence(0.05) <= model.confidence(9.0) == shares[-1]
+    assert language.fit({"de": ["ein kurzer satz"]}).right == []
