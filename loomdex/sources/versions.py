@@ -131,9 +131,9 @@ class TableLog:
         return n if new == old else self.commit(new, n)
 
     def vacuum(self, keep: int = 2, older_than_seconds: int = 86_400) -> int:
-        """Remove log entries but the last `keep` and folders that none of these names; younger folders may be of a run still writing."""
-        entries = self._entries()
-        for n in entries[:-keep] if keep else entries:
+        """Remove log entries but the last `keep` (one at least) and folders that none of these names; younger folders may be of a run still writing."""
+        entries, keep = self._entries(), max(1, keep)
+        for n in entries[:-keep]:
             self._fs.delete(self._path(f"_log/{n}"), False)
         named = {folder for n in entries[-keep:] for segments in self.snapshot(n).values() for s in segments for folder in re.findall(r"data/\w+", json.dumps(s))}
         if not self._fs.exists(self._path("data")):
