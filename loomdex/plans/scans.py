@@ -117,6 +117,13 @@ def code_symbols(spark, folder):
     return _symbols(files(spark, folder).join(known, ["source_name", "path"], "left_semi"))
 
 
+def code_symbol_ends(spark, folder):
+    """Where symbols end, but in files with `\\r`, which the given table counts otherwise, and in files that end with a comment, which it counts to the symbol before."""
+    rows = _known(spark, folder).where(~F.contains("text", F.lit("\r")) & ~F.col("text").rlike(_LAST_COMMENT))
+    ends = [F.col(c).cast("long").alias(c) for c in ("start_byte", "end_line", "end_byte")]
+    return code.php_symbols(rows).select("source_name", "path", "kind", "name", *ends)
+
+
 def code_symbols_whole(spark, folder):
     return _symbols(files(spark, folder))
 
@@ -164,6 +171,7 @@ def component_context(spark, folder):
     return rows.where("c.name is not null").select("source_name", "rel_path", F.col("c.name").alias("component"), "c.site_template")
 
 
+_LAST_COMMENT = r"\}\s*(//[^\n]*|/\*([^*]|\*+[^*/])*\*+/)\s*$"
 _UUID_NS = T.NAMESPACE.hex
 _C, _O = CONFIG.max_chars, CONFIG.overlap_chars
 _WINDOWS = f"""
@@ -173,7 +181,7 @@ _WINDOWS = f"""
 
 QUERIES = {f.__name__: f for f in (
     scan_filter_size, scan_exclude, scan_include, scan_top_files, file_hash_sha256, chunk_id_uuid5, detect_language, search_language, truncate_text, rel_path, chunk_windows, chunk_windows_stats,
-    chunk_huge_line, chunk_lines, chunk_lines_sql, chunk_headings, chunk_router, chunk_router_plain, word_tokens, query_tokens_dedupe16, code_symbols, code_symbols_whole, code_chunks, code_chunk_spans, code_fqn, doc_tags, component_context,
+    chunk_huge_line, chunk_lines, chunk_lines_sql, chunk_headings, chunk_router, chunk_router_plain, word_tokens, query_tokens_dedupe16, code_symbols, code_symbol_ends, code_symbols_whole, code_chunks, code_chunk_spans, code_fqn, doc_tags, component_context,
 )}
 
 # line packing as a recursion over lines: b is the first line held, c the characters held, o the pieces so far, out what a line's arrival closes
@@ -265,6 +273,8 @@ SQL = {
         select case_id, string_agg(w, ' ' order by i) as terms from r where n <= 16 group by case_id""",
     "code_symbols": """select distinct source_name, path, kind, name, start_line::bigint as start_line, start_byte::bigint as start_byte,
         parent_kind, parent_name, visibility, is_static, is_abstract, is_final, has_body from php_ast_symbol""",
+    "code_symbol_ends": f"""select distinct source_name, path, kind, name, start_byte::bigint as start_byte, end_line::bigint as end_line, end_byte::bigint as end_byte from php_ast_symbol
+        where (source_name, path) in (select (source_name, path) from raw_files where not contains(text, chr(13)) and not regexp_matches(text, '{_LAST_COMMENT}'))""",
     "code_fqn": r"""with f as (select source_name, path, nullif(regexp_extract(text, '(?m)^\s*namespace\s+([\w\\]+)\s*[;{]', 1), '') as ns from raw_files where lower(path) like '%.php'),
         s as (select distinct source_name, path, kind, case when kind = 'method' and parent_name is not null then parent_name || '::' || name when kind = 'function' then name end as local from php_ast_symbol where kind in ('method', 'function'))
         select distinct source_name, path, case when ns is not null then ns || '\' || local else local end as fqn from s join f using (source_name, path)""",
