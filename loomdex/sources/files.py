@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from loomdex.functions.text import glob_regex, ignored, language_of, relative_path
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows`, a scan, in as many partitions as there are cores where its files give fewer, so that work row by row uses them all; others stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def included(rel_path, patterns: list[str]):
     """Whether any include glob fits; `**/*` fits all."""
     if not patterns or "**/*" in patterns or "**" in patterns:
