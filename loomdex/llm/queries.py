@@ -14,10 +14,7 @@ from loomdex.llm.packing import pack, report
 from loomdex.llm.parsing import check_files, rates
 from loomdex.llm.secrets import find_secrets, redact
 from loomdex.llm.vectors import similar_vectors
-
-
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+from loomdex.plans.tables import table as read
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
