@@ -36,6 +36,8 @@ class ChunkConfig:
 # The sizes in use for each kind of text.
 CONFIGS = {"markdown": ChunkConfig(1800, 200), "text": ChunkConfig(2200, 250), "code": ChunkConfig(2600, 300), "php": ChunkConfig(2600, 300)}
 CODE_LANGUAGES = ("javascript", "typescript", "vue")
+# Fixed value: lines that a fold of expressions takes at a time.
+BLOCK = 256
 
 
 def windows(text: Column, config: ChunkConfig) -> Column:
@@ -81,54 +83,71 @@ def chunk_headings(documents: DataFrame, key: str, config: ChunkConfig) -> DataF
 
 
 def packed_spans(sizes: Column, config: ChunkConfig) -> Column:
-    """ARRAY<STRUCT<s, e, part>> of line numbers from 1 by a fold over line lengths; part > 0 are slices of a huge line.
+    """ARRAY<STRUCT<s, e>> of line numbers from 1 by a fold over line lengths; a line longer than max_chars is a span of its own.
 
-    The buffer is always a run of lines, so the state is only its first line and its length.
+    The buffer is always a run of lines, so the state is only its first line and its length. The fold goes block by
+    block, as every append copies the array it extends. sizes is read several times a line: a column, no expression.
     """
     c = config.checked()
     n = F.size(sizes)
-    span = "struct<s:int,e:int,part:int>"
-    piece = lambda s, e, p: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), F.lit(p).cast("int").alias("part") if isinstance(p, int) else p.cast("int").alias("part"))
-    start = F.struct(F.array().cast(f"array<{span}>").alias("out"), F.lit(0).alias("st"), F.lit(0).alias("cl"))
+    spans = "array<struct<s:int,e:int>>"
+    span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    state = lambda out, st, cl: F.struct(out.alias("out"), st.cast("int").alias("st"), cl.cast("int").alias("cl"))
+    none = F.lit(0)
 
-    def tail(st: Column, i: Column) -> Column:
-        """Length and count of the lines kept as overlap before line i: from the end while they fit, at least one; none without overlap."""
+    def flushed(a: Column, i: Column) -> Column:
+        return F.when(a["st"] > 0, F.array_append(a["out"], span(a["st"], i - 1))).otherwise(a["out"])
+
+    def carried(a: Column, i: Column) -> Column:
+        """A new buffer of line i and the lines kept as overlap before it: from the end while they fit, at least one; none without overlap."""
+        size = F.element_at(sizes, i)
         if not c.overlap_chars:
-            return F.struct(F.lit(0).alias("k"), F.lit(0).alias("t"))
+            return state(flushed(a, i), i, size)
         zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("t"), F.lit(False).alias("stop"))
 
-        def keep(a: Column, j: Column) -> Column:
-            size = F.element_at(sizes, j)
-            full = a["stop"] | ((a["k"] > 0) & (a["t"] + size > c.overlap_chars))
-            return F.struct(F.when(full, a["k"]).otherwise(a["k"] + 1).alias("k"), F.when(full, a["t"]).otherwise(a["t"] + size).alias("t"), (full | (a["t"] + size >= c.overlap_chars)).alias("stop"))
+        def keep(b: Column, j: Column) -> Column:
+            t = b["t"] + F.element_at(sizes, j)
+            full = b["stop"] | ((b["k"] > 0) & (t > c.overlap_chars))
+            return F.struct(F.when(full, b["k"]).otherwise(b["k"] + 1).alias("k"), F.when(full, b["t"]).otherwise(t).alias("t"), (full | (t >= c.overlap_chars)).alias("stop"))
 
-        return F.aggregate(F.reverse(F.sequence(st, i - 1)), zero, keep)
+        # no line is empty, so no more than overlap_chars of them fit
+        return F.aggregate(F.sequence(i - 1, F.greatest(a["st"], i - c.overlap_chars), F.lit(-1)), zero, keep, lambda b: state(flushed(a, i), i - b["k"], b["t"] + size))
 
     def step(a: Column, i: Column) -> Column:
         size = F.element_at(sizes, i)
-        flushed = F.when(a["st"] > 0, F.array_append(a["out"], piece(a["st"], i - 1, 0))).otherwise(a["out"])
-        slices = F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(size / c.max_chars).cast("int"), F.lit(1))), lambda p: piece(i, i, p))
-        huge = F.struct(F.concat(flushed, slices).alias("out"), F.lit(0).alias("st"), F.lit(0).alias("cl"))
-        kept = tail(a["st"], i)
-        over = F.struct(flushed.alias("out"), (i - kept["k"]).cast("int").alias("st"), (kept["t"] + size).cast("int").alias("cl"))
-        plain = F.struct(a["out"].alias("out"), F.when(a["st"] > 0, a["st"]).otherwise(i).cast("int").alias("st"), (a["cl"] + size).cast("int").alias("cl"))
-        return F.when(size > c.max_chars, huge).when((a["st"] > 0) & (a["cl"] + size > c.max_chars), over).otherwise(plain)
+        huge = state(F.array_append(flushed(a, i), span(i, i)), none, none)
+        plain = state(a["out"], F.when(a["st"] > 0, a["st"]).otherwise(i), a["cl"] + size)
+        return F.when(size > c.max_chars, huge).when((a["st"] > 0) & (a["cl"] + size > c.max_chars), carried(a, i)).otherwise(plain)
+
+    def block(a: Column, k: Column) -> Column:
+        rows = F.sequence(k * BLOCK + 1, F.least(n, (k + 1) * BLOCK))
+        return F.aggregate(rows, state(F.array().cast(spans), a["st"], a["cl"]), step, lambda b: state(F.array_append(a["out"], b["out"]), b["st"], b["cl"]))
 
     def finish(a: Column) -> Column:
-        return F.when(a["st"] > 0, F.array_append(a["out"], piece(a["st"], n, 0))).otherwise(a["out"])
+        return F.concat(F.flatten(a["out"]), F.when(a["st"] > 0, F.array(span(a["st"], n))).otherwise(F.array().cast(spans)))
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, finish)).otherwise(F.array().cast(f"array<{span}>"))
+    start = state(F.array().cast(f"array<{spans}>"), none, none)
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), start, block, finish)).otherwise(F.array().cast(spans))
 
 
 def pack_lines_sql(documents: DataFrame, key: str, config: ChunkConfig) -> DataFrame:
-    """key, ordinal, start_line, end_line, chunk by expressions alone; blank chunks are dropped and keep their number."""
+    """key, ordinal, start_line, end_line, chunk by expressions alone; blank chunks are dropped and keep their number.
+
+    Pieces are made of the row's lines before they are exploded, so that no piece carries all lines along.
+    """
     c = config.checked()
     split = documents.where("text is not null").select(key, lines_with_ends(F.col("text")).alias("ls"))
-    spans = split.withColumn("spans", packed_spans(F.transform("ls", lambda x: F.length(x)), c))
-    each = spans.select(key, "ls", F.posexplode("spans").alias("n", "p"))
-    whole = F.array_join(F.slice("ls", F.col("p.s"), F.col("p.e") - F.col("p.s") + 1), "")
-    part = F.when(F.col("p.part") > 0, F.substring(whole, (F.col("p.part") - 1) * c.max_chars + 1, F.lit(c.max_chars))).otherwise(whole)
-    return each.select(key, (F.col("n") + 1).alias("ordinal"), F.col("p.s").alias("start_line"), F.col("p.e").alias("end_line"), strip(part).alias("chunk")).where("chunk != ''")
+    sized = split.select(key, "ls", F.transform("ls", lambda x: F.length(x)).alias("sizes"))
+    piece = lambda p, text: F.struct(p["s"].alias("s"), p["e"].alias("e"), strip(text).alias("chunk"))
+
+    def pieces(p: Column) -> Column:
+        slices = F.regexp_extract_all(F.element_at("ls", p["s"]), F.lit(f"(?s).{{1,{c.max_chars}}}"), F.lit(0))  # substrings would be sought from the line's begin, each
+        whole = F.array_join(F.slice("ls", p["s"], p["e"] - p["s"] + 1), "")
+        return F.when(F.element_at("sizes", p["s"]) > c.max_chars, F.transform(slices, lambda x: piece(p, x))).otherwise(F.array(piece(p, whole)))
+
+    # the generator holds the expression itself: of a column, filters would be inferred that evaluate it again
+    each = sized.select(key, F.posexplode(F.flatten(F.transform(packed_spans(F.col("sizes"), c), pieces))).alias("n", "p"))
+    return each.select(key, (F.col("n") + 1).alias("ordinal"), F.col("p.s").alias("start_line"), F.col("p.e").alias("end_line"), F.col("p.chunk").alias("chunk")).where("chunk != ''")
 
 
 def split_lines(text: str, config: ChunkConfig) -> list[tuple[str, int, int]]:

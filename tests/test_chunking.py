@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -23,6 +24,17 @@ def test_fold_and_arrow_pack_alike(spark, config):
     assert key(C.pack_lines(table, "doc_id", config)) == key(C.pack_lines_sql(table, "doc_id", config))
 
 
+def test_the_fold_takes_long_texts(spark):
+    """Its time follows the length of a text; when it followed the square, these took minutes."""
+    config = ChunkConfig(1200, 150)
+    texts = ["ab\n" * 20000, "z" * 1_000_000, "".join("é" * (i % 7) + "\n" for i in range(1500)) + "😀" * 3000, "\n" * 700]
+    began = time.time()
+    got = sorted(map(tuple, C.pack_lines_sql(docs(spark, texts), "doc_id", config).collect()))
+    assert time.time() - began < 45
+    assert got == sorted(map(tuple, C.pack_lines(docs(spark, texts), "doc_id", config).collect()))
+    assert len(got) > 800
+
+
 def test_overlap_keeps_at_least_one_line():
     parts = C.split_lines("aaaaaaaa\nbbbbbbbb\ncccccccc\n", ChunkConfig(20, 3))
     assert parts == [("aaaaaaaa\nbbbbbbbb\n", 1, 2), ("bbbbbbbb\ncccccccc\n", 2, 3)]
